@@ -61,24 +61,22 @@ def rebalance(slot_map: DataFrame, weights: DataFrame, shards: int = SHARDS) ->
     now = slot_map.where(F.col("version") == last).join(weights, "vslot", "left").select("vslot", "shard", F.coalesce("bytes", F.lit(0)).alias("bytes"))
     slot = F.struct((-F.col("bytes")).alias("minus"), F.col("vslot").alias("vslot"))
     by_shard = now.groupBy("shard").agg(F.sort_array(F.collect_list(slot)).alias("own"), F.sum("bytes").alias("load"))
-    mean = now.agg((F.sum("bytes") / shards).alias("mean"))
+    mean = (now.agg(F.sum("bytes")).first()[0] or 0) / shards
     nothing = F.expr("cast(array() as array<struct<minus:bigint,vslot:int>>)")
-    freed = by_shard.crossJoin(F.broadcast(mean)).select(  # `mean` is one row
+    freed = by_shard.select(
         "shard",
         "load",
         F.aggregate(
             "own",
-            F.struct((F.col("load") - F.col("mean")).alias("over"), nothing.alias("free")),
+            F.struct((F.col("load") - F.lit(mean)).alias("over"), nothing.alias("free")),
             lambda s, x: F.when((x["minus"] < 0) & (-x["minus"] <= s["over"]), F.struct((s["over"] + x["minus"]).alias("over"), F.concat(s["free"], F.array(x)).alias("free"))).otherwise(s),
         )["free"].alias("free"),
-    )
+    ).withColumn("load", F.aggregate("free", F.col("load"), lambda left, x: left + x["minus"]))
     # One row that holds the loads of `shards` shards and at most `slots` freed slots.
-    loads = freed.select("shard", F.explode_outer("free").alias("x"), "load").groupBy("shard").agg((F.first("load") + F.coalesce(F.sum("x.minus"), F.lit(0))).alias("load"))
     every = F.sequence(F.lit(0), F.lit(shards - 1))
-    start = loads.agg(F.map_from_entries(F.collect_list(F.struct("shard", "load"))).alias("have")).select(
-        F.transform(every, lambda i: F.coalesce(F.element_at("have", i), F.lit(0)).cast("long")).alias("loads")
+    start = freed.agg(F.map_from_entries(F.collect_list(F.struct("shard", "load"))).alias("have"), F.sort_array(F.flatten(F.collect_list("free"))).alias("pool")).select(
+        F.transform(every, lambda i: F.coalesce(F.element_at("have", i), F.lit(0)).cast("long")).alias("loads"), "pool"
     )
-    pool = freed.agg(F.sort_array(F.flatten(F.collect_list("free"))).alias("pool"))
 
     def place(s: Column, x: Column) -> Column:
         to = F.array_position(s["loads"], F.array_min(s["loads"])).cast("int") - 1
@@ -89,8 +87,7 @@ def rebalance(slot_map: DataFrame, weights: DataFrame, shards: int = SHARDS) ->
 
     empty = F.expr("cast(array() as array<struct<vslot:int,to:int>>)")
     moves = (
-        start.crossJoin(pool)  # one row each
-        .select(F.explode(F.aggregate("pool", F.struct(F.col("loads"), empty.alias("moves")), place)["moves"]).alias("m"))
+        start.select(F.explode(F.aggregate("pool", F.struct(F.col("loads"), empty.alias("moves")), place)["moves"]).alias("m"))
         .select("m.vslot", "m.to")
     )
     edited = now.join(moves, "vslot", "left").select(F.lit(last + 1).alias("version"), "vslot", F.coalesce("to", "shard").cast("int").alias("shard"))
