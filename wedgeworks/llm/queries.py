@@ -1,9 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
+from .minhash import op5_minhash
 from .secrets import op10_randomness_tests
 from .sharding import op8_virtual_slots
 
 QUERIES = {
+    "op5_minhash": op5_minhash,
     "op8_virtual_slots": op8_virtual_slots,
     "op10_randomness_tests": op10_randomness_tests,
 }
