@@ -1,10 +1,14 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
+from .language import op3_hyperdimensional_language
 from .minhash import op5_minhash
+from .quality import op1_compression_quality
 from .secrets import op10_randomness_tests
 from .sharding import op8_virtual_slots
 
 QUERIES = {
+    "op1_compression_quality": op1_compression_quality,
+    "op3_hyperdimensional_language": op3_hyperdimensional_language,
     "op5_minhash": op5_minhash,
     "op8_virtual_slots": op8_virtual_slots,
     "op10_randomness_tests": op10_randomness_tests,
