@@ -5,9 +5,11 @@ from .minhash import op5_minhash
 from .quality import op1_compression_quality
 from .secrets import op10_randomness_tests
 from .sharding import op8_virtual_slots
+from .substrings import op2_suffix_array
 
 QUERIES = {
     "op1_compression_quality": op1_compression_quality,
+    "op2_suffix_array": op2_suffix_array,
     "op3_hyperdimensional_language": op3_hyperdimensional_language,
     "op5_minhash": op5_minhash,
     "op8_virtual_slots": op8_virtual_slots,
