@@ -1,5 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
+from .chunking import op4_gear_chunks
 from .language import op3_hyperdimensional_language
 from .minhash import op5_minhash
 from .quality import op1_compression_quality
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_compression_quality": op1_compression_quality,
     "op2_suffix_array": op2_suffix_array,
     "op3_hyperdimensional_language": op3_hyperdimensional_language,
+    "op4_gear_chunks": op4_gear_chunks,
     "op5_minhash": op5_minhash,
     "op8_virtual_slots": op8_virtual_slots,
     "op10_randomness_tests": op10_randomness_tests,
