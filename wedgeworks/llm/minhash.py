@@ -3,15 +3,16 @@
 A document's set holds its distinct word shingles. ``bands x rows`` universal hash minima sign a set;
 documents that agree in a whole band are candidates. Equal sets fall together by a digest first and
 count as one *node*, so thousands of copies cost no more than one. A bucket of candidates is not
-expanded into pairs: every node is first held against the bucket's smallest node, links are confirmed
-on the full sets and merged into components, and in buckets that still hold several components the
-nodes of different components are then compared too, so that no link between components is lost. A pair that passes the
+expanded into pairs: in a few rounds every node is held against one leader of its bucket, links are
+confirmed on the full sets and merged into components. Buckets that still hold several components are
+then compared by signature, block against block inside tasks, and only pairs of different components
+whose signatures agree enough come out and are confirmed; so no link between components is lost. A pair that passes the
 similarity is missed only if no band agrees, with 32 bands of 4 rows below 1e-10 at 0.85 and below
 1e-7 at 0.8.
 
 Defined results: null text, empty text and text without words have an empty set and are linked with
-nothing; a null doc_id takes part in linking but never names a group unless all its members have none
-(then component_id is null and the row is kept); repeated rows share a group and a result each; other
+nothing; a row with a null doc_id shares the group of documents with an equal set, and no other (its
+component_id is null and it is kept if there is none); repeated rows share a group and a result each; other
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -30,8 +31,10 @@ from .components import components
 from .words import chunks, shingle_sets
 
 BANDS, ROWS = 32, 4
-#: Signature estimates this far below the similarity are not checked further: over 5 standard errors.
-SLACK = 0.18
+#: Standard errors by which a signature may fall below the similarity and still be checked further.
+SLACK = 5
+LEADERS = 3  #: rounds of holding nodes against a leader of their bucket
+BLOCK = 2048  #: nodes of a bucket that are compared in one task; more are dealt out as pairs of blocks
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.int64).view(np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.int64).view(np.uint64)
@@ -111,24 +114,104 @@ def _alike(least: int):
     return run
 
 
+def _across(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                at = batch.column(0)[row].values
+                key, root, side = (at.field(k).to_numpy() for k in ("key", "root", "side"))
+                sig = np.frombuffer(b"".join(at.field("sig").to_pylist()), np.uint16).reshape(len(key), -1)
+                order = np.argsort(root, kind="stable")
+                key, root, side, sig = key[order], root[order], side[order], sig[order]
+                us, vs = [], []
+                for i in range(0, len(key), 128):
+                    a = slice(i, i + 128)
+                    for j in range(i, len(key), 128):
+                        b = slice(j, j + 128)
+                        if root[a][0] == root[b][-1]:  # sorted, so all of both are of one component
+                            continue
+                        other = (root[a][:, None] != root[b][None, :]) & ((side[a][:, None] != side[b][None, :]) | (side[a][:, None] == 2))
+                        same = (sig[a][:, None, :] == sig[b][None, :, :]).sum(axis=2, dtype=np.uint16)
+                        x, y = np.nonzero(other & (same >= least))
+                        us.append(key[a][x]), vs.append(key[b][y])
+                if us:
+                    u, v = np.concatenate(us), np.concatenate(vs)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    return run
+
+
 def _with_both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
     one, two = (values.select(F.col("key").alias(k), F.col(name).alias(f"{name}_{k}")) for k in "uv")
     return pairs.join(one, "u").join(two, "v").select("u", "v", f"{name}_u", f"{name}_v")
 
 
-def confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs of nodes (u, v) whose full sets are similar enough, signatures being held first."""
-    least = int((percent / 100 - SLACK) * BANDS * ROWS)
-    nodes = small(stored(pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct(), "nodes"))
-    about = stored(signed.join(nodes, "key").groupBy("key").agg(F.max("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "about")
-    alike = stored(_with_both(pairs, about, "sig").mapInArrow(_alike(least), "u long, v long"), "alike")
-    left = alike.select(F.col("u").alias("key")).union(alike.select(F.col("v").alias("key"))).distinct()
-    wanted = small(stored(about.join(left, "key").select("key", "doc_id"), "wanted"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("key", "text")
-    sets = stored(texts.mapInArrow(_sets(size), "key long, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
-    out = stored(_with_both(alike, sets, "hashes").mapInArrow(_close(percent), "u long, v long"), "links")
-    forget(sets, alike, about)
-    return out
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
+
+
+class Search:
+    """Candidates of one corpus, from buckets to confirmed links."""
+
+    def __init__(self, docs: DataFrame, size: int, percent: int):
+        self.size, self.percent = size, percent
+        similar = percent / 100
+        self.least = int((similar - SLACK * (similar * (1 - similar) / (BANDS * ROWS)) ** 0.5) * BANDS * ROWS)
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.signed = stored(self.docs.mapInArrow(_signed(size), "doc_id long, n_shingles long, key long, sig binary, bands array<long>"), "signed")
+        in_band = self.signed.select("key", F.explode("bands").alias("band"))
+        several = stored(in_band.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band"), "buckets")
+        self.members = stored(in_band.join(small(several), "band").select("band", "key").distinct(), "members")
+        nodes = small(stored(self.members.select("key").distinct(), "nodes"))
+        #: signature and one document of every node that shares a bucket
+        self.about = stored(self.signed.join(nodes, "key").groupBy("key").agg(F.max("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "about")
+
+    def open(self, roots: DataFrame | None) -> DataFrame:
+        """(band, key, root) of the buckets that hold several components."""
+        if roots is None:
+            return self.members.withColumn("root", F.col("key"))
+        labelled = self.members.join(small(roots.withColumnRenamed("node", "key")), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+        mixed = labelled.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
+        return stored(labelled.join(small(stored(mixed, "mixed")), "band"), "open")
+
+    def led(self, members: DataFrame, turn: int) -> DataFrame:
+        """Pairs of each node with the leader of its bucket in this turn, of different components, alike by signature."""
+        leader = members.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("h"), "key", "root")).alias("lead")).select("band", F.col("lead.key").alias("lead"), F.col("lead.root").alias("lead_root"))
+        pairs = members.join(leader, "band").where("root <> lead_root").select(F.least("key", "lead").alias("u"), F.greatest("key", "lead").alias("v")).distinct()
+        return _with_both(pairs, self.about, "sig").mapInArrow(_alike(self.least), "u long, v long")
+
+    def rest(self, members: DataFrame) -> DataFrame:
+        """Pairs of different components in one bucket, alike by signature."""
+        counts = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+        dealt = members.join(counts, "band").join(self.about.select("key", "sig"), "key")
+        own = F.pmod(F.xxhash64("key"), F.col("n")).cast("int")
+        # Block i meets block j in the task (i, j); a member's side there is 0 or 1, or 2 where i = j.
+        dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long").alias("side")
+        grouped = dealt.groupBy("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("key", "root", side, "sig")).alias("g"))
+        return grouped.select("g").mapInArrow(_across(self.least), "u long, v long").distinct()
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose full sets are similar enough."""
+        pairs = stored(pairs, "alike")
+        wanted = small(stored(self.about.join(small(stored(_nodes(pairs), "nodes")), "key").select("key", "doc_id"), "wanted"))
+        texts = self.docs.join(wanted, "doc_id").select("key", "text")
+        sets = stored(texts.mapInArrow(_sets(self.size), "key long, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
+        out = stored(_with_both(pairs, sets, "hashes").mapInArrow(_close(self.percent), "u long, v long"), "links")
+        forget(sets, pairs)
+        return out
+
+    def roots(self) -> DataFrame:
+        """(node, root) of every node that is linked."""
+        links, roots = None, None
+        for turn in range(LEADERS + 1):
+            members = self.open(roots)
+            if members.isEmpty():
+                break
+            more = self.confirmed(self.led(members, turn) if turn < LEADERS else self.rest(members))
+            links = links.union(more) if links else more
+            roots = stored(components(links), "roots")
+        return roots if roots else components(self.members.select(F.col("key").alias("u"), F.col("key").alias("v")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -136,32 +219,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     ``size`` words make a shingle; documents are linked from ``percent`` per cent of Jaccard similarity.
     """
-    signed = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed(size), "doc_id long, n_shingles long, key long, sig binary, bands array<long>"), "signed")
-    in_band = signed.select("key", F.explode("bands").alias("band"))
-    several = stored(in_band.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band", "lo"), "buckets")
-    members = stored(in_band.join(small(several), "band").select("band", "lo", "key").distinct(), "members")
-    links = confirmed(members.where("key <> lo").select(F.col("lo").alias("u"), F.col("key").alias("v")).distinct(), signed, docs, size, percent)
-    roots = stored(components(links), "roots")
-    pairs = stored(_open_pairs(members, roots), "open")
-    if not pairs.isEmpty():
-        more = confirmed(pairs, signed, docs, size, percent)
-        roots = stored(components(links.union(more)), "roots")
-    grouped = signed.join(small(roots.select(F.col("node").alias("key"), "root")), "key", "left").select("doc_id", "n_shingles", F.coalesce("root", "key").alias("root"))
+    search = Search(docs, size, percent)
+    roots = small(search.roots().select(F.col("node").alias("key"), "root"))
+    grouped = search.signed.join(roots, "key", "left").select("doc_id", "n_shingles", F.coalesce("root", "key").alias("root"))
     named = grouped.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     named = grouped.join(named, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
     return named.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _open_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a bucket, lie in different components and were not compared yet."""
-    labelled = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "lo", "key", F.coalesce("root", "key").alias("root"))
-    mixed = labelled.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
-    # All but the bucket's smallest node, which every other was held against already.
-    left = labelled.where("key <> lo").join(mixed, "band").select("band", "key", "root")
-    other = left.select("band", F.col("key").alias("v"), F.col("root").alias("other"))
-    return left.join(other, "band").where((F.col("key") < F.col("v")) & (F.col("root") != F.col("other"))).select(F.col("key").alias("u"), "v").distinct()
-
-
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of the documents on three-word shingles at 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
