@@ -3,6 +3,7 @@
 from .chunking import op4_gear_chunks
 from .language import op3_hyperdimensional_language
 from .minhash import op5_minhash
+from .mixing import OP6_SQL, op6_hierarchical_mix
 from .quality import op1_compression_quality
 from .secrets import op10_randomness_tests
 from .sharding import op8_virtual_slots
@@ -14,8 +15,9 @@ QUERIES = {
     "op3_hyperdimensional_language": op3_hyperdimensional_language,
     "op4_gear_chunks": op4_gear_chunks,
     "op5_minhash": op5_minhash,
+    "op6_hierarchical_mix": op6_hierarchical_mix,
     "op8_virtual_slots": op8_virtual_slots,
     "op10_randomness_tests": op10_randomness_tests,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_hierarchical_mix": OP6_SQL}
