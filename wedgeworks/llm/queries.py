@@ -1,6 +1,7 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
 from .chunking import op4_gear_chunks
+from .contamination import op9_latent_decontamination
 from .language import op3_hyperdimensional_language
 from .minhash import op5_minhash
 from .mixing import OP6_SQL, op6_hierarchical_mix
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_minhash": op5_minhash,
     "op6_hierarchical_mix": op6_hierarchical_mix,
     "op8_virtual_slots": op8_virtual_slots,
+    "op9_latent_decontamination": op9_latent_decontamination,
     "op10_randomness_tests": op10_randomness_tests,
 }
 
