@@ -147,14 +147,14 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
     own = seen.where("many is null or doc_id <=> least").select("id", F.coalesce("least", "doc_id").alias("least"), "text")
     pieces = own.select("id", "least", "text").mapInArrow(_digested, "h long, rest long, id long, least long, start int")
     often = stored(pieces.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
-    met = stored(pieces.join(small(often), "h"), "met")
+    met = stored(pieces.join(often, "h"), "met")
     order = F.struct(F.col("least").isNull().alias("none"), "least", "id", "start")
     first = met.groupBy("h", "rest").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last")
     found = stored(
         met.join(first, ["h", "rest"]).select("id", F.struct("start", "rest", ((F.col("id") == F.col("first.id")) & (F.col("start") == F.col("first.start"))).alias("first")).alias("c")).groupBy("id").agg(F.collect_set("c").alias("chunks")), "found"
     )
     forget(met, often)
-    joined = seen.join(small(found), "id", "left").select("doc_id", "text", F.when(F.col("many"), ~F.col("doc_id").eqNullSafe(F.col("least"))).alias("copy"), "chunks")
+    joined = seen.join(found, "id", "left").select("doc_id", "text", F.when(F.col("many"), ~F.col("doc_id").eqNullSafe(F.col("least"))).alias("copy"), "chunks")
     return joined.mapInArrow(_removed, "doc_id long, n_bytes long, n_chunks long, n_repeated long, spans array<struct<start:long,end:long>>, kept binary")
 
 
