@@ -1,17 +1,64 @@
-"""A corpus pipeline in stages; see STAGES."""
+"""A corpus pipeline: bad texts go, near copies go, benchmark leaks go, sources are mixed, and what is
+left is dealt into shards.
+
+Every stage takes and, but for the last, returns the columns of ``documents``. Rows with a null doc_id
+pass the near-duplicate and benchmark stages, and are selected together, or not, by the mix.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wedgeworks.llm import contamination, minhash, mixing, quality, sharding
+from wedgeworks.llm.common import small, stored, table
+
+#: The mix keeps at most one copy of a document and nine tenths of the tokens.
+MIX_SHARE, MIX_EPOCHS = 0.9, 1
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is at least the classifier's threshold."""
+    return quality.Model(docs, table(spark, sf_dir, "labels")).good(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group on five-word shingles at 0.8."""
+    gone = stored(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = contamination.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(small(found), "doc_id", "left_anti").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents selected by the target weights of domains, languages and sources."""
+    chosen = stored(mixing.mix(docs, share=MIX_SHARE, max_epochs=MIX_EPOCHS).select(F.col("doc_id").alias("chosen")).distinct(), "chosen")
+    return docs.join(small(chosen), F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi").select(docs.columns)
+
+
+def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, virtual slot, shard and position of every document."""
+    return sharding.shard_documents(docs).select("doc_id", "size", "text_crc32", "vslot", "shard", "slot")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", drop_low_quality),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing sources", mix_sources),
+    ("sharding", deal_shards),
+]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Apply the stages to ``documents``, each reading what the one before has written."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -120,6 +120,21 @@ class Model:
         return source.mapInArrow(run, "doc_id long, score double, difference double")
 
 
+    def good(self, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+        """The rows of ``docs``, with all their columns, that score at least ``threshold``; nothing is shuffled."""
+        if not self.dictionaries:
+            return docs if self.share >= threshold else docs.limit(0)
+        (good, bad), (b0, b1), prior, at = self.dictionaries, self.beta, self.prior, docs.columns.index("text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tool = Compressors(good, bad)
+            for batch in batches:
+                x = np.array([tool.difference(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(at).cast(pa.large_binary())], float)
+                yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(b0 + b1 * x + prior, -30, 30))) >= threshold, pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+
+
 def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

@@ -5,6 +5,7 @@ from .contamination import op9_latent_decontamination
 from .language import op3_hyperdimensional_language
 from .minhash import op5_minhash
 from .mixing import OP6_SQL, op6_hierarchical_mix
+from .neighbours import op7_nn_descent
 from .quality import op1_compression_quality
 from .secrets import op10_randomness_tests
 from .sharding import op8_virtual_slots
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_gear_chunks": op4_gear_chunks,
     "op5_minhash": op5_minhash,
     "op6_hierarchical_mix": op6_hierarchical_mix,
+    "op7_nn_descent": op7_nn_descent,
     "op8_virtual_slots": op8_virtual_slots,
     "op9_latent_decontamination": op9_latent_decontamination,
     "op10_randomness_tests": op10_randomness_tests,
