@@ -106,7 +106,7 @@ def test_minhash_matches_brute_force(spark, size, percent):
 
 
 def test_minhash_blocks_find_what_leaders_miss(spark, monkeypatch):
-    """A chain whose ends are unlike each other is one group, without any leader rounds and with small blocks."""
+    """A chain whose ends are unlike each other is one group, with one leader a bucket and small blocks."""
     rng = random.Random(4)
     chain, at = [], prose(rng, 400).split()
     for _ in range(30):
@@ -115,7 +115,7 @@ def test_minhash_blocks_find_what_leaders_miss(spark, monkeypatch):
         for _ in range(6):
             at[rng.randrange(len(at))] = f"w{rng.randrange(10**6)}"
     rows = [(i, t, None, None, 0) for i, t in enumerate(chain)]
-    monkeypatch.setattr(minhash, "LEADERS", 0)
+    monkeypatch.setattr(minhash, "LEADERS", 1)
     monkeypatch.setattr(minhash, "BLOCK", 7)
     got = minhash.near_duplicates(frame(spark, rows), 3, 85).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: c for i, (_, c) in near_groups(rows, 3, 85).items()}

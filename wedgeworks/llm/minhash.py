@@ -3,12 +3,12 @@
 A document's set holds its distinct word shingles. ``bands x rows`` universal hash minima sign a set;
 documents that agree in a whole band are candidates. Equal sets fall together by a digest first and
 count as one *node*, so thousands of copies cost no more than one. A bucket of candidates is not
-expanded into pairs: in a few rounds every node is held against one leader of its bucket, links are
-confirmed on the full sets and merged into components. Buckets that still hold several components are
-then compared by signature, block against block inside tasks, and only pairs of different components
-whose signatures agree enough come out and are confirmed; so no link between components is lost. A pair that passes the
-similarity is missed only if no band agrees, with 32 bands of 4 rows below 1e-10 at 0.85 and below
-1e-7 at 0.8.
+expanded into pairs: every node is held against a few leaders of its bucket, links are confirmed on the
+full sets and merged into components. Buckets that still hold several components are then compared by
+signature, block against block inside tasks, and only pairs of different components whose signatures
+agree enough come out and are confirmed; so no link between components is lost. A pair that passes the
+similarity is missed only if no band agrees, with 32 bands of 4 rows below 1e-10 at 0.85 and below 1e-7
+at 0.8, or if its signature errs by five standard errors.
 
 Defined results: null text, empty text and text without words have an empty set and are linked with
 nothing; a row with a null doc_id shares the group of documents with an equal set, and no other (its
@@ -33,7 +33,7 @@ from .words import chunks, shingle_sets
 BANDS, ROWS = 32, 4
 #: Standard errors by which a signature may fall below the similarity and still be checked further.
 SLACK = 5
-LEADERS = 3  #: rounds of holding nodes against a leader of their bucket
+LEADERS = 3  #: of a bucket, against which every node of it is held
 BLOCK = 2048  #: nodes of a bucket that are compared in one task; more are dealt out as pairs of blocks
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.int64).view(np.uint64) | np.uint64(1)
@@ -166,18 +166,18 @@ class Search:
         #: signature and one document of every node that shares a bucket
         self.about = stored(self.signed.join(nodes, "key").groupBy("key").agg(F.max("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "about")
 
-    def open(self, roots: DataFrame | None) -> DataFrame:
+    def open(self, roots: DataFrame) -> DataFrame:
         """(band, key, root) of the buckets that hold several components."""
-        if roots is None:
-            return self.members.withColumn("root", F.col("key"))
         labelled = self.members.join(small(roots.withColumnRenamed("node", "key")), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
         mixed = labelled.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
         return stored(labelled.join(small(stored(mixed, "mixed")), "band"), "open")
 
-    def led(self, members: DataFrame, turn: int) -> DataFrame:
-        """Pairs of each node with the leader of its bucket in this turn, of different components, alike by signature."""
-        leader = members.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("h"), "key", "root")).alias("lead")).select("band", F.col("lead.key").alias("lead"), F.col("lead.root").alias("lead_root"))
-        pairs = members.join(leader, "band").where("root <> lead_root").select(F.least("key", "lead").alias("u"), F.greatest("key", "lead").alias("v")).distinct()
+    def led(self, members: DataFrame) -> DataFrame:
+        """Pairs of each node with the leaders of its bucket, alike by signature."""
+        lead = F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("h"), "key")).getField("key") for turn in range(LEADERS))))
+        leaders = members.groupBy("band").agg(lead.alias("leaders"))
+        each = members.join(leaders, "band").select("key", F.explode("leaders").alias("lead")).where("key <> lead")
+        pairs = each.select(F.least("key", "lead").alias("u"), F.greatest("key", "lead").alias("v")).distinct()
         return _with_both(pairs, self.about, "sig").mapInArrow(_alike(self.least), "u long, v long")
 
     def rest(self, members: DataFrame) -> DataFrame:
@@ -203,15 +203,12 @@ class Search:
 
     def roots(self) -> DataFrame:
         """(node, root) of every node that is linked."""
-        links, roots = None, None
-        for turn in range(LEADERS + 1):
-            members = self.open(roots)
-            if members.isEmpty():
-                break
-            more = self.confirmed(self.led(members, turn) if turn < LEADERS else self.rest(members))
-            links = links.union(more) if links else more
-            roots = stored(components(links), "roots")
-        return roots if roots else components(self.members.select(F.col("key").alias("u"), F.col("key").alias("v")))
+        links = self.confirmed(self.led(self.members))
+        roots = stored(components(links), "roots")
+        left = self.open(roots)
+        if left.isEmpty():
+            return roots
+        return components(links.union(self.confirmed(self.rest(left))))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
