@@ -211,6 +211,12 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
 
+def _of(texts: DataFrame, lists: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Texts with their lists: narrow ids first pick the texts, so that only those are shuffled."""
+    ids = stored(lists.select("id"), "ids") if ids is None else ids
+    return texts.join(small(ids), "id", "left_semi").join(lists.hint("merge"), "id")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, the removed spans and the kept bytes of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text")).withColumn("id", F.unhex(F.md5("text")))
@@ -222,7 +228,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     anchors = stored(single.mapInArrow(_anchors, "id binary, anchor long, n long"), "anchors")
     often = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     wanted = stored(anchors.join(often, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("anchors")), "wanted")
-    cells = stored(single.join(small(wanted), "id").select("id", "text", "anchors").mapInArrow(_cells, "id binary, core binary, lft binary, rgt binary, start int"), "cells")
+    cells = stored(_of(single, wanted).select("id", "text", "anchors").mapInArrow(_cells, "id binary, core binary, lft binary, rgt binary, start int"), "cells")
     forget(anchors, wanted)
 
     contexts = stored(cells.groupBy("core", "lft", "rgt").agg(F.count("*").alias("n")), "contexts")
@@ -235,7 +241,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     every = F.expr(f"shiftleft(1L, octet_length(lft) + octet_length(rgt) - {CELL - 2}) - 1")  # its own starts only
     marked = stored(cells.join(masks, ["core", "lft", "rgt"]).groupBy("id").agg(F.collect_list(F.struct("start", F.col("mask").bitwiseAND(every).alias("mask"))).alias("cells")), "marked")
     forget(cells, contexts, masks)
-    return seen.join(small(marked), "id", "left").select("doc_id", "text", "whole", "cells").mapInArrow(_removed, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    ids = stored(marked.select("id"), "marked-ids")
+    touched = _of(seen, marked, ids).select("doc_id", "text", "whole", "cells")
+    others = seen.join(small(ids), "id", "left_anti").select("doc_id", "text", "whole", F.lit(None).cast(marked.schema["cells"].dataType).alias("cells"))
+    return touched.union(others).mapInArrow(_removed, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
