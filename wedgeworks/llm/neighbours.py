@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import forget, stored, table
 
-DEGREE = 24
-REVERSE = 24  #: nearest of those that have a node as neighbour
+DEGREE = 32
+REVERSE = 32  #: nearest of those that have a node as neighbour
 TREES, LEAF, LEAF_MOST = 4, 64, 160
 ROUNDS = 5
-OFFER = 5  #: candidates that one introduction offers a node
-BEAM, SEARCH_ROUNDS = 64, 4
+OFFER = 8  #: candidates that one introduction offers a node
+BEAM, SEARCH_ROUNDS = 96, 4
 QUERY_EVERY = 100
 TOP = 10
 
