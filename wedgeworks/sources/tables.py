@@ -96,9 +96,9 @@ def read_results(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def results_report(df: DataFrame, path: str, order: list[str]) -> None:
     """Write all rows, ordered, as one plain text table; results are small by nature."""
     line = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in df.columns))
-    body = df.orderBy(*order).select(line.alias("value"))
-    head = df.sparkSession.createDataFrame([("\t".join(df.columns),)], "value string")
-    head.union(body).coalesce(1).write.mode("overwrite").text(path)
+    body = df.select(F.lit(1).alias("part"), *(F.col(c).alias(f"by_{k}") for k, c in enumerate(order)), line.alias("value"))
+    title = df.sparkSession.range(1).select(F.lit(0).alias("part"), *(F.lit(None).cast(df.schema[c].dataType).alias(f"by_{k}") for k, c in enumerate(order)), F.lit("\t".join(df.columns)).alias("value"))
+    title.union(body).repartition(1).sortWithinPartitions("part", *(f"by_{k}" for k in range(len(order)))).select("value").write.mode("overwrite").text(path)
 
 
 def read_partitions(text: DataFrame) -> DataFrame:
