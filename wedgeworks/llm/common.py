@@ -11,9 +11,20 @@ from pyspark.sql import functions as F
 #: Rows up to which a narrow table (a key and a few numbers a row) is broadcast.
 BROADCAST_ROWS = 400_000
 
+#: Bytes of an Arrow batch: with rows of any length, a Python worker then holds a few megabytes at a time.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of this session within BATCH_BYTES."""
+    if not 0 < int(spark.conf.get(_BATCH, "0")) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the given tables."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: a cut of lineage that survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
