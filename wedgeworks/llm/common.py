@@ -18,7 +18,7 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of this session within BATCH_BYTES."""
-    if not 0 < int(spark.conf.get(_BATCH, "0")) <= BATCH_BYTES:
+    if not 0 < int(spark.conf.get(_BATCH).rstrip("bB")) <= BATCH_BYTES:
         spark.conf.set(_BATCH, BATCH_BYTES)
 
 
