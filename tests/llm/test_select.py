@@ -227,6 +227,21 @@ def test_leaks(spark):
     assert got == {*want, (None, 3)}
 
 
+def test_leaks_of_common_words(spark):
+    """Items that many documents hold, whose words are thus all common, and items with no or one rare word."""
+    rng = random.Random(12)
+    often = prose(rng, 30)
+    usual = [f"usual{i}" for i in range(40)]
+    plain = " ".join(rng.sample(usual, 25))
+    single = " ".join([*rng.sample(usual, 20), "seldom"])
+    rows = [(i, f"{prose(rng, 40)} {' '.join(rng.sample(usual, 40))} {prose(rng, 40)}", None, None, 0) for i in range(240)]
+    rows = [(i, f"{t} {often} {prose(rng, 20)}" if i % 3 == 0 else t, *r) for i, t, *r in rows]
+    rows += [(500, f"{prose(rng, 50)} {plain} {prose(rng, 50)}", None, None, 0), (501, f"{prose(rng, 9)} {single}", None, None, 0)]
+    bench = spark.createDataFrame([(0, often), (1, plain), (2, single)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in contamination.leaks(frame(spark, rows), bench).collect()}
+    assert got == {*((i, 0) for i in range(0, 240, 3)), (500, 1), (501, 2)}
+
+
 def test_leaks_of_nothing(spark):
     docs = frame(spark, [(1, "a b c", None, None, 0)])
     assert contamination.leaks(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0

@@ -4,18 +4,21 @@ Texts become sequences of benchmark-vocabulary numbers once (0 for any other wor
 read those. Passages of 32 words hold their words' TF-IDF weights. Their randomised SVD is distributed:
 tasks count which words share passages, Spark adds the counts up to A'A, and products of that table
 with a random basis, twice repeated, give the latent directions. Every window of 32 words, at steps of
-16, and every benchmark item is projected on them; pairs of at least ``COSINE`` are candidates. A
-candidate whose window shares enough words with the item is settled on the words themselves: the longest
-common subsequence of the item with the text around the window, as a share of the item, and the same for
-the item's answer (its last quarter), so that a paraphrase counts that keeps the answer.
-
-Words that occur more often than in ``COMMON`` of all passages carry no weight. Frequencies and the SVD
-cover all documents.
+16, and every benchmark item is projected on them; pairs of at least ``COSINE`` whose window has enough
+words of the item are candidates. So are, at any cosine, pairs that have enough words in common, each
+counted as often as both hold it: what the latent space does not show (items of common words, or leaked so
+often that their words have become common) is found by its words. A candidate is settled on the words
+themselves: the longest common subsequence of the item with the text around the window, as a share of the
+item, and the same for the item's answer (its last quarter), so that a paraphrase counts that keeps the
+answer.
+
+Words that occur more often than in ``COMMON`` of all passages carry no weight in the latent space.
+Frequencies and the SVD cover all documents.
 Items are taken in blocks of ``ITEMS``, which bounds what is sent to the tasks (vocabulary x rank
 numbers) however large the benchmark is; the corpus is read once a block.
 
-Defined results: null and empty texts match nothing, as do items without a weighted word (all their
-words are common, or none occurs in the corpus); rows with null doc_id are searched and reported with
+Defined results: null and empty texts match nothing, as do items without words; the cosine is 0 where item
+or window has no weighted word; rows with null doc_id are searched and reported with
 null; repeated rows and items are reported each; no documents or items give no rows; other columns are
 ignored.
 """
@@ -42,6 +45,7 @@ LEAKED, PARAPHRASED, ANSWERED = 0.8, 0.6, 0.75
 #: the window that covers the item best cannot reach it.
 SHARED = 0.4
 _PARTS = 64
+_SEEN, _PAIRS = 8 << 20, 8192  #: bytes of words by items, and pairs, that are looked at together
 
 
 def _hashes(texts: list[str]) -> list[np.ndarray]:
@@ -206,10 +210,21 @@ def _matches(weight: np.ndarray, basis: np.ndarray, numbers: list[int | None], i
     latent = np.stack([scaled[np.array(i, np.int64)].sum(axis=0) for i in items])
     norm = np.linalg.norm(latent, axis=1, keepdims=True)
     latent = np.where(norm > 1e-9, latent / np.maximum(norm, 1e-9), 0).astype(np.float32)
-    holds = np.zeros((len(items), len(weight)), bool)
+    times = np.zeros((len(weight), len(items)), np.uint8)  # how often an item holds a word; no window needs to know beyond 32
     for k, item in enumerate(items):
-        holds[k, item] = True
-    needed = np.array([SHARED * min(len(i), 2 * STEP) for i in items])
+        value, n = np.unique(item, return_counts=True)
+        times[value, k] = np.minimum(n, 2 * STEP)
+    holds = (times > 0).view(np.uint8)
+    needed = np.ceil([SHARED * min(len(i), 2 * STEP) for i in items]).astype(np.uint8)
+    some = max(64, _SEEN // (STEP * len(items)))
+
+    def common(words_: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Words that a window and its item have in common, each as often as both have it."""
+        ordered, place = np.sort(words_, axis=1), np.arange(2 * STEP)
+        begins = np.ones(ordered.shape, bool)
+        begins[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+        rank = place - np.maximum.accumulate(np.where(begins, place, 0), axis=1)
+        return (rank < times[ordered, item[:, None]]).sum(axis=1)
 
     def candidates(ids: np.ndarray, step: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Windows (by their first step), items and cosines."""
@@ -225,17 +240,19 @@ def _matches(weight: np.ndarray, basis: np.ndarray, numbers: list[int | None], i
             y[own[begin]] = np.add.reduceat(scaled[ids[used]], begin, axis=0)
         last = np.zeros(steps + 1, bool)
         last[first[1:][first[1:] > 0] - 1] = True  # a row's last step stands alone
-        some = np.flatnonzero(n[:-1] + np.where(last[:-1], 0, n[1:]) > 1)
-        for k in range(0, len(some), 4096):
-            w = some[k : k + 4096]
-            one, two = y[w], np.where(last[w][:, None], 0, y[w + 1])
-            window = one + two
-            size = np.linalg.norm(window, axis=1)
-            cosine = window @ latent.T / np.maximum(size, 1e-9)[:, None]
-            at, item = np.nonzero(cosine >= COSINE)
-            words_ = np.concatenate((grid[w[at]], np.where(last[w[at]][:, None], 0, grid[w[at] + 1])), axis=1)
-            enough = holds[item[:, None], words_].sum(axis=1) >= needed[item]
-            yield w[at[enough]], item[enough], cosine[at[enough], item[enough]]
+        for k in range(0, steps, some):
+            end = min(k + some, steps)
+            shared = holds[grid[k : end + 1]].sum(axis=1, dtype=np.uint8)
+            one, two = np.nonzero(shared[:-1] + np.where(last[k:end, None], 0, shared[1:]) >= needed)
+            for j in range(0, len(one), _PAIRS):
+                w, item = one[j : j + _PAIRS] + k, two[j : j + _PAIRS]
+                alone = last[w][:, None]
+                window = y[w] + np.where(alone, 0, y[w + 1])
+                cosine = (window * latent[item]).sum(axis=1) / np.maximum(np.linalg.norm(window, axis=1), 1e-9)
+                near = (cosine >= COSINE) & (n[w] + np.where(alone[:, 0], 0, n[w + 1]) > 1)
+                far = np.flatnonzero(~near)
+                near[far] = common(np.concatenate((grid[w[far]], np.where(alone[far], 0, grid[w[far] + 1])), axis=1), item[far]) >= needed[item[far]]
+                yield w[near], item[near], cosine[near]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "item_id", "cosine", "overlap", "answer_overlap"]
@@ -258,14 +275,16 @@ def _matches(weight: np.ndarray, basis: np.ndarray, numbers: list[int | None], i
                             spans[-1][1] = b
                         else:
                             spans.append([a, b])
-                    overlap = answer = 0.0
+                    found, goal = (False, 0.0, 0.0), answer_of(item)
                     for a, b in spans:
                         near = text[a:b]
                         near = near[near > 0].tolist()
-                        if (share := common_length(item, near) / len(item)) > overlap:
-                            overlap, answer = share, common_length(answer_of(item), near) / len(answer_of(item))
-                    if overlap >= LEAKED or overlap >= PARAPHRASED and answer >= ANSWERED:
-                        out.append((docs[at + row], numbers[i], max(c for _, c in hits), overlap, answer))
+                        overlap = common_length(item, near) / len(item)
+                        if overlap >= PARAPHRASED:
+                            answer = common_length(goal, near) / len(goal)
+                            found = max(found, (overlap >= LEAKED or answer >= ANSWERED, overlap, answer))
+                    if found[0]:
+                        out.append((docs[at + row], numbers[i], max(c for _, c in hits), *found[1:]))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), *[pa.float64()] * 3))], names)
 
     return run
