@@ -138,6 +138,27 @@ def test_neighbours(spark):
     assert [v for _, v, _ in sorted(found[100])[:2]] == [700, 701]
 
 
+@pytest.mark.parametrize("odd", ["long", "far"])
+def test_neighbours_of_uneven_vectors(spark, monkeypatch, odd):
+    """One vector a thousand times longer than the rest, or a cloud far from the origin; a narrow search shows the graph."""
+    monkeypatch.setattr(neighbours, "BEAM", 2)
+    monkeypatch.setattr(neighbours, "SEARCH_ROUNDS", 1)
+    x = np.random.default_rng(8).standard_normal((2000, 24)).astype(np.float32)
+    if odd == "long":
+        x[1234] *= 1000
+    else:
+        x += np.float32(300)
+    got = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    found, recall = {}, []
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q in range(0, 2000, 100):
+        d = np.sqrt(((x.astype(float) - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        recall.append(len(found.get(q, set()) & set(np.argsort(d)[:10].tolist())) / 10)
+    assert np.mean(recall) >= 0.95
+
+
 def test_few_neighbours(spark):
     rows = [(0, [1.0, 0.0]), (100, [0.0, 1.0]), (3, [1.0, 0.5])]
     got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()

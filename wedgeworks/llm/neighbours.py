@@ -5,8 +5,8 @@ nearest of a leaf start the graph. Then, in rounds of joins, every node gathers
 it is a neighbour of, with their vectors, and introduces them to each other where one of the two is new;
 each keeps its ``DEGREE`` nearest. A query, being a row of the table, enters the graph at its own node:
 its best ``BEAM`` unexpanded candidates are expanded together in each round, and all their neighbours
-measured. Graph distances use vectors rounded to bytes; the search and the result use the original
-vectors in double precision.
+measured. Graph, search and result all use the original vectors, with distances in double precision, and
+a hyperplane lies at the median of a sample, so neither long vectors nor a far origin blur the graph.
 
 Every list gathered in a task is bounded by the degree or the leaf size. The result is approximate; its
 recall against brute force is in the README and the tests.
@@ -36,6 +36,7 @@ TREES, LEAF, LEAF_MOST = 4, 64, 160
 ROUNDS = 5
 OFFER = 8  #: candidates that one introduction offers a node
 BEAM, SEARCH_ROUNDS = 96, 4
+SAMPLE = 4096  #: vectors that place the hyperplanes
 QUERY_EVERY = 100
 TOP = 10
 
@@ -50,22 +51,25 @@ def _matrix(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def _leaves(most: float, bits: int):
+def _planes(dimensions: int, bits: int) -> np.ndarray:
+    return np.random.default_rng(17).standard_normal((dimensions, TREES * bits))
+
+
+def _leaves(middle: np.ndarray, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            planes = np.random.default_rng(17).standard_normal((x.shape[1], TREES * bits)).astype(np.float32)
-            side = (x @ planes > 0).reshape(-1, TREES, bits)
+            side = (x.astype(np.float64) @ _planes(x.shape[1], bits) > middle).reshape(-1, TREES, bits)
             codes = (side * (1 << np.arange(bits))).sum(axis=2) * TREES + np.arange(TREES)
-            small = np.rint(x * (127 / most)).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in small], pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int64()))], ["node", "x", "q", "leaves"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int64()))], ["node", "x", "leaves"])
 
     return run
 
 
 def _distances(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     size = (x * x).sum(axis=1)
     out = size[:, None] + size[None, :] - 2 * x @ x.T
     np.fill_diagonal(out, np.inf)
@@ -80,7 +84,7 @@ def _offers(members: np.ndarray, distance: np.ndarray, most: int) -> pa.RecordBa
     near = np.argpartition(distance, most - 1, axis=1)[:, :most]
     value = np.take_along_axis(distance, near, 1)
     at, k = np.nonzero(np.isfinite(value))
-    return pa.RecordBatch.from_arrays([pa.array(members[at]), pa.array(members[near[at, k]]), pa.array(value[at, k].astype(np.float32))], ["v", "u", "d"])
+    return pa.RecordBatch.from_arrays([pa.array(members[at]), pa.array(members[near[at, k]]), pa.array(value[at, k])], ["v", "u", "d"])
 
 
 def _merged(batches: list[pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +98,7 @@ def _start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for row in batch.column(0):
-            x = _matrix(row.values.field("q"), np.int8).astype(np.float32)
+            x = _matrix(row.values.field("x"), np.float32)
             out.append(_offers(row.values.field("node").to_numpy(), _distances(x), DEGREE // 2))
         yield from _merged(out)
 
@@ -106,7 +110,7 @@ def _introduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.column(0):
             at = row.values
             node, new, worst = (at.field(k).to_numpy(zero_copy_only=False) for k in ("u", "new", "worst"))
-            distance = _distances(_matrix(at.field("q"), np.int8).astype(np.float32))
+            distance = _distances(_matrix(at.field("x"), np.float32))
             distance[~(new[:, None] | new[None, :]) | (distance >= worst[:, None])] = np.inf
             out.append(_offers(node, distance, OFFER))
         yield from _merged(out)
@@ -120,19 +124,19 @@ def kept(edges: DataFrame) -> DataFrame:
 
 
 def graph_of(nodes: DataFrame) -> DataFrame:
-    """(v, u, d, new, rank): the neighbour graph of ``nodes(node, q, leaves)``."""
-    spread = nodes.select("node", "q", F.explode("leaves").alias("leaf"))
+    """(v, u, d, new, rank): the neighbour graph of ``nodes(node, x, leaves)``."""
+    spread = nodes.select("node", "x", F.explode("leaves").alias("leaf"))
     sizes = spread.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF_MOST).alias("parts"))
     dealt = spread.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("node", "leaf"), F.col("parts")))
-    leaves = dealt.groupBy("leaf", "part").agg(F.collect_list(F.struct("node", "q")).alias("members")).select("members")
-    graph = stored(kept(leaves.mapInArrow(_start, "v long, u long, d float").withColumn("new", F.lit(True))), "graph")
+    leaves = dealt.groupBy("leaf", "part").agg(F.collect_list(F.struct("node", "x")).alias("members")).select("members")
+    graph = stored(kept(leaves.mapInArrow(_start, "v long, u long, d double").withColumn("new", F.lit(True))), "graph")
     for _ in range(ROUNDS):
         back = graph.select(F.col("u").alias("v"), F.col("v").alias("u"), "d", "new").withColumn("rank", F.row_number().over(W.partitionBy("v").orderBy("d", "u"))).where(F.col("rank") <= REVERSE)
         around = graph.select("v", "u", "new").union(back.select("v", "u", "new")).groupBy("v", "u").agg(F.max("new").alias("new"))
-        worst = graph.groupBy("v").agg(F.when(F.count("*") == DEGREE, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
-        about = nodes.select("node", "q").join(worst, nodes["node"] == worst["v"], "left").select(F.col("node").alias("u"), "q", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"))
-        met = around.join(about, "u").groupBy("v").agg(F.collect_list(F.struct("u", "new", "worst", "q")).alias("members")).where(F.exists("members", lambda m: m["new"])).select("members")
-        offered = met.mapInArrow(_introduced, "v long, u long, d float").withColumn("new", F.lit(True))
+        worst = graph.groupBy("v").agg(F.when(F.count("*") == DEGREE, F.max("d")).otherwise(F.lit(float("inf"))).alias("worst"))
+        about = nodes.select("node", "x").join(worst, nodes["node"] == worst["v"], "left").select(F.col("node").alias("u"), "x", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
+        met = around.join(about, "u").groupBy("v").agg(F.collect_list(F.struct("u", "new", "worst", "x")).alias("members")).where(F.exists("members", lambda m: m["new"])).select("members")
+        offered = met.mapInArrow(_introduced, "v long, u long, d double").withColumn("new", F.lit(True))
         after = stored(kept(graph.select("v", "u", "d", F.lit(False).alias("new")).union(offered)), "graph")
         forget(graph)
         graph = after
@@ -171,9 +175,10 @@ def nearest(vectors: DataFrame, every: int = QUERY_EVERY, top: int = TOP) -> Dat
     """query_id, rank, vec_id and score of the ``top`` nearest found of each query."""
     rows = stored(usable(vectors).dropDuplicates(["vec_id"]), "vectors")
     distinct = stored(rows.groupBy("x").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")).select("node", "x", "n"), "distinct")
-    n, most = distinct.agg(F.count("*"), F.max(F.array_max(F.transform("x", lambda v: F.abs(v))))).first()
-    bits = max(1, math.ceil(math.log2(max(2, n / LEAF))))
-    nodes = stored(distinct.select("node", "x").mapInArrow(_leaves(most or 1.0, bits), "node long, x binary, q binary, leaves array<long>"), "nodes")
+    bits = max(1, math.ceil(math.log2(max(2, distinct.count() / LEAF))))
+    some = np.array([r["x"] for r in distinct.orderBy(F.xxhash64("x"), "node").limit(SAMPLE).select("x").collect()])
+    middle = np.median(some @ _planes(some.shape[1], bits), axis=0) if len(some) else np.zeros(0)
+    nodes = stored(distinct.select("node", "x").mapInArrow(_leaves(middle, bits), "node long, x binary, leaves array<long>"), "nodes")
     graph = graph_of(nodes)
     # Copies of a node: more than `top` of the smallest ids are never needed.
     copies = rows.join(distinct.where("n > 1"), "x").select("vec_id", "node").withColumn("k", F.row_number().over(W.partitionBy("node").orderBy("vec_id")))
