@@ -121,6 +121,20 @@ def test_minhash_blocks_find_what_leaders_miss(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: c for i, (_, c) in near_groups(rows, 3, 85).items()}
 
 
+def test_minhash_links_through_rows_without_id(spark):
+    """Near copies of a row with a null id, and two documents that only such a row links, at 0.91."""
+    rng = random.Random(6)
+    a = prose(rng, 400).split()
+    b, c = [*a[20:]], [*a[:-20]]  # a is alike to both, and they are less so to each other
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (a, b, c)]
+    near = [100 * len(x & y) >= 91 * len(x | y) for x, y in ((sets[0], sets[1]), (sets[0], sets[2]), (sets[1], sets[2]))]
+    assert near == [True, True, False]
+    other = prose(rng, 300)
+    rows = [(None, " ".join(a), None, None, 0), (1, " ".join(b), None, None, 0), (2, " ".join(c), None, None, 0), (None, other, None, None, 0), (3, f"{other} more", None, None, 0)]
+    got = minhash.near_duplicates(frame(spark, rows), 3, 91).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in got) == [(0, 1, False), (0, 3, False), (1, 1, True), (2, 1, False), (3, 3, True)]
+
+
 def test_minhash_without_rows(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     assert minhash.near_duplicates(spark.createDataFrame([(1, None, None, None, 0), (2, "", None, None, 0)], DOCS)).where("kept").count() == 2

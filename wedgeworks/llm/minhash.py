@@ -11,8 +11,8 @@ similarity is missed only if no band agrees, with 32 bands of 4 rows below 1e-10
 at 0.8, or if its signature errs by five standard errors.
 
 Defined results: null text, empty text and text without words have an empty set and are linked with
-nothing; a row with a null doc_id shares the group of documents with an equal set, and no other (its
-component_id is null and it is kept if there is none); repeated rows share a group and a result each; other
+nothing; rows with a null doc_id take part as all others do (a group without any id has a null component_id,
+and its rows are kept); repeated rows share a group and a result each; other
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import forget, small, stored, table
@@ -70,7 +70,7 @@ def _signed(size: int):
                     band = (sig.reshape(BANDS, ROWS) * _M[:ROWS]).sum(axis=1) + number
                     keys.append(set_key(hashes)), sigs.append(sig.astype(np.uint16).tobytes()), bands.append((band ^ (band >> np.uint64(29))).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[first:end], pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "sig", "bands"]
+                    [batch.column(0)[first:end], pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), batch.column(2)[first:end]], ["doc_id", "n_shingles", "key", "sig", "bands", "digest"]
                 )
 
     return run
@@ -83,7 +83,7 @@ def _sets(size: int):
             for first, _, data, at in chunks(batch.column(1)):
                 keys, sets = [], []
                 for row, hashes in enumerate(shingle_sets(data, at, size), first):
-                    if set_key(hashes) == wanted[row]:  # ids may repeat with other texts
+                    if len(hashes):
                         keys.append(wanted[row]), sets.append(hashes.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "hashes"])
 
@@ -141,6 +141,11 @@ def _across(least: int):
     return run
 
 
+def digest() -> Column:
+    """What a text is known by, next to the id, as ids may be null or repeat with other texts."""
+    return F.md5("text").alias("digest")
+
+
 def _with_both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
     one, two = (values.select(F.col("key").alias(k), F.col(name).alias(f"{name}_{k}")) for k in "uv")
     return pairs.join(one, "u").join(two, "v").select("u", "v", f"{name}_u", f"{name}_v")
@@ -157,14 +162,14 @@ class Search:
         self.size, self.percent = size, percent
         similar = percent / 100
         self.least = int((similar - SLACK * (similar * (1 - similar) / (BANDS * ROWS)) ** 0.5) * BANDS * ROWS)
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.signed = stored(self.docs.mapInArrow(_signed(size), "doc_id long, n_shingles long, key long, sig binary, bands array<long>"), "signed")
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest())
+        self.signed = stored(self.docs.mapInArrow(_signed(size), "doc_id long, n_shingles long, key long, sig binary, bands array<long>, digest string"), "signed")
         in_band = self.signed.select("key", F.explode("bands").alias("band"))
         several = stored(in_band.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band"), "buckets")
         self.members = stored(in_band.join(small(several), "band").select("band", "key").distinct(), "members")
         nodes = small(stored(self.members.select("key").distinct(), "nodes"))
-        #: signature and one document of every node that shares a bucket
-        self.about = stored(self.signed.join(nodes, "key").groupBy("key").agg(F.max("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "about")
+        #: signature and one row, known by id (or none) and digest, of every node that shares a bucket
+        self.about = stored(self.signed.join(nodes, "key").groupBy("key").agg(F.max("sig").alias("sig"), F.min(F.struct("digest", "doc_id")).alias("row")), "about")
 
     def open(self, roots: DataFrame) -> DataFrame:
         """(band, key, root) of the buckets that hold several components."""
@@ -194,8 +199,8 @@ class Search:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
         pairs = stored(pairs, "alike")
-        wanted = small(stored(self.about.join(small(stored(_nodes(pairs), "nodes")), "key").select("key", "doc_id"), "wanted"))
-        texts = self.docs.join(wanted, "doc_id").select("key", "text")
+        wanted = small(stored(self.about.join(small(stored(_nodes(pairs), "nodes")), "key").select("key", F.col("row.digest").alias("of"), F.col("row.doc_id").alias("by")), "wanted"))
+        texts = self.docs.join(wanted, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("by"))).select("key", "text")
         sets = stored(texts.mapInArrow(_sets(self.size), "key long, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
         out = stored(_with_both(pairs, sets, "hashes").mapInArrow(_close(self.percent), "u long, v long"), "links")
         forget(sets, pairs)
@@ -211,14 +216,19 @@ class Search:
         return components(links.union(self.confirmed(self.rest(left))))
 
 
+def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, digest, n_shingles and root of every row; root is null for an empty set and else names the group."""
+    search = Search(docs, size, percent)
+    roots = small(search.roots().select(F.col("node").alias("key"), "root"))
+    return search.signed.join(roots, "key", "left").select("doc_id", "digest", "n_shingles", F.coalesce("root", "key").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
     ``size`` words make a shingle; documents are linked from ``percent`` per cent of Jaccard similarity.
     """
-    search = Search(docs, size, percent)
-    roots = small(search.roots().select(F.col("node").alias("key"), "root"))
-    grouped = search.signed.join(roots, "key", "left").select("doc_id", "n_shingles", F.coalesce("root", "key").alias("root"))
+    grouped = groups(docs, size, percent)
     named = grouped.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     named = grouped.join(named, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
     return named.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
