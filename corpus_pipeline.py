@@ -1,8 +1,9 @@
 """A corpus pipeline: bad texts go, near copies go, benchmark leaks go, sources are mixed, and what is
 left is dealt into shards.
 
-Every stage takes and, but for the last, returns the columns of ``documents``. Rows with a null doc_id
-pass the near-duplicate and benchmark stages, and are selected together, or not, by the mix.
+Every stage takes and, but for the last, returns the columns of ``documents``. The near-duplicate and
+benchmark stages know a row by its id and text, so null and repeated ids are decided like all others; the
+mix selects rows with a null doc_id together, or not.
 """
 
 from __future__ import annotations
@@ -23,15 +24,27 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group on five-word shingles at 0.8."""
-    gone = stored(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    """One row of each group on five-word shingles at 0.8: of the smallest id, a null id being the largest."""
+    rows = stored(minhash.groups(docs, 5, 80).where("root is not null"), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    several = stored(rows.groupBy("root").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first"), "several")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    marks = rows.join(small(several), "root").groupBy(F.col("doc_id").alias("by"), F.col("digest").alias("of")).agg(F.first(stays).alias("stays"), F.count("*").alias("n"))
+    marks = stored(marks.where("not stays or n > 1").select("by", "of", "stays"), "marks")
+    seen = docs.withColumn("_digest", minhash.digest())
+    seen = seen.join(small(marks), (F.col("_digest") == F.col("of")) & F.col("doc_id").cast("long").eqNullSafe(F.col("by")), "left")
+    out = seen.where("stays is null").select(docs.columns)
+    if marks.where("stays").isEmpty():
+        return out
+    # Rows that repeat the id and text of the one that stays.
+    return out.union(seen.where("stays").groupBy("by", "of").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = contamination.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(small(found), "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold no benchmark item, a text being known by its digest."""
+    texts = docs.select(minhash.digest().alias("doc_id"), "text")
+    found = contamination.leaks(texts, table(spark, sf_dir, "benchmark"), "string").select(F.col("doc_id").alias("_digest")).distinct()
+    return docs.withColumn("_digest", minhash.digest()).join(small(found), "_digest", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

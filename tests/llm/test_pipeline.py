@@ -1,6 +1,7 @@
 """Each stage of the pipeline against a plain version of its decision, on the smallest tables."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -9,7 +10,7 @@ import corpus_pipeline
 from wedgeworks.llm import mixing, quality
 from wedgeworks.llm.common import stored
 
-from .helpers import near_groups
+from .helpers import DOCS, near_groups, prose
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -36,3 +37,16 @@ def test_stages(spark, tmp_path):
     sql = mixing.OP6_SQL.replace(f"* {mixing.SHARE})", f"* {corpus_pipeline.MIX_SHARE})").replace(f"::BIGINT * {mixing.MAX_EPOCHS} AS lim", f"::BIGINT * {corpus_pipeline.MIX_EPOCHS} AS lim").replace(f"range({mixing.MAX_EPOCHS})", f"range({corpus_pipeline.MIX_EPOCHS})")
     assert ids[4] == {r[0] for r in con.sql(sql).fetchall()}
     assert ids[5] == ids[4] and len(ids[4]) < len(ids[3])
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(5)
+    one, two, three, clean, alone = (prose(rng, 120) for _ in range(5))
+    leak = f"{prose(rng, 40)} {spark.read.parquet(f'{SF}/benchmark.parquet').orderBy('item_id').first()['text']} {prose(rng, 40)}"
+    rows = [(1, one), (None, one), (2, f"{one} more"), (None, two), (None, two), *[(3, three)] * 30, (4, three), (4, clean), (None, alone), (5, None), (5, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in rows], DOCS).repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(1, one), (None, two), (3, three), (4, clean), (None, alone), (5, None), (5, None), (None, None)], key=str)
+    docs = spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in [(None, leak), (7, leak), (7, clean), (None, alone), (8, None)]], DOCS)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_leaks(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(7, clean), (None, alone), (8, None)], key=str)

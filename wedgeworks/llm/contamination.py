@@ -205,7 +205,7 @@ def answer_of(item: list[int]) -> list[int]:
     return item[-max(3, len(item) // 4) :]
 
 
-def _matches(weight: np.ndarray, basis: np.ndarray, numbers: list[int | None], items: list[list[int]]):
+def _matches(kind: pa.DataType, weight: np.ndarray, basis: np.ndarray, numbers: list[int | None], items: list[list[int]]):
     scaled = basis * weight[:, None]
     latent = np.stack([scaled[np.array(i, np.int64)].sum(axis=0) for i in items])
     norm = np.linalg.norm(latent, axis=1, keepdims=True)
@@ -285,15 +285,18 @@ def _matches(weight: np.ndarray, basis: np.ndarray, numbers: list[int | None], i
                             found = max(found, (overlap >= LEAKED or answer >= ANSWERED, overlap, answer))
                     if found[0]:
                         out.append((docs[at + row], numbers[i], max(c for _, c in hits), *found[1:]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), *[pa.float64()] * 3))], names)
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((kind, pa.int64(), *[pa.float64()] * 3))], names)
 
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, cosine, overlap and answer_overlap of every document that holds a benchmark item."""
-    schema = "doc_id long, item_id long, cosine double, overlap double, answer_overlap double"
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+def leaks(docs: DataFrame, benchmark: DataFrame, kind: str = "long") -> DataFrame:
+    """doc_id, item_id, cosine, overlap and answer_overlap of every document that holds a benchmark item.
+
+    ``kind`` is the type of doc_id, long or string.
+    """
+    schema = f"doc_id {kind}, item_id long, cosine double, overlap double, answer_overlap double"
+    source = docs.select(F.col("doc_id").cast(kind).alias("doc_id"), F.lower("text").alias("text"))
     queries = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"))
     blocks = -(-queries.count() // ITEMS)
     out = docs.sparkSession.createDataFrame([], schema)
@@ -305,7 +308,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             continue
         items = [(np.searchsorted(vocabulary, h) + 1).tolist() for h in hashed]
         kept = [(r["item_id"], i) for r, i in zip(rows, items, strict=True) if i]
-        encoded = stored(source.mapInArrow(_numbered(vocabulary), "doc_id long, ids binary"), "numbered")
+        encoded = stored(source.mapInArrow(_numbered(vocabulary), f"doc_id {kind}, ids binary"), "numbered")
         found = dict(encoded.mapInArrow(_frequencies(len(vocabulary)), "id long, n long").groupBy("id").agg(F.sum("n")).collect())
         n = np.array([found.get(i, 0) for i in range(len(vocabulary) + 1)], float)
         rare = (n > 0) & (n <= max(COMMON * n[0], 50))
@@ -316,7 +319,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             held[r[0]] = r[1]
         weight = np.where(held > 0, np.log((n[0] + 1) / np.maximum(held, 1)), 0).astype(np.float32)
         basis = directions(together, weight)
-        out = out.union(stored(encoded.mapInArrow(_matches(weight, basis, [k for k, _ in kept], [i for _, i in kept]), schema), "leaks"))
+        out = out.union(stored(encoded.mapInArrow(_matches(pa.int64() if kind == "long" else pa.string(), weight, basis, [k for k, _ in kept], [i for _, i in kept]), schema), "leaks"))
         forget(encoded, together)
     return out
 
