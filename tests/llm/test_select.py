@@ -263,6 +263,17 @@ def test_leaks_of_common_words(spark):
     assert got == {*((i, 0) for i in range(0, 240, 3)), (500, 1), (501, 2)}
 
 
+def test_leaks_of_long_items(spark):
+    rng = random.Random(13)
+    items = [prose(rng, 500), prose(rng, 800)]
+    words = items[1].split()
+    edited = " ".join(f"other{i}" if i % 7 == 3 else w for i, w in enumerate(words))
+    rows = [(i, prose(rng, 1500), None, None, 0) for i in range(30)]
+    rows += [(500, f"{prose(rng, 70)} {items[0]} {prose(rng, 70)}", None, None, 0), (501, f"{prose(rng, 33)} {edited} {prose(rng, 9)}", None, None, 0), (502, " ".join(words[:250]), None, None, 0)]
+    got = {(r["doc_id"], r["item_id"]) for r in contamination.leaks(frame(spark, rows), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == {(500, 0), (501, 1)}
+
+
 def test_leaks_of_nothing(spark):
     docs = frame(spark, [(1, "a b c", None, None, 0)])
     assert contamination.leaks(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
