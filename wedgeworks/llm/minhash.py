@@ -2,13 +2,15 @@
 
 A document's set holds its distinct word shingles. ``bands x rows`` universal hash minima sign a set;
 documents that agree in a whole band are candidates. Equal sets fall together by a digest first and
-count as one *node*, so thousands of copies cost no more than one. A bucket of candidates is not
-expanded into pairs: every node is held against a few leaders of its bucket, links are confirmed on the
-full sets and merged into components. Buckets that still hold several components are then compared by
-signature, block against block inside tasks, and only pairs of different components whose signatures
-agree enough come out and are confirmed; so no link between components is lost. A pair that passes the
-similarity is missed only if no band agrees, with 32 bands of 4 rows below 1e-10 at 0.85 and below 1e-7
-at 0.8, or if its signature errs by five standard errors.
+count as one *node*, so thousands of copies cost no more than one, and buckets of the same nodes count as one
+bucket. No bucket is expanded into pairs: every node is held against a few leaders of its bucket, links are
+confirmed on the full sets and merged into components. Buckets that still hold several components and a pair
+without a leader are then dealt into blocks, two to a task, with the nodes' full sets. The task compares
+signatures of nodes of different components, skips what an earlier common band has compared, confirms the rest on
+the sets and gives only the links that join two components: fewer than it has nodes. No link between components is
+lost, but for a pair that passes the similarity while no band agrees, with 32 bands of 4 rows below 1e-10 at
+0.85 and below 1e-7 at 0.8, or whose signature errs by five standard errors. The time of a bucket whose nodes
+stay apart is quadratic in its nodes, spread over tasks; its rows are not.
 
 Defined results: null text, empty text and text without words have an empty set and are linked with
 nothing; rows with a null doc_id take part as all others do (a group without any id has a null component_id,
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, small, stored, table
+from .common import forget, join_keyed, small, stored, table
 from .components import components
 from .words import chunks, shingle_sets
 
@@ -34,7 +36,8 @@ BANDS, ROWS = 32, 4
 #: Standard errors by which a signature may fall below the similarity and still be checked further.
 SLACK = 5
 LEADERS = 3  #: of a bucket, against which every node of it is held
-BLOCK = 2048  #: nodes of a bucket that are compared in one task; more are dealt out as pairs of blocks
+#: Nodes and shingles of a block; a bucket is dealt into blocks, and a task compares two of them.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 19
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.int64).view(np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.int64).view(np.uint64)
@@ -60,17 +63,19 @@ def _signed(size: int):
         number = np.arange(BANDS, dtype=np.uint64) * _M[ROWS]
         for batch in batches:
             for first, end, data, at in chunks(batch.column(1)):
-                n, keys, sigs, bands = [], [], [], []
+                n, keys, sigs, shorts, bands = [], [], [], [], []
                 for hashes in shingle_sets(data, at, size):
                     n.append(len(hashes))
                     if not len(hashes):
-                        keys.append(None), sigs.append(None), bands.append(None)
+                        keys.append(None), sigs.append(None), shorts.append(None), bands.append(None)
                         continue
                     sig = signature(hashes)
                     band = (sig.reshape(BANDS, ROWS) * _M[:ROWS]).sum(axis=1) + number
-                    keys.append(set_key(hashes)), sigs.append(sig.astype(np.uint16).tobytes()), bands.append((band ^ (band >> np.uint64(29))).view(np.int64))
+                    band ^= band >> np.uint64(29)
+                    keys.append(set_key(hashes)), sigs.append(sig.astype(np.uint16).tobytes()), shorts.append(band.astype(np.uint32).tobytes()), bands.append(band.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[first:end], pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), batch.column(2)[first:end]], ["doc_id", "n_shingles", "key", "sig", "bands", "digest"]
+                    [batch.column(0)[first:end], pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), pa.array(shorts, pa.binary()), pa.array(bands, pa.list_(pa.int64())), batch.column(2)[first:end]],
+                    ["doc_id", "n_shingles", "key", "sig", "short", "bands", "digest"],
                 )
 
     return run
@@ -114,29 +119,50 @@ def _alike(least: int):
     return run
 
 
-def _across(least: int):
+def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column, and where each row's begin (and the last ends)."""
+    blobs = column.to_pylist()
+    return np.frombuffer(b"".join(blobs), kind), np.cumsum([0, *map(len, blobs)]) // np.dtype(kind).itemsize
+
+
+def linking(key: np.ndarray, root: np.ndarray, side: np.ndarray, sig: np.ndarray, bands: np.ndarray, sets: tuple[np.ndarray, np.ndarray], no: int, least: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join what is still apart among the nodes of a bucket (or of two blocks of it).
+
+    A pair is looked at if its nodes are on different sides (or both on side 2), in different components so far,
+    share no band before ``no`` and agree in ``least`` minima; it is a link if its full sets are similar enough.
+    """
+    values, at = sets
+    ids = np.unique(values, return_inverse=True)[1]
+    mark = np.zeros(len(values), bool)
+    n = np.diff(at)
+    part = np.unique(root, return_inverse=True)[1]
+    out = []
+    for i in range(len(key) - 1):
+        far = np.flatnonzero((part[i + 1 :] != part[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 2))) + i + 1
+        far = far[(sig[far] == sig[i]).sum(axis=1) >= least] if len(far) else far
+        far = far[~(bands[far, :no] == bands[i, :no]).any(axis=1)] if len(far) and no else far
+        if not len(far):
+            continue
+        own = ids[at[i] : at[i + 1]]
+        mark[own] = True
+        common = np.add.reduceat(mark[np.concatenate([ids[at[j] : at[j + 1]] for j in far])], np.concatenate(([0], np.cumsum(n[far])[:-1])), dtype=np.int64)
+        mark[own] = False
+        for j in far[100 * common >= percent * (n[i] + n[far] - common)].tolist():
+            if part[j] != part[i]:
+                part[part == part[j]] = part[i]
+                out.append((int(min(key[i], key[j])), int(max(key[i], key[j]))))
+    return out
+
+
+def _joined(least: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                at = batch.column(0)[row].values
+                at = batch.column(1)[row].values
                 key, root, side = (at.field(k).to_numpy() for k in ("key", "root", "side"))
-                sig = np.frombuffer(b"".join(at.field("sig").to_pylist()), np.uint16).reshape(len(key), -1)
-                order = np.argsort(root, kind="stable")
-                key, root, side, sig = key[order], root[order], side[order], sig[order]
-                us, vs = [], []
-                for i in range(0, len(key), 128):
-                    a = slice(i, i + 128)
-                    for j in range(i, len(key), 128):
-                        b = slice(j, j + 128)
-                        if root[a][0] == root[b][-1]:  # sorted, so all of both are of one component
-                            continue
-                        other = (root[a][:, None] != root[b][None, :]) & ((side[a][:, None] != side[b][None, :]) | (side[a][:, None] == 2))
-                        same = (sig[a][:, None, :] == sig[b][None, :, :]).sum(axis=2, dtype=np.uint16)
-                        x, y = np.nonzero(other & (same >= least))
-                        us.append(key[a][x]), vs.append(key[b][y])
-                if us:
-                    u, v = np.concatenate(us), np.concatenate(vs)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+                sig, bands = (_flat(at.field(k), kind)[0].reshape(len(key), -1) for k, kind in (("sig", np.uint16), ("short", np.uint32)))
+                found = linking(key, root, side, sig, bands, _flat(at.field("hashes"), np.uint64), batch.column(0)[row].as_py(), least, percent)
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     return run
 
@@ -151,10 +177,6 @@ def _with_both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").select("u", "v", f"{name}_u", f"{name}_v")
 
 
-def _nodes(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
-
-
 class Search:
     """Candidates of one corpus, from buckets to confirmed links."""
 
@@ -163,64 +185,93 @@ class Search:
         similar = percent / 100
         self.least = int((similar - SLACK * (similar * (1 - similar) / (BANDS * ROWS)) ** 0.5) * BANDS * ROWS)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest())
-        self.signed = stored(self.docs.mapInArrow(_signed(size), "doc_id long, n_shingles long, key long, sig binary, bands array<long>, digest string"), "signed")
-        in_band = self.signed.select("key", F.explode("bands").alias("band"))
-        several = stored(in_band.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band"), "buckets")
-        self.members = stored(in_band.join(small(several), "band").select("band", "key").distinct(), "members")
+        self.signed = stored(self.docs.mapInArrow(_signed(size), "doc_id long, n_shingles long, key long, sig binary, short binary, bands array<long>, digest string"), "signed")
+        in_band = self.signed.select("key", F.posexplode("bands").alias("no", "band"))
+        several = stored(in_band.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band"), "several")
+        members = stored(in_band.join(small(several), "band").select("no", "band", "key").distinct(), "members")
+        # Buckets of the same nodes are one, that of the first band; its members are known by two hashes of their keys.
+        leader = F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("h"), "key")).getField("key") for turn in range(LEADERS))))
+        buckets = members.groupBy("band", "no").agg(leader.alias("leaders"), F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(f"same{k}"), "key")).alias(f"x{k}") for k in (0, 1)))
+        first = buckets.groupBy("n", "x0", "x1").agg(F.min(F.struct("no", "band", "leaders")).alias("b"))
+        #: (band, no, leaders, n) of every bucket
+        self.buckets = stored(first.select("b.band", "b.no", "b.leaders", "n"), "buckets")
+        self.members = stored(join_keyed(members.select("band", "key"), self.buckets.select("band", "n"), ["band"], "n"), "bucket-members")
         nodes = small(stored(self.members.select("key").distinct(), "nodes"))
         #: signature and one row, known by id (or none) and digest, of every node that shares a bucket
-        self.about = stored(self.signed.join(nodes, "key").groupBy("key").agg(F.max("sig").alias("sig"), F.min(F.struct("digest", "doc_id")).alias("row")), "about")
+        self.about = stored(self.signed.join(nodes, "key").groupBy("key").agg(F.max(F.struct("sig", "short", "n_shingles")).alias("m"), F.min(F.struct("digest", "doc_id")).alias("row")).select("key", "m.*", "row"), "about")
+        forget(several, members)
 
-    def open(self, roots: DataFrame) -> DataFrame:
-        """(band, key, root) of the buckets that hold several components."""
-        labelled = self.members.join(small(roots.withColumnRenamed("node", "key")), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-        mixed = labelled.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
-        return stored(labelled.join(small(stored(mixed, "mixed")), "band"), "open")
-
-    def led(self, members: DataFrame) -> DataFrame:
-        """Pairs of each node with the leaders of its bucket, alike by signature."""
-        lead = F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("h"), "key")).getField("key") for turn in range(LEADERS))))
-        leaders = members.groupBy("band").agg(lead.alias("leaders"))
-        each = members.join(leaders, "band").select("key", F.explode("leaders").alias("lead")).where("key <> lead")
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(key, hashes): the full set of every node, read again from one of its rows."""
+        nodes = stored(nodes, "wanted-nodes")
+        wanted = small(stored(self.about.join(small(nodes), "key").select("key", F.col("row.digest").alias("of"), F.col("row.doc_id").alias("by")), "wanted"))
+        texts = self.docs.join(wanted, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("by"))).select("key", "text")
+        return stored(texts.mapInArrow(_sets(self.size), "key long, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
+
+    def led(self) -> DataFrame:
+        """Links of nodes with the leaders of their buckets: alike by signature, similar by full sets."""
+        each = join_keyed(self.members, self.buckets.select("band", "leaders", "n"), ["band"], "n").select("key", F.explode("leaders").alias("lead")).where("key <> lead")
         pairs = each.select(F.least("key", "lead").alias("u"), F.greatest("key", "lead").alias("v")).distinct()
-        return _with_both(pairs, self.about, "sig").mapInArrow(_alike(self.least), "u long, v long")
+        pairs = stored(_with_both(pairs, self.about, "sig").mapInArrow(_alike(self.least), "u long, v long"), "alike")
+        sets = self.sets(pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct())
+        out = stored(_with_both(pairs, sets, "hashes").mapInArrow(_close(self.percent), "u long, v long"), "links")
+        forget(sets, pairs)
+        return out
+
+    def open(self, roots: DataFrame) -> DataFrame:
+        """(band, key, root) of the buckets that hold several components and a pair without a leader."""
+        wide = self.buckets.where(F.col("n") >= F.size("leaders") + 2).select("band", "n")
+        labelled = join_keyed(self.members, stored(wide, "wide"), ["band"], "n").join(small(roots.withColumnRenamed("node", "key")), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+        labelled = stored(labelled, "labelled")
+        mixed = stored(labelled.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b").select("band", "n"), "mixed")
+        out = stored(join_keyed(labelled, mixed, ["band"], "n"), "open")
+        forget(labelled, mixed)
+        return out
 
     def rest(self, members: DataFrame) -> DataFrame:
-        """Pairs of different components in one bucket, alike by signature."""
-        counts = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-        dealt = members.join(counts, "band").join(self.about.select("key", "sig"), "key")
-        own = F.pmod(F.xxhash64("key"), F.col("n")).cast("int")
+        """Links between components in one bucket, found and confirmed inside tasks: a bucket is dealt into blocks
+        of bounded nodes and shingles, and a task gets two of them with their sets."""
+        sets = self.sets(members.select("key").distinct())
+        known = stored(self.about.select("key", "sig", "short", "n_shingles").join(sets, "key"), "known")
+        sized = members.join(small(known.select("key", "n_shingles")), "key")
+        blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts")
+        counts = stored(sized.groupBy("band").agg(blocks, F.count("*").alias("n")).join(self.buckets.select("band", "no"), "band"), "block-counts")
+        dealt = join_keyed(members, counts, ["band"], "n")
+        own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
         # Block i meets block j in the task (i, j); a member's side there is 0 or 1, or 2 where i = j.
-        dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long").alias("side")
-        grouped = dealt.groupBy("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("key", "root", side, "sig")).alias("g"))
-        return grouped.select("g").mapInArrow(_across(self.least), "u long, v long").distinct()
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets are similar enough."""
-        pairs = stored(pairs, "alike")
-        wanted = small(stored(self.about.join(small(stored(_nodes(pairs), "nodes")), "key").select("key", F.col("row.digest").alias("of"), F.col("row.doc_id").alias("by")), "wanted"))
-        texts = self.docs.join(wanted, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("by"))).select("key", "text")
-        sets = stored(texts.mapInArrow(_sets(self.size), "key long, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
-        out = stored(_with_both(pairs, sets, "hashes").mapInArrow(_close(self.percent), "u long, v long"), "links")
-        forget(sets, pairs)
+        carried = dealt.select("band", "no", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "root", side).join(known.drop("n_shingles"), "key")
+        grouped = carried.groupBy("band", "no", "i", "j").agg(F.collect_list(F.struct("key", "root", "side", "sig", "short", "hashes")).alias("g"))
+        out = stored(grouped.select("no", "g").mapInArrow(_joined(self.least, self.percent), "u long, v long").distinct(), "links")
+        forget(sets, known, counts)
         return out
 
     def roots(self) -> DataFrame:
         """(node, root) of every node that is linked."""
-        links = self.confirmed(self.led(self.members))
+        links = self.led()
         roots = stored(components(links), "roots")
         left = self.open(roots)
         if left.isEmpty():
             return roots
-        return components(links.union(self.confirmed(self.rest(left))))
+        return stored(components(links.union(self.rest(left))), "roots")
 
 
-def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, digest, n_shingles and root of every row; root is null for an empty set and else names the group."""
+def groups(docs: DataFrame, size: int, percent: int, first: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows with doc_id, digest, n_shingles, key (of the set; null without words); and (key, first, n) of the sets
+    that have several rows, or links: the least ``first`` of the rows' group, and how many rows the set has.
+
+    Sets are named before they are joined to rows, so a group's rows never meet.
+    """
     search = Search(docs, size, percent)
-    roots = small(search.roots().select(F.col("node").alias("key"), "root"))
-    return search.signed.join(roots, "key", "left").select("doc_id", "digest", "n_shingles", F.coalesce("root", "key").alias("root"))
+    rows = search.signed.select("doc_id", "digest", "n_shingles", "key")
+    roots = search.roots().select(F.col("node").alias("key"), "root")
+    keys = stored(rows.where("key is not null").groupBy("key").agg(F.min(first).alias("own"), F.count("*").alias("n")), "keys")
+    linked = stored(keys.join(small(roots), "key"), "linked")
+    by_root = stored(linked.groupBy("root").agg(F.min("own").alias("first"), F.count("*").alias("m")), "by-root")
+    together = join_keyed(linked.select("key", "n", "root"), by_root, ["root"], "m").select("key", "first", "n")
+    alone = keys.where("n > 1").join(small(roots), "key", "left_anti").select("key", F.col("own").alias("first"), "n")
+    return rows, stored(together.union(alone), "named")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -228,10 +279,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     ``size`` words make a shingle; documents are linked from ``percent`` per cent of Jaccard similarity.
     """
-    grouped = groups(docs, size, percent)
-    named = grouped.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    named = grouped.join(named, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
-    return named.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows, named = groups(docs, size, percent, F.col("doc_id"))
+    out = join_keyed(rows, named, ["key"], "n", "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
