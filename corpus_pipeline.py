@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wedgeworks.llm import contamination, minhash, mixing, quality, sharding
-from wedgeworks.llm.common import small, stored, table
+from wedgeworks.llm.common import join_keyed, small, stored, table
 
 #: The mix keeps at most one copy of a document and nine tenths of the tokens.
 MIX_SHARE, MIX_EPOCHS = 0.9, 1
@@ -25,11 +25,11 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group on five-word shingles at 0.8: of the smallest id, a null id being the largest."""
-    rows = stored(minhash.groups(docs, 5, 80).where("root is not null"), "groups")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
-    several = stored(rows.groupBy("root").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first"), "several")
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
-    marks = rows.join(small(several), "root").groupBy(F.col("doc_id").alias("by"), F.col("digest").alias("of")).agg(F.first(stays).alias("stays"), F.count("*").alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    rows, named = minhash.groups(docs, 5, 80, first)
+    grouped = join_keyed(rows, named, ["key"], "n").select(F.col("doc_id").alias("by"), F.col("digest").alias("of"), "first")
+    stays = F.col("by").eqNullSafe(F.col("first.doc_id")) & (F.col("of") == F.col("first.digest"))
+    marks = grouped.groupBy("by", "of").agg(F.first(stays).alias("stays"), F.count("*").alias("n"))
     marks = stored(marks.where("not stays or n > 1").select("by", "of", "stays"), "marks")
     seen = docs.withColumn("_digest", minhash.digest())
     seen = seen.join(small(marks), (F.col("_digest") == F.col("of")) & F.col("doc_id").cast("long").eqNullSafe(F.col("by")), "left")
