@@ -3,16 +3,16 @@
 A gear hash rolls over 16 bytes; a chunk ends where the hash is a strict maximum of the 24 bytes before
 and not exceeded in the 24 after. Cuts thus depend on nothing but the 63 bytes around them, so an
 insertion changes the chunks it touches and no others, and a passage common to two texts is cut the same
-in both but for its ends. Chunks are about 49 bytes, 25 at least, and split at 4096.
+in both but for its ends. Chunks are about 49 bytes, and split at 4096; no cut lies within 24 bytes of a
+text's ends, so a chunk has 25 bytes at least, or is a whole text.
 
 Of the chunks of one digest (128 bits of BLAKE2b), the first in order of document and position is kept
-and the others are removed, where they form runs of at least ``LEAST_RUN`` bytes; single shorter chunks
-are chance and stay. Chunks of the whole corpus are counted by the first half of the digest, and only
+and all others are removed. Chunks of the whole corpus are counted by the first half of the digest, and only
 those met twice travel any further. A text that occurs several times is chunked once, for its smallest
 document; its other copies go as a whole.
 
 Defined results: null text is empty and has no chunk; rows with a null doc_id come last in order; rows
-that repeat an id and a text share one decision; texts shorter than LEAST_RUN are never touched; other columns
+that repeat an id and a text share one decision; a short text that repeats goes as a whole, as one chunk; other columns
 are ignored; no rows give no rows.
 """
 
@@ -26,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, small, stored, table, utf8
+from .common import forget, join_keyed, small, stored, table, utf8
 from .words import chunks
 
 GEAR = 16
 REACH = 24
 LONGEST = 4096
-LEAST_RUN = 64
 _TABLE = np.random.default_rng(3).integers(0, 2**32, 256, dtype=np.int64).astype(np.uint32)
 
 
@@ -52,7 +51,7 @@ def cuts(data: np.ndarray) -> np.ndarray:
         n *= 2
     most = np.maximum(most[: len(most) - (REACH - n)], most[REACH - n :])  # of REACH from each place on
     ends = np.flatnonzero((x > most[: len(x)]) & (x >= most[REACH + 1 : REACH + 1 + len(x)])) + 1
-    ends = np.append(ends[ends < len(data)], len(data))
+    ends = np.append(ends[(ends > REACH) & (ends < len(data) - REACH)], len(data))
     sizes = np.diff(ends, prepend=0)
     if sizes.max() > LONGEST:
         begins = ends - sizes
@@ -99,14 +98,10 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(ends: np.ndarray, flag: np.ndarray) -> list[tuple[int, int]]:
-    """Spans of neighbouring flagged chunks of at least LEAST_RUN bytes."""
-    out: list[tuple[int, int]] = []
+    """Spans of neighbouring flagged chunks."""
     starts = np.concatenate(([0], ends[:-1]))
     edge = np.diff(np.concatenate(([0], flag.astype(np.int8), [0])))
-    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1, strict=True):
-        if ends[b] - starts[a] >= LEAST_RUN:
-            out.append((int(starts[a]), int(ends[b])))
-    return out
+    return [(int(starts[a]), int(ends[b])) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1, strict=True)]
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +112,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, n_chunks, repeated, spans, kept = [], [], [], [], []
         for row, data in _texts(batch.column(1)):
             met, gone, ends = [], [], cuts(data)
-            if copy[row] is not None and len(data) >= LEAST_RUN:
+            if copy[row] is not None and len(data):
                 met = [(0, len(data))]
                 gone = met if copy[row] else []
             if found[row].is_valid and len(data) and not gone:
@@ -145,15 +140,15 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
     several = stored(rows.where("octet_length(text) > 0").groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1").select("key", "least"), "copies")
     seen = rows.join(small(several.withColumn("many", F.lit(True))), "key", "left")
     own = seen.where("many is null or doc_id <=> least").select("id", F.coalesce("least", "doc_id").alias("least"), "text")
-    pieces = own.select("id", "least", "text").mapInArrow(_digested, "h long, rest long, id long, least long, start int")
-    often = stored(pieces.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
-    met = stored(pieces.join(often, "h"), "met")
+    pieces = stored(own.select("id", "least", "text").mapInArrow(_digested, "h long, rest long, id long, least long, start int"), "pieces")
+    often = stored(pieces.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    met = stored(join_keyed(pieces, often, ["h"], "n"), "met")
     order = F.struct(F.col("least").isNull().alias("none"), "least", "id", "start")
-    first = met.groupBy("h", "rest").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last")
-    found = stored(
-        met.join(first, ["h", "rest"]).select("id", F.struct("start", "rest", ((F.col("id") == F.col("first.id")) & (F.col("start") == F.col("first.start"))).alias("first")).alias("c")).groupBy("id").agg(F.collect_set("c").alias("chunks")), "found"
-    )
-    forget(met, often)
+    several_of = met.groupBy("h", "rest").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).where("first <> last")
+    first = stored(several_of.select("h", "rest", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"), "n"), "first")
+    is_first = ((F.col("id") == F.col("first_id")) & (F.col("start") == F.col("first_start"))).alias("first")
+    found = stored(join_keyed(met, first, ["h", "rest"], "n").select("id", F.struct("start", "rest", is_first).alias("c")).groupBy("id").agg(F.collect_set("c").alias("chunks")), "found")
+    forget(pieces, often, met, first)
     joined = seen.join(found, "id", "left").select("doc_id", "text", F.when(F.col("many"), ~F.col("doc_id").eqNullSafe(F.col("least"))).alias("copy"), "chunks")
     return joined.mapInArrow(_removed, "doc_id long, n_bytes long, n_chunks long, n_repeated long, spans array<struct<start:long,end:long>>, kept binary")
 

@@ -65,6 +65,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any file system exists."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for df in tables:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, small, stored, table, utf8
+from .common import forget, join_keyed, small, stored, table, utf8
 from .suffix_array import suffix_array
 from .words import chunks, mix
 
@@ -226,21 +226,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     single = seen.where("whole is null or doc_id <=> least").select("id", "text")
 
     anchors = stored(single.mapInArrow(_anchors, "id binary, anchor long, n long"), "anchors")
-    often = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    wanted = stored(anchors.join(often, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("anchors")), "wanted")
+    often = stored(anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "often")
+    wanted = stored(join_keyed(anchors.select("id", "anchor"), often, ["anchor"], "n").groupBy("id").agg(F.collect_list("anchor").alias("anchors")), "wanted")
     cells = stored(_of(single, wanted).select("id", "text", "anchors").mapInArrow(_cells, "id binary, core binary, lft binary, rgt binary, start int"), "cells")
-    forget(anchors, wanted)
+    forget(anchors, often, wanted)
 
     contexts = stored(cells.groupBy("core", "lft", "rgt").agg(F.count("*").alias("n")), "contexts")
-    several = stored(contexts.groupBy("core").agg(F.count("*").alias("k")).where("k > 1"), "cores")
-    open_ = contexts.join(small(several), "core")
+    several = stored(contexts.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core", "k", F.col("k").alias("rows")), "cores")
+    open_ = join_keyed(contexts, several, ["core"], "rows")
     grouped = open_.where(F.col("k") <= HOT).groupBy("core").agg(F.collect_list(F.struct("lft", "rgt")).alias("contexts"))
     decided = grouped.mapInArrow(_decided, "core binary, lft binary, rgt binary, mask long")
     found = decided.union(_hot(open_.where(F.col("k") > HOT).select("core", "lft", "rgt")))
-    masks = stored(found.union(contexts.where("n > 1").select("core", "lft", "rgt", F.lit((1 << CELL) - 1).cast("long").alias("mask"))).groupBy("core", "lft", "rgt").agg(F.bit_or("mask").alias("mask")), "masks")
+    whole = contexts.where("n > 1").select("core", "lft", "rgt", F.lit((1 << CELL) - 1).cast("long").alias("mask"), "n")
+    masks = stored(found.withColumn("n", F.lit(1)).union(whole).groupBy("core", "lft", "rgt").agg(F.bit_or("mask").alias("mask"), F.max("n").alias("n")), "masks")
     every = F.expr(f"shiftleft(1L, octet_length(lft) + octet_length(rgt) - {CELL - 2}) - 1")  # its own starts only
-    marked = stored(cells.join(masks, ["core", "lft", "rgt"]).groupBy("id").agg(F.collect_list(F.struct("start", F.col("mask").bitwiseAND(every).alias("mask"))).alias("cells")), "marked")
-    forget(cells, contexts, masks)
+    marked = stored(join_keyed(cells, masks, ["core", "lft", "rgt"], "n").groupBy("id").agg(F.collect_list(F.struct("start", F.col("mask").bitwiseAND(every).alias("mask"))).alias("cells")), "marked")
+    forget(cells, contexts, several, masks)
     ids = stored(marked.select("id"), "marked-ids")
     touched = _of(seen, marked, ids).select("doc_id", "text", "whole", "cells")
     others = seen.join(small(ids), "id", "left_anti").select("doc_id", "text", "whole", F.lit(None).cast(marked.schema["cells"].dataType).alias("cells"))

@@ -52,12 +52,13 @@ def suffix_array(text: list[int]) -> list[int]:
                 met[p] = met.get(p, 0) + 1
         members[now] = own
         if met:
-            counts = set(met.values())
-            for count in sorted(counts, reverse=True):
+            # Distinct counts are few: k of them need k * k / 2 members of the group.
+            by_count = defaultdict(list)
+            for p, times in met.items():
+                by_count[times].append(p)
+            for count in sorted(by_count, reverse=True):
                 fresh: dict[int, int] = {}
-                for p, times in met.items():
-                    if times != count:
-                        continue
+                for p in by_count[count]:
                     old = group[p]
                     new = fresh.get(old)
                     if new is None:
