@@ -1,16 +1,16 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A trigram is the product of its letters' vectors, the
-first rotated twice and the second once; a text is the sum of its trigrams' vectors; a language is the
-sum of its texts. A text is given the language whose prototype has the largest cosine with it.
+Every letter of Unicode has a random vector of +1 and -1, seeded by its code point; what lies between letters has one
+vector too. A trigram is the product of its letters' vectors, the first moved by two blocks and the second by one; a
+text is the sum of its trigrams' vectors; a language is the sum of its texts. A text is given the language
+whose prototype has the largest cosine with it.
 
-Sums are taken over trigram counts: tasks count trigrams by language, Spark adds the counts up, and the
-few thousand counts of a language are bundled on the driver (their number is bounded by the alphabet of
-64 symbols cubed, not by the corpus). Scoring is a product of each batch's counts with its trigrams'
-vectors.
+Vectors are bits: a product of signs is an exclusive or, and a vector is made from its letters when it is
+needed, so nothing is kept for what was met before. Tasks add up the vectors of their texts by language, Spark adds up the
+tasks, and the driver gets at most ``PARTS`` sums of ``DIMENSION`` numbers a language.
 
 Defined results: null text and text without a letter get ``und`` with score 0; documents of null lang
-teach nothing; runs of other characters count as one gap; without any learnt language every text is
+teach nothing; case is ignored; runs of other characters count as one gap; without any learnt language every text is
 ``und``; ties go to the alphabetically first language; rows repeat as they come; other columns are
 ignored.
 """
@@ -22,95 +22,100 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table
-from .words import chunks
+from .words import chunks, mix
 
 DIMENSION = 1024
-SYMBOLS = 64
-TRIGRAMS = SYMBOLS**3
+BLOCKS = DIMENSION // 64
+PARTS = 64
 MODULUS, HELD_OUT = 4, 2
 UNKNOWN = "und"
+_SHIFT = 21  #: bits of a code point
+_ROWS, _MOST = 512, 4096  #: texts and trigrams that are multiplied together
 
 
 @cache
-def symbols() -> np.ndarray:
-    """Symbol of every code point: 0 for what is no letter, a to z as 1 to 26, other letters hashed on."""
-    out = np.zeros(0x110000, np.uint8)
-    for i in range(0x30000):
+def letters() -> np.ndarray:
+    """For every code point its lower-case letter, or 0 if it is no letter."""
+    out = np.zeros(0x110000, np.int64)
+    for i in range(0x110000):
         if (c := chr(i)).isalpha():
-            low = ord(c.lower()[0])
-            out[i] = low - 96 if 97 <= low <= 122 else 27 + (low * 2654435761 >> 7) % (SYMBOLS - 27)
+            out[i] = ord(c.lower()[0])
     return out
 
 
-@cache
-def letters() -> np.ndarray:
-    """The random vector of each symbol."""
-    return np.random.default_rng(11).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSION))
+def bits(symbols: np.ndarray) -> np.ndarray:
+    """The random bits of each letter: symbols x BLOCKS words of 64."""
+    with np.errstate(over="ignore"):
+        return mix(mix(symbols.astype(np.uint64)[:, None] * np.uint64(BLOCKS) + np.arange(BLOCKS, dtype=np.uint64)) + np.uint64(0x9E3779B97F4A7C15))
 
 
-@cache
-def _known() -> tuple[np.ndarray, list[np.ndarray]]:
-    return np.full(TRIGRAMS, -1, np.int32), [np.zeros((0, DIMENSION), np.float32)]
+def vectors(codes: np.ndarray) -> np.ndarray:
+    """The vector of each trigram, +1 and -1."""
+    low = (1 << _SHIFT) - 1
+    bound = np.roll(bits(codes >> 2 * _SHIFT), 2, 1) ^ np.roll(bits(codes >> _SHIFT & low), 1, 1) ^ bits(codes & low)
+    return np.unpackbits(np.ascontiguousarray(bound).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
 
 
-def vectors(codes: np.ndarray) -> np.ndarray:
-    """Trigram vectors, kept by the process for those it has met."""
-    where, held = _known()
-    if (new := codes[where[codes] < 0]).size:
-        v = letters()
-        a, b, c = v[new // SYMBOLS**2], v[new // SYMBOLS % SYMBOLS], v[new % SYMBOLS]
-        where[new] = np.arange(len(new)) + len(held[0])
-        held[0] = np.concatenate([held[0], (np.roll(a, 2, 1) * np.roll(b, 1, 1) * c).astype(np.float32)])
-    return held[0][where[codes]]
-
-
-def trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all trigrams of the rows, the row of each, and whether a row has a letter."""
+def trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the trigrams that occur, the place of each occurrence among them and its row, and whether a row has a letter."""
     text = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     begins = np.cumsum((data & 0xC0) != 0x80)  # code points up to and with each byte
     ends = np.concatenate(([0], begins))[at[1:]] if len(begins) else np.zeros(len(at) - 1, np.int64)
     row = np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([0], ends))))
-    s = symbols()[text]
+    s = letters()[text]
     has = np.bincount(row[s > 0], minlength=len(ends)) > 0
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] > 0) | (s[:-1] > 0) | (row[1:] != row[:-1])
-    s, row = s[keep].astype(np.int64), row[keep]
-    codes = s[:-2] * SYMBOLS**2 + s[1:-1] * SYMBOLS + s[2:]
+    s, row = s[keep], row[keep]
     inside = row[:-2] == row[2:]
-    return codes[inside], row[:-2][inside], has
+    met, local = np.unique(s, return_inverse=True)  # few, so trigrams of their numbers are small
+    code = (local[:-2] * len(met) + local[1:-1]) * len(met) + local[2:]
+    code, place = np.unique(code[inside], return_inverse=True)
+    return met[code // len(met) ** 2] << 2 * _SHIFT | met[code // len(met) % len(met)] << _SHIFT | met[code % len(met)] if len(met) else code, place, row[:-2][inside], has
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) to the sum of each language's texts; the numbers are whole, so their order does not matter."""
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = batch.column(0).to_pylist()
         for first, end, data, at in chunks(batch.column(1)):
-            codes, row, _ = trigrams(data, at)
+            codes, place, row, _ = trigrams(data, at)
             names = sorted(set(langs[first:end]))
             number = np.array([names.index(x) for x in langs[first:end]])
-            for i, name in enumerate(names):
-                total = totals.setdefault(name, np.zeros(TRIGRAMS, np.int64))
-                total += np.bincount(codes[number[row] == i], minlength=TRIGRAMS)
-    for name, total in totals.items():
-        met = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(met)), pa.array(met), pa.array(total[met])], ["lang", "trigram", "n"])
+            counts = np.stack([np.bincount(place[number[row] == i], minlength=len(codes)) for i in range(len(names))]).astype(np.float64)
+            for k in range(0, len(codes), _MOST):
+                for name, total in zip(names, counts[:, k : k + _MOST] @ vectors(codes[k : k + _MOST]), strict=True):
+                    totals[name] = totals.get(name, 0) + total
+    part = TaskContext.get().partitionId() % PARTS
+    yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([part] * len(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["lang", "part", "sums"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the sums of each language and part as they stream by."""
+    totals: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        for lang, part, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            totals[lang, part] = totals.get((lang, part), 0) + np.frombuffer(blob, np.float64)
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in totals], pa.string()), pa.array([k[1] for k in totals], pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["lang", "part", "sums"])
 
 
 def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their unit prototypes, from all documents that may teach."""
+    schema = "lang string, part int, sums binary"
     learn = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id"), MODULUS, HELD_OUT))
-    counts = learn.select("lang", "text").mapInArrow(_counted, "lang string, trigram long, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
-    found = counts.toPandas()
-    names = sorted(found["lang"].unique())
+    sums: dict[str, np.ndarray] = {}
+    for r in learn.select("lang", "text").mapInArrow(_summed, schema).repartition("lang", "part").mapInArrow(_added, schema).collect():
+        sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["sums"], np.float64)
+    names = sorted(sums)
     out = np.zeros((len(names), DIMENSION), np.float32)
     for i, name in enumerate(names):
-        own = found[found["lang"] == name]
-        total = own["n"].to_numpy(np.float64) @ vectors(own["trigram"].to_numpy())
-        out[i] = total / max(np.linalg.norm(total), 1e-12)
+        out[i] = sums[name] / max(np.linalg.norm(sums[name]), 1e-12)
     return names, out
 
 
@@ -121,21 +126,19 @@ def identify(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, at in chunks(batch.column(1)):
-                codes, row, has = trigrams(data, at)
-                met = np.zeros(TRIGRAMS, bool)
-                met[codes] = True
-                which = np.flatnonzero(met)
-                place = np.cumsum(met) - 1
-                v = vectors(which)
+                codes, place, row, has = trigrams(data, at)
                 n = end - first
                 lang, score = [UNKNOWN] * n, np.zeros(n)
-                step = max(1, (1 << 21) // max(1, len(which)))  # bounds the dense counts of a product
                 edge = np.searchsorted(row, np.arange(n + 1))
-                for a in range(0, n if names else 0, step):
-                    b = min(n, a + step)
-                    own = slice(edge[a], edge[b])
-                    counts = np.bincount((row[own] - a) * len(which) + place[codes[own]], minlength=(b - a) * len(which)).reshape(b - a, -1).astype(np.float32)
-                    texts = counts @ v
+                for a in range(0, n if names else 0, _ROWS):
+                    b = min(n, a + _ROWS)
+                    own, texts = slice(edge[a], edge[b]), np.zeros((b - a, DIMENSION), np.float32)
+                    which, local = np.unique(place[own], return_inverse=True)
+                    for k in range(0, len(which), _MOST):
+                        used = (local >= k) & (local < k + _MOST)
+                        width = min(_MOST, len(which) - k)
+                        counts = np.bincount((row[own][used] - a) * width + local[used] - k, minlength=(b - a) * width).reshape(b - a, width)
+                        texts += counts.astype(np.float32) @ vectors(codes[which[k : k + width]])
                     cosine = texts @ known.T / np.maximum(np.linalg.norm(texts, axis=1, keepdims=True), 1e-12)
                     best = cosine.argmax(axis=1)
                     for i in np.flatnonzero(has[a:b]):
