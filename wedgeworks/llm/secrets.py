@@ -9,6 +9,9 @@ histogram of all tokens, so a token of a length at which text often looks random
 A span is added for discoveries that no test of the battery rejects as random. Positions are code
 points with exclusive ends.
 
+Tokens of digits only have no model of ordinary text (dates, amounts and identifiers are as even as random digits), so
+they are never a discovery.
+
 All steps are DataFrame functions on one row a document; nothing is shuffled but a histogram of at most
 ``strata x bins`` rows.
 
@@ -28,10 +31,10 @@ from .common import stored, table
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # the whole run of 18 or more; shorter runs never match
-HEX = r"[0-9a-f]{16,}"
+HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"  # a run is met at its start only
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Alphabets from the smallest: pattern, letters, and the sums of squares and cubes of the letter
 #: frequencies of ordinary text written in it (a hexadecimal word has only a to f).
@@ -55,9 +58,11 @@ BINS_PER_DECADE, LAST_BIN = 20, 600
 LENGTHS = (24, 32, 40, 48, 64, 96, 128)
 
 
-def spans_of(text: Column, pattern: str, group: int = 0) -> Column:
+def spans_of(text: Column, pattern: str, group: int = 0, needs: Column | None = None) -> Column:
     """Leftmost non-overlapping matches as array<struct<start,end,got>>, ``got`` being a group's length.
 
+    ``needs`` is a cheap condition without which there is no match; the pattern then need not be tried.
+
     Splitting by the pattern gives what lies between the matches; adding up the code points of both
     gives the positions.
     """
@@ -73,7 +78,8 @@ def spans_of(text: Column, pattern: str, group: int = 0) -> Column:
             F.concat(s["out"], F.array(F.struct((s["at"] + x["b"]).alias("start"), (s["at"] + x["b"] + x["m"]).alias("end"), x["v"].alias("got")))).alias("out"),
         ),
     )["out"]
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    found = text.rlike(pattern)
+    return F.when(found if needs is None else needs & found, walked).otherwise(none)
 
 
 def upper_tail(z: Column) -> Column:
@@ -129,8 +135,8 @@ def scan(docs: DataFrame) -> DataFrame:
     tokens = F.zip_with(spans_of(text, TOKEN), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda s, t: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(t).alias("test")))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        kind(F.filter(spans_of(text, ASSIGN, 1), lambda x: x["got"] >= ASSIGN_LEAST), 0).alias("assign"),
-        kind(spans_of(text, ACCESS), 1).alias("access"),
+        kind(F.filter(spans_of(text, ASSIGN, 1, text.contains("=") | text.contains(":")), lambda x: x["got"] >= ASSIGN_LEAST), 0).alias("assign"),
+        kind(spans_of(text, ACCESS, needs=text.contains("AKIA")), 1).alias("access"),
         kind(spans_of(text, HEX), 2).alias("hex"),
         F.when(text.rlike(TOKEN), tokens).alias("tokens"),
     )
