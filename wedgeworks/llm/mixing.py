@@ -60,7 +60,7 @@ def shared(level: str, parents: DataFrame | None, nodes: DataFrame, budget: int,
     above = list(LEVELS[: LEVELS.index(level)])
     known = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)) if weights else F.expr("cast(map() as map<string,int>)")
     here = nodes.groupBy(*above, level).agg(F.sum("limit").alias("limit")).withColumn("weight", F.coalesce(F.element_at(known, F.col(level)), F.lit(DEFAULT_WEIGHT)).cast("long")).where("weight > 0")
-    here = here.join(F.broadcast(parents), above) if parents is not None else here.withColumn("budget", F.lit(budget).cast("long"))
+    here = here.join(small(parents), above) if parents is not None else here.withColumn("budget", F.lit(budget).cast("long"))
     family = W.partitionBy(*above) if above else W.partitionBy(F.lit(0))
     order = family.orderBy(F.col("limit") / F.col("weight"), level)
     before = F.coalesce(F.sum("limit").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -73,8 +73,8 @@ def budgets(leaves: DataFrame, budget: int, weights: dict[str, dict[str, int]],
     nodes = leaves.select(*LEVELS, (F.col("available") * max_epochs).alias("limit"))
     at = None
     for level in LEVELS:
-        at = shared(level, at, nodes, budget, weights.get(level, {}))
-    return leaves.join(F.broadcast(at), list(LEVELS)).select(*LEVELS, "available", "budget")
+        at = stored(shared(level, at, nodes, budget, weights.get(level, {})), f"budget-{level}")
+    return leaves.join(small(at), list(LEVELS)).select(*LEVELS, "available", "budget")
 
 
 def mix(docs: DataFrame, budget: int | None = None, share: float = SHARE, weights: dict[str, dict[str, int]] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:

@@ -10,7 +10,7 @@ ids, of texts up to ``LONGEST`` bytes; the share of good rows comes from all lab
 is scored whole.
 
 Defined results: null and empty texts compress to nothing and get the score of difference zero; rows
-with null labels train nothing; a repeated id is scored per row; labels of one class only, or none,
+with null labels train nothing; a repeated id is scored per row and teaches with the least of its texts; labels of one class only, or none,
 give every text the share of good rows (0.5 without labels); other columns are ignored.
 """
 
@@ -41,7 +41,9 @@ def sample(docs: DataFrame, labels: DataFrame, learn: bool = True) -> DataFrame:
     texts = docs.where("text is not null").where(F.octet_length("text").between(1, LONGEST)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fit = texts.select("doc_id").join(known, "doc_id").distinct()  # ids only: lengths come from the scan
     one, two = (fit.where(F.col("quality") == q).orderBy("h", "doc_id").limit(PER_CLASS) for q in (0, 1))
-    return texts.join(F.broadcast(one.union(two)), "doc_id").select("doc_id", "text", "quality", (F.pmod("h", F.lit(4)) == 0).alias("calibrate"))
+    # One text an id, however often the id repeats, so the rows are bounded as the ids are.
+    chosen = texts.join(F.broadcast(one.union(two)), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"), F.first("h").alias("h"))
+    return chosen.select("doc_id", "text", "quality", (F.pmod("h", F.lit(4)) == 0).alias("calibrate"))
 
 
 def blocks(text: bytes) -> list[bytes]:
