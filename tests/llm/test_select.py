@@ -1,6 +1,7 @@
 """Operators that score, search, select and deal out."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -70,13 +71,45 @@ def test_language(spark):
     assert all(0 <= s <= 1 for _, s in got.values())
 
 
-def test_language_profiles_match_vectors_added_one_by_one():
-    text = "Ab, cd"
-    codes, _, has = language.trigrams(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
-    v, s = language.letters().astype(int), language.symbols()
-    ids = [s[ord(c)] for c in "Ab cd"]
-    want = sum(np.roll(v[a], 2) * np.roll(v[b], 1) * v[c] for a, b, c in zip(ids, ids[1:], ids[2:], strict=False))
-    assert has.all() and (language.vectors(codes).sum(axis=0) == want).all()
+def slow_profile(text):
+    """The sum of a text's trigram vectors, one by one."""
+    s, out = [], np.zeros(language.DIMENSION)
+    for c in text:
+        x = ord(c.lower()[0]) if c.isalpha() else 0
+        if x or not s or s[-1]:
+            s.append(x)
+    vector = {x: np.unpackbits(language.bits(np.array([x])).view(np.uint8)).astype(int) * 2 - 1 for x in set(s)}
+    for a, b, c in zip(s, s[1:], s[2:], strict=False):
+        out += np.roll(vector[a], 128) * np.roll(vector[b], 64) * vector[c]
+    return out
+
+
+def test_language_vectors_are_unlike():
+    v = np.unpackbits(language.bits(np.arange(97, 700)).view(np.uint8), axis=1).astype(float) * 2 - 1
+    cosine = v @ v.T / language.DIMENSION
+    assert np.abs(cosine - np.eye(len(v))).max() < 0.2
+
+
+def test_language_matches_profiles_added_one_by_one(spark):
+    rng = random.Random(15)
+    sounds = {"el": "αβγδεό", "ru": "абвгдё", "zz": "\U00030001\U00030002\U00030003", "en": "abcdEF"}
+    rows = [(i, "".join(rng.choice(sounds[k] + "  .") for _ in range(rng.choice([2, 30, 900]))), k, None, 0) for i, k in enumerate(rng.choice(list(sounds)) for _ in range(90))]
+    rows += [(200, "\U00030001" * 5, None, None, 0), (201, "ab", None, None, 0), (202, "абв", None, None, 0)]
+    total = {}
+    for i, text, lang, *_ in rows:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            total[lang] = total.get(lang, 0) + slow_profile(text)
+    total = {k: v / np.linalg.norm(v) for k, v in total.items()}
+    got = {r["doc_id"]: r for r in language.identify(frame(spark, rows)).collect()}
+    for i, text, *_ in rows:
+        if not any(c.isalpha() for c in text):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        own = slow_profile(text)
+        cosine = {k: own @ v / max(np.linalg.norm(own), 1e-12) for k, v in sorted(total.items())}
+        best = max(cosine, key=cosine.get)
+        assert got[i]["lang_pred"] == best and abs(got[i]["score"] - max(0, cosine[best])) < 1e-4
+    assert got[200]["lang_pred"] == "zz"
 
 
 def test_language_without_teachers(spark):
@@ -159,6 +192,28 @@ def test_neighbours_of_uneven_vectors(spark, monkeypatch, odd):
     assert np.mean(recall) >= 0.95
 
 
+def test_search_measures_a_falling_share(spark):
+    shares = []
+    for n in (1000, 6000):
+        x = np.random.default_rng(n).standard_normal((n, 16)).astype(np.float32)
+        got = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+        recall = []
+        for q in range(0, n, 100):
+            d = ((x.astype(float) - x[q]) ** 2).sum(axis=1)
+            d[q] = np.inf
+            recall.append(len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(d)[:10].tolist())) / 10)
+        assert np.mean(recall) >= 0.95
+        shares.append(np.mean([r["measured"] for r in got]) / n)
+    assert shares[1] < 0.5 * shares[0]
+
+
+def test_neighbours_of_unequal_lengths_and_repeated_ids(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 30)] + [(0, [0.5, 1.0]), (0, [9.0, 9.0]), (100, [1.0]), (200, [1.0, 2.0, 3.0]), (31, [1.0, 1.0, 1.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(i, i - 0.5) for i in range(1, 11)]
+    assert {r["query_id"] for r in got} == {0}
+
+
 def test_few_neighbours(spark):
     rows = [(0, [1.0, 0.0]), (100, [0.0, 1.0]), (3, [1.0, 0.5])]
     got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
@@ -183,6 +238,32 @@ def test_shards(spark):
     assert sharding.shard_documents(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_shards_match_a_map_kept_and_edited(spark, tmp_path):
+    """Balance with a row 4000 times; the map on disk gives every row's shard; growing moves rows to the new shard only."""
+    rng = random.Random(14)
+    texts = [prose(rng, rng.randint(1, 8)) for _ in range(4000)]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts)] + [(7, "same", None, None, 0)] * 4000 + [(None, None, None, None, None)] * 500
+    path = f"file://{tmp_path}/map"
+    got = sharding.shard_documents(frame(spark, rows), map_path=path).collect()
+    load, slots = {}, {}
+    for r in got:
+        load[r["shard"]] = load.get(r["shard"], 0) + r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == len(rows) and sum(load.values()) == sum(len((r[1] or "").encode()) + 1 for r in rows)
+    assert max(load.values()) - min(load.values()) <= 0.01 * max(load.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    kept = {(r["version"], r["vslot"]): r["shard"] for r in sharding.load_map(spark, path).collect()}
+    assert {v for v, _ in kept} == {0, 1} and all(kept[0, s] == s % 8 for s in range(sharding.SLOTS))
+    assert all(kept[1, r["vslot"]] == r["shard"] for r in got)
+    again = sharding.shard_documents(frame(spark, rows), map_path=path).collect()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["size"], r["vslot"], r["shard"], r["slot"])
+    assert sorted(map(key, again), key=str) == sorted(map(key, got), key=str)
+    assert {r["version"] for r in sharding.load_map(spark, path).collect()} == {0, 1}
+    grown = sharding.shard_documents(frame(spark, rows), shards=9, map_path=path).collect()
+    at = {r["vslot"]: r["shard"] for r in got}
+    assert all(r["shard"] in (8, at[r["vslot"]]) for r in grown) and any(r["shard"] == 8 for r in grown)
+
+
 def test_rebalanced_map(spark):
     rng = random.Random(8)
     weights = [(s, 1, rng.choice([10, 100, 1000])) for s in range(512)]
@@ -274,7 +355,35 @@ def test_leaks_of_long_items(spark):
     assert got == {(500, 0), (501, 1)}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_leaks_of_tables_match_all_pairs(spark):
+    """Whole leaks and paraphrases of the smallest tables, against every document's subsequence with every item."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    items = {r["item_id"]: r["text"].lower().split() for r in bench.collect()}
+    rng = random.Random(16)
+    rows = [(r["doc_id"], (r["text"] or "").lower().split()) for r in docs.collect()]
+    for k, item in items.items():  # paraphrases: words of the first three quarters replaced
+        words = [w if i >= 3 * len(item) // 4 or rng.random() > 0.25 else f"other{i}" for i, w in enumerate(item)]
+        rows.append((10_000 + k, [*prose(rng, 60).split(), *words, *prose(rng, 40).split()]))
+    want = set()
+    for i, words in rows:
+        for k, item in items.items():
+            ids = {w: j + 1 for j, w in enumerate(dict.fromkeys(item))}
+            own, goal = [ids[w] for w in item], [ids[w] for w in contamination.answer_of(item)]
+            for a in range(0, max(1, len(words)), len(item)):  # stretches of three times the item hold any leak
+                near = [ids[w] for w in words[a : a + 3 * len(item)] if w in ids]
+                overlap, answer = contamination.common_length(own, near) / len(own), contamination.common_length(goal, near) / len(goal)
+                if overlap >= contamination.LEAKED or (overlap >= contamination.PARAPHRASED and answer >= contamination.ANSWERED):
+                    want.add((i, k))
+    got = {(r["doc_id"], r["item_id"]) for r in contamination.leaks(frame(spark, [(i, " ".join(w), None, None, 0) for i, w in rows]), bench).collect()}
+    planted = {(10_000 + k, k) for k in items if (10_000 + k, k) in want}
+    assert len(planted) >= 0.8 * len(items) and len(got & want) >= 0.9 * len(want) and len(got & planted) >= 0.9 * len(planted)
+
+
 def test_leaks_of_nothing(spark):
+    none = frame(spark, [(1, None, None, None, 0)]).limit(0)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.Model(none, labels).scores(none).count() == language.identify(none).count() == secrets.find_secrets(none).count() == 0
     docs = frame(spark, [(1, "a b c", None, None, 0)])
     assert contamination.leaks(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert contamination.leaks(docs.limit(0), spark.createDataFrame([(1, "a b c d")], "item_id long, text string")).count() == 0

@@ -3,17 +3,21 @@
 Equal vectors become one node. Random hyperplanes deal the nodes into leaves, a few times over, and the
 nearest of a leaf start the graph. Then, in rounds of joins, every node gathers its neighbours and those
 it is a neighbour of, with their vectors, and introduces them to each other where one of the two is new;
-each keeps its ``DEGREE`` nearest. A query, being a row of the table, enters the graph at its own node:
-its best ``BEAM`` unexpanded candidates are expanded together in each round, and all their neighbours
-measured. Graph, search and result all use the original vectors, with distances in double precision, and
-a hyperplane lies at the median of a sample, so neither long vectors nor a far origin blur the graph.
+each keeps its ``DEGREE`` nearest. Rounds end when few edges are new. A query, being a row of the table, enters
+the graph at its own node and searches greedily: in each round, what is not expanded yet among its best ``BEAM``
+is expanded, all queries at once, and its neighbours are measured; a query ends when its best are all expanded.
+A node has at most ``DEGREE`` neighbours and the ``BACK`` nearest of those that it is a neighbour of, so a query
+measures a number of vectors that the table's size hardly changes. Graph, search and result all use the original
+vectors, with distances in double precision, and a hyperplane lies at the median of a sample, so neither long
+vectors nor a far origin blur the graph.
 
 Every list gathered in a task is bounded by the degree or the leaf size. The result is approximate; its
-recall against brute force is in the README and the tests.
+recall against brute force, and the vectors measured, are in the README and the tests.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no part, as
-queries or candidates, as do rows with a null vec_id; equal vectors tie by vec_id; repeated rows (same
-id) are one candidate; with ten others or fewer, all are returned as far as the graph reaches them, which
+queries or candidates, as do rows with a null vec_id and vectors of another length than most have (of two equally
+frequent lengths, the longer counts); equal vectors tie by vec_id; a repeated id is one candidate, with the least
+of its vectors in order of components; with ten others or fewer, all are returned as far as the graph reaches them, which
 it does when they fit in a leaf; an empty table gives no rows; other columns are ignored.
 """
 
@@ -28,14 +32,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import forget, stored, table
+from .common import forget, join_keyed, stored, table
 
-DEGREE = 32
-REVERSE = 32  #: nearest of those that have a node as neighbour
+DEGREE = 56
+REVERSE = 56  #: nearest of those that have a node as neighbour
 TREES, LEAF, LEAF_MOST = 4, 64, 160
-ROUNDS = 5
-OFFER = 8  #: candidates that one introduction offers a node
-BEAM, SEARCH_ROUNDS = 96, 4
+ROUNDS = 8
+OFFER = 10  #: candidates that one introduction offers a node
+BACK = 48  #: nearest of those that have a node as neighbour, in the search
+BEAM, SEARCH_ROUNDS = 48, 12
+FEW_NEW = 0.02  #: share of new edges below which the graph is done
 SAMPLE = 4096  #: vectors that place the hyperplanes
 QUERY_EVERY = 100
 TOP = 10
@@ -44,7 +50,9 @@ TOP = 10
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, x) of the rows that take part."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where("vec_id is not null and embedding is not null").where(fine & F.exists("embedding", lambda x: x != 0)).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("x"))
+    rows = vectors.where("vec_id is not null and embedding is not null").where(fine & F.exists("embedding", lambda x: x != 0)).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("x"))
+    usual = rows.groupBy(F.size("x").alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("length")).first()
+    return rows.where(F.size("x") == usual["length"]) if usual else rows
 
 
 def _matrix(column: pa.Array, kind: type) -> np.ndarray:
@@ -123,6 +131,12 @@ def kept(edges: DataFrame) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= DEGREE)
 
 
+def reverse(graph: DataFrame, most: int) -> DataFrame:
+    """(v, u, new): for every node v the nearest, at most ``most``, of those that have it as neighbour."""
+    rank = F.row_number().over(W.partitionBy("v").orderBy("d", "u"))
+    return graph.select(F.col("u").alias("v"), F.col("v").alias("u"), "d", "new").withColumn("rank", rank).where(F.col("rank") <= most).select("v", "u", "new")
+
+
 def graph_of(nodes: DataFrame) -> DataFrame:
     """(v, u, d, new, rank): the neighbour graph of ``nodes(node, x, leaves)``."""
     spread = nodes.select("node", "x", F.explode("leaves").alias("leaf"))
@@ -131,8 +145,7 @@ def graph_of(nodes: DataFrame) -> DataFrame:
     leaves = dealt.groupBy("leaf", "part").agg(F.collect_list(F.struct("node", "x")).alias("members")).select("members")
     graph = stored(kept(leaves.mapInArrow(_start, "v long, u long, d double").withColumn("new", F.lit(True))), "graph")
     for _ in range(ROUNDS):
-        back = graph.select(F.col("u").alias("v"), F.col("v").alias("u"), "d", "new").withColumn("rank", F.row_number().over(W.partitionBy("v").orderBy("d", "u"))).where(F.col("rank") <= REVERSE)
-        around = graph.select("v", "u", "new").union(back.select("v", "u", "new")).groupBy("v", "u").agg(F.max("new").alias("new"))
+        around = graph.select("v", "u", "new").union(reverse(graph, REVERSE)).groupBy("v", "u").agg(F.max("new").alias("new"))
         worst = graph.groupBy("v").agg(F.when(F.count("*") == DEGREE, F.max("d")).otherwise(F.lit(float("inf"))).alias("worst"))
         about = nodes.select("node", "x").join(worst, nodes["node"] == worst["v"], "left").select(F.col("node").alias("u"), "x", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
         met = around.join(about, "u").groupBy("v").agg(F.collect_list(F.struct("u", "new", "worst", "x")).alias("members")).where(F.exists("members", lambda m: m["new"])).select("members")
@@ -140,6 +153,9 @@ def graph_of(nodes: DataFrame) -> DataFrame:
         after = stored(kept(graph.select("v", "u", "d", F.lit(False).alias("new")).union(offered)), "graph")
         forget(graph)
         graph = after
+        edges, fresh = graph.agg(F.count("*"), F.count_if("new")).first()
+        if fresh <= FEW_NEW * edges:
+            break
     return graph
 
 
@@ -153,43 +169,48 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame) -> DataFrame:
-    """(q, node, d): what a greedy search from each query node ``q`` has measured, itself included."""
-    both = graph.select("v", "u").union(graph.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct()
-    both = stored(both, "adjacency")
+    """(q, node, d, done): what a greedy search from each query node ``q`` has measured, itself included."""
+    both = stored(graph.select("v", "u").union(reverse(graph, BACK).select("v", "u")).distinct(), "adjacency")
     asked = stored(queries.join(nodes.select(F.col("node").alias("q"), F.col("x").alias("y")), "q"), "asked")
-    seen = asked.select("q", F.col("q").alias("node"), F.lit(0.0).alias("d"), F.lit(False).alias("done"))
-    for turn in range(SEARCH_ROUNDS + 1):
-        best = seen.where("not done").withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("d", "node"))).where(F.col("rank") <= BEAM).select("q", "node")
-        reached = best.join(both, best["node"] == both["v"]).select("q", F.col("u").alias("node")).distinct().join(seen.select("q", "node"), ["q", "node"], "left_anti")
-        measured = reached.join(nodes.select("node", "x"), "node").join(asked, "q").select("q", "node", "x", "y").mapInArrow(_measured, "q long, node long, d double")
-        done = best.withColumn("now", F.lit(True))
-        after = seen.join(done, ["q", "node"], "left").select("q", "node", "d", (F.col("done") | F.col("now").isNotNull()).alias("done")).union(measured.withColumn("done", F.lit(False)))
-        after = stored(after, "searched")
-        if turn:
-            forget(seen)
+    seen = stored(asked.select("q", F.col("q").alias("node"), F.lit(0.0).alias("d"), F.lit(False).alias("done")), "searched")
+    rank = F.row_number().over(W.partitionBy("q").orderBy("d", "node"))
+    for _ in range(SEARCH_ROUNDS):
+        best = stored(seen.withColumn("rank", rank).where(F.col("rank") <= BEAM).where("not done").select("q", "node"), "best")
+        if best.isEmpty():
+            break
+        none = F.lit(None).cast("double").alias("d")
+        reached = best.join(both, best["node"] == both["v"]).select("q", F.col("u").alias("node"), none, F.lit(False).alias("done"))
+        expanded = best.select("q", "node", none, F.lit(True).alias("done"))
+        merged = stored(seen.union(expanded).union(reached).groupBy("q", "node").agg(F.min("d").alias("d"), F.max("done").alias("done")), "merged")
+        fresh = merged.where("d is null").select("q", "node").join(nodes.select("node", "x"), "node").join(asked, "q").select("q", "node", "x", "y")
+        measured = fresh.mapInArrow(_measured, "q long, node long, d double").withColumn("done", F.lit(False))
+        after = stored(merged.where("d is not null").union(measured), "searched")
+        forget(seen, best, merged)
         seen = after
     return seen
 
 
 def nearest(vectors: DataFrame, every: int = QUERY_EVERY, top: int = TOP) -> DataFrame:
-    """query_id, rank, vec_id and score of the ``top`` nearest found of each query."""
-    rows = stored(usable(vectors).dropDuplicates(["vec_id"]), "vectors")
-    distinct = stored(rows.groupBy("x").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")).select("node", "x", "n"), "distinct")
+    """query_id, rank, vec_id, score and measured: the ``top`` nearest found of each query, and how many other
+    vectors its search has measured."""
+    rows = usable(vectors).groupBy("vec_id").agg(F.min("x").alias("x"))
+    rows = stored(rows.select("vec_id", "x", *(F.xxhash64(F.lit(k), "x").alias(f"x{k}") for k in (0, 1))), "vectors")  # a vector is known by 128 bits
+    distinct = stored(rows.groupBy("x0", "x1").agg(F.min(F.struct("vec_id", "x")).alias("m"), F.count("*").alias("n")).select("x0", "x1", F.col("m.vec_id").alias("node"), "m.x", "n"), "distinct")
     bits = max(1, math.ceil(math.log2(max(2, distinct.count() / LEAF))))
-    some = np.array([r["x"] for r in distinct.orderBy(F.xxhash64("x"), "node").limit(SAMPLE).select("x").collect()])
+    some = np.array([r["x"] for r in distinct.orderBy("x0", "node").limit(SAMPLE).select("x").collect()])
     middle = np.median(some @ _planes(some.shape[1], bits), axis=0) if len(some) else np.zeros(0)
     nodes = stored(distinct.select("node", "x").mapInArrow(_leaves(middle, bits), "node long, x binary, leaves array<long>"), "nodes")
     graph = graph_of(nodes)
+    of = stored(join_keyed(rows.select("vec_id", "x0", "x1"), distinct.select("x0", "x1", "node", "n"), ["x0", "x1"], "n").select("vec_id", "node"), "of")
+    asked = stored(of.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")), "queries")
+    seen = search(nodes, graph, asked.select("q").distinct())
+    near = seen.withColumn("k", F.row_number().over(W.partitionBy("q").orderBy("d", "node"))).where(F.col("k") <= top + 1).select("q", "node", "d")
     # Copies of a node: more than `top` of the smallest ids are never needed.
-    copies = rows.join(distinct.where("n > 1"), "x").select("vec_id", "node").withColumn("k", F.row_number().over(W.partitionBy("node").orderBy("vec_id")))
-    asked = rows.where(F.col("vec_id") % every == 0)
-    asked = stored(asked.join(distinct, "x").select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")), "queries")
-    found = search(nodes, graph, asked.select("q").distinct())
-    found = found.withColumn("k", F.row_number().over(W.partitionBy("q").orderBy("d", "node"))).where(F.col("k") <= top + 1).drop("k")
-    several = copies.where(F.col("k") <= top + 1).select("node", "vec_id")
-    spread = found.join(several, "node", "left").select("q", F.coalesce("vec_id", "node").alias("vec_id"), "d")
+    copies = of.withColumn("k", F.row_number().over(W.partitionBy("node").orderBy("vec_id"))).where(F.col("k") <= top + 1).select("node", "vec_id")
+    spread = near.join(copies, "node").select("q", "vec_id", "d")
+    counted = seen.groupBy("q").agg((F.count("*") - 1).alias("measured"))
     ranked = asked.join(spread, "q").where("vec_id <> query_id").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("d", "vec_id"))).where(F.col("rank") <= top)
-    return ranked.select("query_id", "rank", "vec_id", F.col("d").alias("score"))
+    return ranked.join(counted, "q").select("query_id", "rank", "vec_id", F.col("d").alias("score"), "measured")
 
 
 def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
