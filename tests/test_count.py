@@ -7,8 +7,9 @@ import pytest
 
 from wedgeworks.functions import edges as ed
 from wedgeworks.operators import count as co
+from wedgeworks.operators import scan as sc
 
-METHODS = [("adjacency", "id"), ("tile", "id"), ("wedge", "id"), ("auto", "id"), ("adjacency", "degree")]
+METHODS = [("adjacency", "id"), ("tile", "id"), ("wedge", "id"), ("auto", None), ("adjacency", "degree")]
 
 
 def complete(n):
@@ -68,6 +69,45 @@ def test_random(spark, seed):
         assert sum(r["triangles"] for r in co.partial_triangles(plain, block).collect()) == len(want)
 
 
+def test_hubs_in_parts(spark, monkeypatch):
+    """A star joined to cliques, with arrays of three neighbours."""
+    monkeypatch.setattr(co, "PART", 3)
+    pairs = [(0, i) for i in range(1, 60)] + [(a + 10 * k, b + 10 * k) for k in range(1, 6) for a, b in complete(9)]
+    want = 5 * 84 + sum(1 for k in range(1, 6) for a, b in complete(9) if a + 10 * k < 60 and b + 10 * k < 60)
+    for method, orient in METHODS:
+        assert co.count_triangles(graph(spark, pairs), method, orient).first()[0] == want, (method, orient)
+    assert sum(r["n"] for r in co.common_neighbours(graph(spark, pairs)).collect()) == want
+
+
+def test_far_ids(spark):
+    """A cycle of six over ids far apart has no triangle."""
+    far = [0, 1 + 2**41, 2, 2**41, 1, 2 + 2**41]
+    assert co.count_triangles(graph(spark, list(zip(far, far[1:] + far[:1], strict=True))), "adjacency", "degree").first()[0] == 0
+
+
+@pytest.mark.parametrize(("method", "orient"), [("nonsense", None), ("tile", "degree"), ("adjacency", "size")])
+def test_unknown_methods(spark, method, orient):
+    with pytest.raises(ValueError):
+        co.count_triangles(graph(spark, [(0, 1)]), method, orient)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_scans_of_sparse_keys(spark, seed):
+    """Prefix sums, places and pointer checks over keys spread over 2**60."""
+    rng = random.Random(seed)
+    rows = [(k, rng.randrange(100)) for k in rng.sample(range(2**60), 3000)]
+    df = spark.createDataFrame(rows, "key long, start long").repartition(5)
+    total, want, falls = 0, [], []
+    for i, (k, v) in enumerate(sorted(rows)):
+        want.append((k, v, total))
+        total += v
+        if i and v < want[i - 1][1]:
+            falls.append((k, v))
+    assert sorted(map(tuple, sc.prefix_sum(df, "key", "start").collect())) == want
+    assert sorted((r["pos"], r["key"]) for r in sc.positions_of(df, ["key"]).collect()) == [(i, k) for i, (k, *_) in enumerate(want)]
+    assert sorted(map(tuple, sc.monotone_check(df).collect())) == falls
+
+
 def test_null_ends_go(spark):
     raw = spark.createDataFrame([(None, 1), (1, None), (2, 1)], "src long, dst long")
     assert [tuple(r) for r in ed.simple_graph(raw).collect()] == [(1, 2)]

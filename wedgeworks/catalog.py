@@ -5,6 +5,8 @@ The SQL states the result by plain joins and groupings, not by the plan of the S
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from .operators import scan as sc
 from .plans import blocks as bl
 from .sources import mtx
 from .sources import tables as ta
+from .sources.shared import new_path, stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -70,7 +73,7 @@ def count_triangles(spark, sf_dir):
 
 @query(f"{COPART}, {TRIANGLES} SELECT count(*) AS triangles FROM t")
 def count_triangles_adjacency(spark, sf_dir):
-    return co.count_triangles(_graph(spark, sf_dir), "adjacency")
+    return co.count_triangles(_graph(spark, sf_dir), "adjacency", orient="id")
 
 
 @query(f"{COPART}, {TRIANGLES} SELECT count(*) AS triangles FROM t")
@@ -108,9 +111,9 @@ def wedges(spark, sf_dir):
     return co.wedges(_graph(spark, sf_dir)).groupBy("i").agg(F.count("*").alias("n"))
 
 
-@query(f"{COPART}, {TRIANGLES} SELECT i, j, k FROM t")
+@query(f"{COPART}, {TRIANGLES} SELECT i, count(*) AS n, sum(j)::BIGINT AS js, sum(k)::BIGINT AS ks FROM t GROUP BY i")
 def triangles(spark, sf_dir):
-    return co.triangles(_graph(spark, sf_dir))
+    return co.triangles(_graph(spark, sf_dir)).groupBy("i").agg(F.count("*").alias("n"), F.sum("j").alias("js"), F.sum("k").alias("ks"))
 
 
 @query(f"{COPART}, {TRIANGLES} SELECT e.c, e.r, count(t.j)::BIGINT AS n FROM e LEFT JOIN t ON t.i = e.c AND t.k = e.r GROUP BY ALL")
@@ -361,9 +364,11 @@ def assign_blocks(spark, sf_dir):
     return _blocked(spark, sf_dir)[0]
 
 
-@query(f"{BASE}, {_BLOCKED} SELECT * FROM b WHERE c_block < 4 AND r_block >= 2")
+@query(f"{BASE}, {_BLOCKED} SELECT w.i::INT AS worker, b.* FROM b JOIN range(4) w(i) ON c_block < CASE w.i WHEN 3 THEN {PARTS} ELSE 2 * w.i + 2 END AND r_block >= 2 * w.i")
 def worker_share(spark, sf_dir):
-    return bl.worker_share(_blocked(spark, sf_dir)[0], 1, 4, PARTS)
+    """What each of four workers needs."""
+    blocked = _blocked(spark, sf_dir)[0]
+    return reduce(lambda a, b: a.union(b), (bl.worker_share(blocked, w, 4, PARTS).select(F.lit(w).alias("worker"), "*") for w in range(4)))
 
 
 @query(f"{BASE}, {_BLOCKED}, {_MATRIX} SELECT * FROM m")
@@ -388,32 +393,54 @@ g AS (SELECT mid, high, cum AS s, 0 AS grp FROM x WHERE high = mid + 1
   UNION ALL SELECT g.mid, x.high, CASE WHEN g.s + x.cum < {threshold} THEN g.s + x.cum ELSE x.cum END, CASE WHEN g.s + x.cum < {threshold} THEN g.grp ELSE g.grp + 1 END
   FROM g JOIN x ON x.mid = g.mid AND x.high = g.high + 1),
 k AS (SELECT 0 AS o, r_block AS mid, 0 AS grp, r_block::VARCHAR AS highs, 'diagonal' AS kind FROM cm WHERE r_block = c_block
-  UNION ALL SELECT 1, mid, grp, string_agg(high::VARCHAR, ',' ORDER BY high), 'off_diagonal' FROM g GROUP BY mid, grp)
-SELECT row_number() OVER (ORDER BY o, mid DESC, grp) - 1 AS task_id, mid AS mid_block, highs AS high_blocks, kind FROM k"""
+  UNION ALL SELECT 1, mid, grp, string_agg(high::VARCHAR, ',' ORDER BY high), 'off_diagonal' FROM g GROUP BY mid, grp),
+z AS (SELECT row_number() OVER (ORDER BY o, mid DESC, grp) - 1 AS task_id, mid AS mid_block, highs AS high_blocks, kind FROM k)"""
 
 
-def _plan(spark, sf_dir, threshold):
-    return bl.plan_tasks(_cumulative(spark, sf_dir), threshold).withColumn("high_blocks", F.array_join(F.transform("high_blocks", lambda b: b.cast("string")), ","))
+def _plan(spark, sf_dir, threshold, joined=True):
+    plan = bl.plan_tasks(_cumulative(spark, sf_dir), threshold)
+    return plan if not joined else plan.withColumn("high_blocks", F.array_join(F.transform("high_blocks", lambda b: b.cast("string")), ","))
 
 
-@query(_plan_sql("1000000000"))
+@query(_plan_sql("1000000000") + " SELECT * FROM z")
 def plan_tasks(spark, sf_dir):
     return _plan(spark, sf_dir, bl.THRESHOLD)
 
 
-@query(_plan_sql("40000"))
+@query(_plan_sql("40000") + " SELECT * FROM z")
 def plan_tasks_small(spark, sf_dir):
     return _plan(spark, sf_dir, 40_000)
 
 
+@query(_plan_sql("40000") + " SELECT row_number() OVER (ORDER BY task_id) - 1 AS task_id, mid_block, high_blocks, kind FROM z WHERE mid_block BETWEEN 2 AND 4")
+def plan_tasks_of_worker(spark, sf_dir):
+    """The tasks of a worker that owns the middle blocks 2 to 4."""
+    return bl.plan_tasks(_cumulative(spark, sf_dir), 40_000, 2, 5).withColumn("high_blocks", F.array_join(F.transform("high_blocks", lambda b: b.cast("string")), ","))
+
+
 @query(f"{COPART}, {TRIANGLES} SELECT j // ({BLOCK_SQL}) AS mid_block, k // ({BLOCK_SQL}) AS high_block, count(*) AS triangles FROM t GROUP BY ALL")
 def partial_triangles(spark, sf_dir):
     return co.partial_triangles(_graph(spark, sf_dir), _block(spark, sf_dir)[0])
 
 
-@query(f"{COPART}, {TRIANGLES} SELECT k // ({BLOCK_SQL}) AS high_block, count(*) AS triangles FROM t WHERE j // ({BLOCK_SQL}) = 1 AND k // ({BLOCK_SQL}) IN (2, 3, 4) GROUP BY ALL")
+@query(f"{COPART}, {TRIANGLES} SELECT j // ({BLOCK_SQL}) AS mid_block, k // ({BLOCK_SQL}) AS high_block, count(*) AS triangles FROM t WHERE k // ({BLOCK_SQL}) > j // ({BLOCK_SQL}) GROUP BY ALL")
 def block_pair_join(spark, sf_dir):
-    return co.block_pair_join(_graph(spark, sf_dir), _block(spark, sf_dir)[0], 1, [2, 3, 4])
+    """Every off-diagonal task of the plan that takes all higher blocks of a middle block at once."""
+    e, (size, blocks) = stored(_graph(spark, sf_dir), "edges"), _block(spark, sf_dir)
+    tasks = [co.block_pair_join(e, size, mid, list(range(mid + 1, blocks))).withColumn("mid_block", F.lit(mid).cast("long")) for mid in range(blocks - 1)]
+    return reduce(lambda a, b: a.unionByName(b), tasks).select("mid_block", "high_block", "triangles")
+
+
+@query(
+    _plan_sql("40000")
+    + f""", e AS (SELECT DISTINCT c, r FROM b), {TRIANGLES}, q AS (SELECT j // ({BLOCK_SQL}) AS mid, k // ({BLOCK_SQL}) AS high, count(*) AS n FROM t GROUP BY ALL)
+SELECT task_id, kind, coalesce(sum(n), 0)::BIGINT AS triangles FROM z LEFT JOIN q ON q.mid = z.mid_block AND list_contains(string_split(z.high_blocks, ','), q.high::VARCHAR) GROUP BY ALL"""
+)
+def task_triangles(spark, sf_dir):
+    """Triangles of every task of the plan: the plan's block pairs joined to the counts by block pair."""
+    pairs = _plan(spark, sf_dir, 40_000, joined=False).select("task_id", "kind", "mid_block", F.explode("high_blocks").alias("high_block"))
+    found = co.partial_triangles(_graph(spark, sf_dir), _block(spark, sf_dir)[0])
+    return pairs.join(found, ["mid_block", "high_block"], "left").groupBy("task_id", "kind").agg(F.coalesce(F.sum("triangles"), F.lit(0)).alias("triangles"))
 
 
 @query(
@@ -440,6 +467,21 @@ def _mtx_lines(spark, sf_dir):
     return body.union(head.select("file", (F.col("p") - 100).cast("long").alias("pos"), "line"))
 
 
+@query("SELECT l_returnflag AS file, l_partkey AS src, l_suppkey AS dst FROM lineitem")
+def read_mtx_files(spark, sf_dir):
+    """Files written from the table, a folder each, and read back."""
+    path = new_path(spark, "mtx")
+    lines = _mtx_lines(spark, sf_dir).withColumn("of", F.concat("file", F.lit(".mtx")))
+    lines.repartition("of").sortWithinPartitions("of", "pos").select("of", "line").write.partitionBy("of").text(path)
+    raw = mtx.read_mtx(spark, f"{path}/*")
+    return raw.select(F.regexp_extract("file", r"of=(\w)", 1).alias("file"), "src", "dst")
+
+
+@query("SELECT l_returnflag AS file, 10000000::BIGINT AS nrows, 10000000::BIGINT AS ncols FROM lineitem GROUP BY l_returnflag")
+def require_square(spark, sf_dir):
+    return mtx.require_square(mtx.mtx_catalog(_mtx_lines(spark, sf_dir))).select("file", "nrows", "ncols")
+
+
 @query("SELECT l_returnflag AS file, l_partkey AS src, l_suppkey AS dst FROM lineitem")
 def read_mtx(spark, sf_dir):
     return mtx.parse_mtx_lines(_mtx_lines(spark, sf_dir))
@@ -522,6 +564,38 @@ def parse_multi_log(spark, sf_dir):
     return ta.parse_multi_log(fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.concat_ws("\n", *text).alias("text")))[0]
 
 
+_WRITTEN = "SELECT 'wedge' AS exe, o_orderstatus AS graph, o_custkey AS nrows, o_custkey AS ncols, o_orderkey AS nnz, 64::BIGINT AS n_blocks, round(o_totalprice, 3) AS preprocessing_time, CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice, 2) END AS kernel_time, o_orderkey * 5 AS triangles, o_custkey * 1024 AS max_memory_consumption FROM orders"
+
+
+def _written(spark, sf_dir):
+    """A result table appended in two steps and read back."""
+    path = new_path(spark, "results")
+    rows = fx.table(spark, sf_dir, "orders").select(
+        F.lit("wedge").alias("exe"), F.col("o_orderstatus").alias("graph"), F.col("o_custkey").alias("nrows"), F.col("o_custkey").alias("ncols"), F.col("o_orderkey").alias("nnz"), F.lit(64).cast("long").alias("n_blocks"), F.round("o_totalprice", 3).alias("preprocessing_time"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.round("o_totalprice", 2)).alias("kernel_time"), (F.col("o_orderkey") * 5).alias("triangles"), (F.col("o_custkey") * 1024).alias("max_memory_consumption"),
+    )
+    for rest in (0, 1):
+        ta.append_results(rows.where(F.col("nnz") % 2 == rest), path, "single")
+    return ta.read_results(spark, path, "single")
+
+
+@query(_WRITTEN)
+def append_results(spark, sf_dir):
+    return _written(spark, sf_dir)
+
+
+@query(f"SELECT graph, count(*) AS runs, sum(triangles)::BIGINT AS triangles, count(kernel_time) AS with_kernel FROM ({_WRITTEN}) GROUP BY graph")
+def read_results(spark, sf_dir):
+    return _written(spark, sf_dir).groupBy("graph").agg(F.count("*").alias("runs"), F.sum("triangles").alias("triangles"), F.count("kernel_time").alias("with_kernel"))
+
+
+@query("SELECT concat_ws(chr(9), p_brand, p_size::VARCHAR, count(*)::VARCHAR) AS value FROM part GROUP BY p_brand, p_size UNION ALL SELECT concat_ws(chr(9), 'p_brand', 'p_size', 'parts')")
+def results_report(spark, sf_dir):
+    path = new_path(spark, "report")
+    ta.results_report(fx.table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("parts")), path, ["p_brand", "p_size"])
+    return spark.read.text(path)
+
+
 @query("SELECT p_partkey || '/' || p_name AS graph, p_size::BIGINT AS n FROM part")
 def read_partitions(spark, sf_dir):
     rows = fx.table(spark, sf_dir, "part").select(F.to_json(F.create_map(F.concat_ws("/", F.col("p_partkey").cast("string"), "p_name"), "p_size")).alias("value"))
@@ -555,10 +629,10 @@ def distinct_graphs(spark, sf_dir):
     return re.distinct_graphs(fx.results_multi(spark, sf_dir))
 
 
-@query("SELECT p_brand || '.' || p_partkey AS name, coalesce(s_suppkey, 64)::BIGINT AS n, s_suppkey IS NULL AS is_default FROM part LEFT JOIN supplier ON p_brand = 'Brand#' || s_suppkey AND s_suppkey < 10")
+@query("SELECT p_brand || '.' || p_partkey AS name, coalesce(s_suppkey, 64)::BIGINT AS n, s_suppkey IS NULL AS is_default FROM part LEFT JOIN supplier ON p_brand = 'Brand#' || s_suppkey")
 def partition_lookup(spark, sf_dir):
     graphs = fx.table(spark, sf_dir, "part").select(F.concat_ws(".", "p_brand", F.col("p_partkey").cast("string")).alias("name"))
-    partitions = fx.table(spark, sf_dir, "supplier").where("s_suppkey < 10").select(F.concat(F.lit("Brand#"), F.col("s_suppkey")).alias("graph"), F.col("s_suppkey").alias("n"))
+    partitions = fx.table(spark, sf_dir, "supplier").select(F.concat(F.lit("Brand#"), F.col("s_suppkey")).alias("graph"), F.col("s_suppkey").alias("n"))
     return re.partition_lookup(graphs, partitions)
 
 

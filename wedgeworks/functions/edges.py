@@ -66,10 +66,9 @@ def sort_edges(edges: DataFrame) -> DataFrame:
 
 
 def by_degree(edges: DataFrame) -> DataFrame:
-    """Relabelled edges directed from lower to higher (degree, id), which bounds larger neighbours by
-    the root of twice the edges. Ids become ``degree << 40 | id``, so ids must stay below 2**40 and
-    degrees below 2**23; triangle totals do not change."""
+    """``(c, r, rank)``: edges directed from the end of lower (degree, id) to the other, ``rank`` being the other's
+    degree. This bounds larger neighbours by the root of twice the edges. ``edges`` is read three times."""
     degrees = edges.select(F.explode(F.array("c", "r")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
-    label = degrees.select("v", F.shiftleft("d", 40).bitwiseOR(F.col("v")).alias("label"))
-    both = edges.join(label.withColumnsRenamed({"v": "c", "label": "lc"}), "c").join(label.withColumnsRenamed({"v": "r", "label": "lr"}), "r")
-    return both.select(F.least("lc", "lr").alias("c"), F.greatest("lc", "lr").alias("r"))
+    both = edges.join(degrees.withColumnsRenamed({"v": "c", "d": "dc"}), "c").join(degrees.withColumnsRenamed({"v": "r", "d": "dr"}), "r")
+    up = (F.col("dc") < F.col("dr")) | ((F.col("dc") == F.col("dr")) & (F.col("c") < F.col("r")))
+    return both.select(F.when(up, F.col("c")).otherwise(F.col("r")).alias("c"), F.when(up, F.col("r")).otherwise(F.col("c")).alias("r"), F.greatest("dc", "dr").alias("rank"))

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.edges import by_degree
-from ..functions.tiles import WIDTH, lower_tiles, tile_join, tile_of, upper_tiles
+from ..functions.tiles import lower_tiles, tile_join, tile_of, upper_tiles
+from ..sources.shared import stored
 
 #: Edges a lower tile holds on average from which tiles beat adjacency arrays.
 DENSE = 8
+#: Neighbours in an array; what a vertex has more of goes into further arrays, which tasks share.
+PART = 1024
+METHODS, ORIENTS = ("auto", "adjacency", "tile", "wedge"), ("id", "degree")
 
 
 def wedges(edges: DataFrame) -> DataFrame:
@@ -23,64 +27,71 @@ def triangles(edges: DataFrame) -> DataFrame:
     return wedges(edges).join(edges.select(F.col("c").alias("j"), F.col("r").alias("k")), ["j", "k"]).select("i", "j", "k")
 
 
-def larger_neighbours(edges: DataFrame) -> DataFrame:
-    """``(c, near)``: sorted larger neighbours of every pivot."""
-    return edges.groupBy("c").agg(F.sort_array(F.collect_list("r")).alias("near"))
+def closed(directed: DataFrame) -> DataFrame:
+    """``(i, j, ks)`` of ``directed(c, r, rank)``, an acyclic graph in which ``rank`` orders the r: for an edge from i
+    to j, the vertices that both lead to and that come after j. Every triangle is met once.
 
-
-def smaller_neighbours(edges: DataFrame) -> DataFrame:
-    """``(r, near)``: smaller neighbours of every vertex that has any."""
-    return edges.groupBy("r").agg(F.collect_list("c").alias("near"))
-
-
-def _per_edge(edges: DataFrame) -> DataFrame:
-    """``(c, r, n)``: third vertices beyond r for every edge that has any.
-
-    A pivot sends to each neighbour only the neighbours beyond it, which halves what the join moves.
+    A vertex sends to each of its neighbours only those beyond. Neighbours of a hub lie in parts, and pairs of parts
+    are dealt to tasks before they are opened, so that no task opens a hub alone.
     """
-    near = larger_neighbours(edges).where(F.size("near") > 1)
-    sent = near.select("c", F.col("near").alias("all"), F.posexplode("near").alias("at", "r")).where(F.col("at") < F.size("all") - 1).select("c", "r", F.expr("slice(all, at + 2, size(all))").alias("beyond"))
-    return sent.join(larger_neighbours(edges).withColumnsRenamed({"c": "r"}), "r").select("c", "r", F.size(F.array_intersect("beyond", "near")).cast("long").alias("n"))
+    near = directed.groupBy("c").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "r"))), lambda x: x["r"]).alias("near"))
+    n = F.size("near")
+    beyond = F.expr("slice(near, at + 2, size(near))").alias("beyond")
+    few = near.where((n > 1) & (n <= PART)).select("c", "near", F.posexplode("near").alias("at", "r")).where(F.col("at") < n - 1).select("c", "r", beyond)
+    parts = F.transform(F.sequence(F.lit(0), F.ceil(n / PART).cast("int") - 1), lambda k: F.slice("near", k * PART + 1, F.lit(PART)))
+    in_parts = near.select("c", parts.alias("parts"))
+    later = F.expr("slice(parts, a + 1, size(parts))")
+    pairs = in_parts.where(F.size("parts") > 1).select("c", "parts", F.posexplode("parts").alias("a", "one")).select("c", "a", "one", F.posexplode(later).alias("b", "near")).repartition("c", "a", "b")
+    inside = pairs.where("b = 0").select("c", "near", F.posexplode("near").alias("at", "r")).select("c", "r", beyond)
+    across = pairs.where("b > 0").select("c", F.explode("one").alias("r"), F.col("near").alias("beyond"))
+    sent = few.union(inside).union(across)
+    return sent.join(in_parts.select(F.col("c").alias("r"), F.explode("parts").alias("part")), "r").select(F.col("c").alias("i"), F.col("r").alias("j"), F.array_intersect("beyond", "part").alias("ks"))
+
+
+def _listed(edges: DataFrame) -> DataFrame:
+    """``(i, j, k)``, ``i < j < k``, of every triangle, found in order of degree."""
+    three = closed(by_degree(edges)).select("i", "j", F.explode("ks").alias("k"))
+    least, most = F.least("i", "j", "k"), F.greatest("i", "j", "k")
+    return three.select(least.alias("i"), (F.col("i") + F.col("j") + F.col("k") - least - most).alias("j"), most.alias("k"))
 
 
 def common_neighbours(edges: DataFrame) -> DataFrame:
     """``(c, r, n)`` for every edge: vertices between, neighbours of c above and of r below."""
-    up, down = larger_neighbours(edges).withColumnRenamed("near", "up"), smaller_neighbours(edges).withColumnRenamed("near", "down")
-    return edges.join(up, "c").join(down, "r").select("c", "r", F.size(F.array_intersect("up", "down")).cast("long").alias("n"))
+    edges = stored(edges, "edges")
+    found = _listed(edges).groupBy(F.col("i").alias("c"), F.col("k").alias("r")).agg(F.count("*").alias("n"))
+    return edges.join(found, ["c", "r"], "left").select("c", "r", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def is_dense(edges: DataFrame) -> bool:
-    """Whether edges share tiles enough for masks to pay (two counts in one job)."""
-    m, tiles = edges.agg(F.count("*"), F.count_distinct(tile_of("c"), "r")).first()
+    """Whether edges share tiles enough for masks to pay; tiles are estimated, so that none is shuffled."""
+    m, tiles = edges.agg(F.count("*"), F.approx_count_distinct(F.struct(tile_of("c"), "r"))).first()
     return m >= DENSE * max(1, tiles)
 
 
-def count_triangles(edges: DataFrame, method: str = "auto", orient: str = "id") -> DataFrame:
-    """One row ``triangles``. ``method``: adjacency, tile, wedge, or auto (kept edges, then tile or
-    adjacency); ``orient``: id, or degree against hubs. The total depends on neither."""
+def count_triangles(edges: DataFrame, method: str = "auto", orient: str | None = None) -> DataFrame:
+    """One row ``triangles``. ``method``: adjacency, tile, wedge, or auto (stored edges, then tile or adjacency);
+    ``orient``, for adjacency: degree (the default, which bounds a hub's larger neighbours), or id. The total
+    depends on neither."""
+    if method not in METHODS or orient not in (None, *ORIENTS):
+        raise ValueError(f"no such way to count: {method}, {orient}; there are {METHODS}, {ORIENTS}")
+    if orient == "degree" and method in ("tile", "wedge"):
+        raise ValueError(f"{method} goes by id")
     if method == "auto":
-        edges = edges.persist()
-        method = "tile" if is_dense(edges) else "adjacency"
-    if orient == "degree":
-        edges = by_degree(edges)
-    if method == "tile" and orient == "id":
+        edges = stored(edges, "edges")
+        method = "tile" if orient != "degree" and is_dense(edges) else "adjacency"
+    if method == "tile":
         found = tile_join(upper_tiles(edges), edges, lower_tiles(edges)).agg(F.sum("common").alias("t"))
     elif method == "wedge":
         found = triangles(edges).agg(F.count("*").alias("t"))
     else:
-        found = _per_edge(edges).agg(F.sum("n").alias("t"))
+        directed = edges.withColumn("rank", F.col("r")) if orient == "id" else by_degree(edges)
+        found = closed(directed).agg(F.sum(F.size("ks")).alias("t"))
     return found.select(F.coalesce("t", F.lit(0)).cast("long").alias("triangles"))
 
 
-def partial_triangles(blocked: DataFrame, block: int) -> DataFrame:
-    """``(mid_block, high_block, triangles)`` by the blocks of the middle and the highest vertex.
-
-    ``block`` vertices make a block. No wedge is listed: each edge meets its common smaller neighbours.
-    """
-    near = smaller_neighbours(blocked)
-    low = blocked.select("c", "r").join(near.withColumnsRenamed({"r": "c", "near": "a"}), "c")
-    both = low.join(near.withColumnsRenamed({"near": "b"}), "r").select((F.expr(f"c div {block}")).alias("mid_block"), F.expr(f"r div {block}").alias("high_block"), F.size(F.array_intersect("a", "b")).cast("long").alias("n"))
-    return both.groupBy("mid_block", "high_block").agg(F.sum("n").alias("triangles")).where("triangles > 0")
+def partial_triangles(edges: DataFrame, block: int) -> DataFrame:
+    """``(mid_block, high_block, triangles)`` by the blocks of the middle and the highest vertex, ``block`` vertices each."""
+    return _listed(stored(edges.select("c", "r"), "edges")).groupBy(F.expr(f"j div {block}").alias("mid_block"), F.expr(f"k div {block}").alias("high_block")).agg(F.count("*").alias("triangles"))
 
 
 def block_pair_join(edges: DataFrame, block: int, mid: int, highs: list[int]) -> DataFrame:
@@ -90,6 +101,3 @@ def block_pair_join(edges: DataFrame, block: int, mid: int, highs: list[int]) ->
     two = low.where(F.expr(f"r div {block}").isin(highs)).select(F.col("c").alias("i"), F.col("r").alias("k"))
     closing = edges.select(F.col("c").alias("j"), F.col("r").alias("k"))
     return one.join(two, "i").where("j < k").join(closing, ["j", "k"]).groupBy(F.expr(f"k div {block}").alias("high_block")).agg(F.count("*").alias("triangles"))
-
-
-__all__ = ["WIDTH", "block_pair_join", "common_neighbours", "count_triangles", "partial_triangles", "triangles", "wedges"]

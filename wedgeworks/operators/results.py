@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-AXIS = (1, 2, 3, 4, 8, 12, 16, 20, 24, 28, 32)  #: device counts of the scaling table
+# Device counts of the scaling table.
+AXIS = (1, 2, 3, 4, 8, 12, 16, 20, 24, 28, 32)
+MOST_PATTERNS = 10_000
 DEFAULT_PARTITIONS = 64
 WARM_UP_SAMPLES = 2
 
 
 def deny_filter(names: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Names in which no pattern is found. Patterns are few: a list by hand."""
+    """Names in which no pattern is found. Patterns are a list by hand; more than MOST_PATTERNS are an error."""
+    if patterns.count() > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
     return names.join(F.broadcast(patterns), F.expr("name rlike pattern"), "left_anti")
 
 
@@ -31,7 +35,7 @@ def distinct_graphs(results: DataFrame) -> DataFrame:
 def partition_lookup(graphs: DataFrame, partitions: DataFrame) -> DataFrame:
     """``(name, n, is_default)``: partitions of the graph that a name is up to its first dot."""
     keyed = graphs.withColumn("graph", F.substring_index("name", ".", 1))
-    return keyed.join(F.broadcast(partitions), "graph", "left").select("name", F.coalesce("n", F.lit(DEFAULT_PARTITIONS)).cast("long").alias("n"), F.col("n").isNull().alias("is_default"))
+    return keyed.join(partitions, "graph", "left").select("name", F.coalesce("n", F.lit(DEFAULT_PARTITIONS)).cast("long").alias("n"), F.col("n").isNull().alias("is_default"))
 
 
 def resolve_catalog(names: DataFrame, catalog: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:

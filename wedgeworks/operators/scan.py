@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import in_order
+
 REDUCTIONS = {"sum": F.sum, "min": F.min, "max": F.max, "bit_or": F.bit_or, "bit_and": F.bit_and, "bit_xor": F.bit_xor}
 
 
@@ -37,18 +39,24 @@ def total_sum(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.coalesce(F.sum(value), F.lit(0)).alias("total"))
 
 
-def prefix_sum(df: DataFrame, order: str, value: str, kind: str = "exclusive", bucket: int = 4096) -> DataFrame:
-    """``(order, value, prefix)`` over the whole table in order of a unique LONG column.
+def _before(sums: DataFrame) -> DataFrame:
+    """``(part, before)``: what the ranges before each one hold; a row a range, which is what is broadcast."""
+    return F.broadcast(sums.select("part", (F.sum("held").over(W.orderBy("part")) - F.col("held")).alias("before")))
+
+
+def prefix_sum(df: DataFrame, order: str, value: str, kind: str = "exclusive") -> DataFrame:
+    """``(order, value, prefix)`` over the whole table in order of a unique column.
 
-    ``bucket`` consecutive order values fall together: buckets are summed, only those sums run through
-    one window (a row a bucket), and rows through windows of one bucket each. ``kind``: exclusive,
-    inclusive, or complete (exclusive and a last row, with null order, that holds the total).
+    Rows are dealt by ranges of the order column, whatever its values are; ranges are summed, only those sums run
+    through one window, and rows through windows of one range each. ``kind``: exclusive, inclusive, or
+    complete (exclusive and a last row, with null order, that holds the total).
     """
-    rows = df.select(F.col(order).alias("pos"), F.col(value).alias("value")).withColumn("bucket", F.expr(f"pos div {bucket}"))
-    sums = rows.groupBy("bucket").agg(F.sum("value").alias("held"))
-    before = sums.select("bucket", (F.sum("held").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("held")).alias("before"))
-    within = F.sum("value").over(W.partitionBy("bucket").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-    upto = rows.join(before, "bucket").select("pos", "value", (F.col("before") + within).alias("upto"))
+    if kind not in ("exclusive", "inclusive", "complete"):
+        raise ValueError(f"no such prefix sum: {kind}")
+    rows = in_order(df.select(F.col(order).alias("pos"), F.col(value).alias("value")), ["pos"])
+    sums = rows.groupBy("part").agg(F.sum("value").alias("held"))
+    within = F.sum("value").over(W.partitionBy("part").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+    upto = rows.withColumn("within", within).join(_before(sums), "part").select("pos", "value", (F.col("before") + F.col("within")).alias("upto"))
     if kind == "inclusive":
         return upto.select("pos", "value", F.col("upto").alias("prefix"))
     out = upto.select("pos", "value", (F.col("upto") - F.col("value")).alias("prefix"))
@@ -74,14 +82,10 @@ def segment_lookup(positions: DataFrame, segments: DataFrame, bucket: int = 256)
 
 
 def positions_of(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``(pos, *keys)``: 0-based place in order of ``keys``, the first being LONG.
-
-    Keys' counts are scanned by :func:`offsets`; rows are numbered within one first key each.
-    """
-    first = keys[0]
-    at = offsets(df, first).select(F.col("key").alias(first), "start")
-    inside = F.row_number().over(W.partitionBy(first).orderBy(*keys[1:]))
-    return df.join(at, first).select((F.col("start") + inside - 1).alias("pos"), *keys)
+    """``(pos, *keys)``: 0-based place in order of ``keys``: rows of the ranges before, and the place in the range."""
+    rows = in_order(df.select(*keys), keys)
+    before = _before(rows.groupBy("part").agg(F.count("*").alias("held")))
+    return rows.join(before, "part").select((F.col("before") + F.col("at")).alias("pos"), *keys)
 
 
 def gather(values: DataFrame, idxs: DataFrame) -> DataFrame:
@@ -94,14 +98,14 @@ def point_lookup(keys: DataFrame, table: DataFrame, on: list[str], value: str, m
     return keys.join(table.select(*on, value), on, "left").withColumn(value, F.coalesce(F.col(value), missing))
 
 
-def monotone_check(pointers: DataFrame, bucket: int = 4096) -> DataFrame:
+def monotone_check(pointers: DataFrame) -> DataFrame:
     """``(key, start)`` of pointers below their predecessor's; none if all is well.
 
-    The predecessor is the last row of the same bucket of keys or, for a bucket's first row, of the
-    bucket before.
+    The predecessor is the row before in the same range of keys or, for a range's first row, the last one of the
+    range before.
     """
-    rows = pointers.select("key", "start", F.expr(f"key div {bucket}").alias("bucket"))
-    last = rows.groupBy("bucket").agg(F.max_by("start", "key").alias("end"))
-    last = last.select("bucket", F.lag("end").over(W.orderBy("bucket")).alias("end"))
-    before = F.coalesce(F.lag("start").over(W.partitionBy("bucket").orderBy("key")), F.col("end"))
-    return rows.join(last, "bucket").withColumn("before", before).where("start < before").select("key", "start")
+    rows = in_order(pointers.select("key", "start"), ["key"])
+    last = rows.groupBy("part").agg(F.max_by("start", "at").alias("end"))
+    last = F.broadcast(last.select("part", F.lag("end").over(W.orderBy("part")).alias("end")))  # a row a range
+    inside = rows.withColumn("lag", F.lag("start").over(W.partitionBy("part").orderBy("at")))
+    return inside.join(last, "part").where(F.col("start") < F.coalesce("lag", "end")).select("key", "start")

@@ -26,7 +26,7 @@ def parse_mtx_lines(lines: DataFrame) -> DataFrame:
     """
     content = _content(lines)
     sizes = content.groupBy("file").agg(F.min_by("line", "pos").alias("size"), F.min("pos").alias("first"))
-    pairs = content.join(F.broadcast(sizes), "file").where("pos <> first").select("file", "size", F.expr("try_cast(split(line, ' ')[0] as bigint)").alias("row"), F.expr("try_cast(split(line, ' ')[1] as bigint)").alias("col"))
+    pairs = content.join(sizes, "file").where("pos <> first").select("file", "size", F.expr("try_cast(split(line, ' ')[0] as bigint)").alias("row"), F.expr("try_cast(split(line, ' ')[1] as bigint)").alias("col"))
     most = F.greatest(*(F.expr(f"try_cast(split(size, ' ')[{i}] as bigint)") for i in (0, 1)))
     fine = F.col("row").isNotNull() & F.col("col").isNotNull() & (F.least("row", "col") > 0) & (F.greatest("row", "col") <= most)
     bad = F.raise_error(F.concat(F.lit("vertex id outside the matrix in "), F.col("file"))).cast("long")
