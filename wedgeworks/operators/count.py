@@ -34,18 +34,20 @@ def closed(directed: DataFrame) -> DataFrame:
     A vertex sends to each of its neighbours only those beyond. Neighbours of a hub lie in parts, and pairs of parts
     are dealt to tasks before they are opened, so that no task opens a hub alone.
     """
-    near = directed.groupBy("c").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "r"))), lambda x: x["r"]).alias("near"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("rank", "r"))), lambda x: x["r"])
+    near = stored(directed.groupBy("c").agg(ordered.alias("near")), "neighbours")
     n = F.size("near")
     beyond = F.expr("slice(near, at + 2, size(near))").alias("beyond")
-    few = near.where((n > 1) & (n <= PART)).select("c", "near", F.posexplode("near").alias("at", "r")).where(F.col("at") < n - 1).select("c", "r", beyond)
-    parts = F.transform(F.sequence(F.lit(0), F.ceil(n / PART).cast("int") - 1), lambda k: F.slice("near", k * PART + 1, F.lit(PART)))
-    in_parts = near.select("c", parts.alias("parts"))
-    later = F.expr("slice(parts, a + 1, size(parts))")
-    pairs = in_parts.where(F.size("parts") > 1).select("c", "parts", F.posexplode("parts").alias("a", "one")).select("c", "a", "one", F.posexplode(later).alias("b", "near")).repartition("c", "a", "b")
-    inside = pairs.where("b = 0").select("c", "near", F.posexplode("near").alias("at", "r")).select("c", "r", beyond)
-    across = pairs.where("b > 0").select("c", F.explode("one").alias("r"), F.col("near").alias("beyond"))
-    sent = few.union(inside).union(across)
-    return sent.join(in_parts.select(F.col("c").alias("r"), F.explode("parts").alias("part")), "r").select(F.col("c").alias("i"), F.col("r").alias("j"), F.array_intersect("beyond", "part").alias("ks"))
+    sent = near.where((n > 1) & (n <= PART)).select("c", "near", F.posexplode("near").alias("at", "r")).where(F.col("at") < n - 1).select("c", "r", beyond)
+    hubs, received = near.where(n > PART), near.select(F.col("c").alias("r"), F.col("near").alias("part"))
+    if not hubs.isEmpty():
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(n / PART).cast("int") - 1), lambda k: F.slice("near", k * PART + 1, F.lit(PART)))
+        later = F.expr("slice(parts, a + 1, size(parts))")
+        pairs = hubs.select("c", parts.alias("parts")).select("c", "parts", F.posexplode("parts").alias("a", "one")).select("c", "a", "one", F.posexplode(later).alias("b", "near")).repartition("c", "a", "b")
+        inside = pairs.where("b = 0").select("c", "near", F.posexplode("near").alias("at", "r")).select("c", "r", beyond)
+        sent = sent.union(inside).union(pairs.where("b > 0").select("c", F.explode("one").alias("r"), F.col("near").alias("beyond")))
+        received = near.where(n <= PART).select(F.col("c").alias("r"), F.col("near").alias("part")).union(hubs.select(F.col("c").alias("r"), F.explode(parts).alias("part")))
+    return sent.join(received, "r").select(F.col("c").alias("i"), F.col("r").alias("j"), F.array_intersect("beyond", "part").alias("ks"))
 
 
 def _listed(edges: DataFrame) -> DataFrame:
