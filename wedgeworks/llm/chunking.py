@@ -142,12 +142,12 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
     own = seen.where("many is null or doc_id <=> least").select("id", F.coalesce("least", "doc_id").alias("least"), "text")
     pieces = stored(own.select("id", "least", "text").mapInArrow(_digested, "h long, rest long, id long, least long, start int"), "pieces")
     often = stored(pieces.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "often")
-    met = stored(join_keyed(pieces, often, ["h"], "n"), "met")
+    met = stored(join_keyed(pieces, often, ["h"], "n", broadcast=False), "met")
     order = F.struct(F.col("least").isNull().alias("none"), "least", "id", "start")
     several_of = met.groupBy("h", "rest").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).where("first <> last")
     first = stored(several_of.select("h", "rest", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"), "n"), "first")
     is_first = ((F.col("id") == F.col("first_id")) & (F.col("start") == F.col("first_start"))).alias("first")
-    found = stored(join_keyed(met, first, ["h", "rest"], "n").select("id", F.struct("start", "rest", is_first).alias("c")).groupBy("id").agg(F.collect_set("c").alias("chunks")), "found")
+    found = stored(join_keyed(met, first, ["h", "rest"], "n", broadcast=False).select("id", F.struct("start", "rest", is_first).alias("c")).groupBy("id").agg(F.collect_set("c").alias("chunks")), "found")
     forget(pieces, often, met, first)
     joined = seen.join(found, "id", "left").select("doc_id", "text", F.when(F.col("many"), ~F.col("doc_id").eqNullSafe(F.col("least"))).alias("copy"), "chunks")
     return joined.mapInArrow(_removed, "doc_id long, n_bytes long, n_chunks long, n_repeated long, spans array<struct<start:long,end:long>>, kept binary")

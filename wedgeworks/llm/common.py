@@ -92,14 +92,14 @@ def small(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if limit is None else limit) else df
 
 
-def join_keyed(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+def join_keyed(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "inner", broadcast: bool = True) -> DataFrame:
     """Join a stored ``right`` of one row a key, ``weight`` being a key's rows in ``left`` (or more).
 
-    A right side of few rows is broadcast. Otherwise both are shuffled, but for keys of more than HOT_ROWS rows:
+    A right side of few rows is broadcast, if ``broadcast``. Otherwise both are shuffled, but for keys of more than HOT_ROWS rows:
     their partners, of which there are few, are broadcast, so that no task gathers a hot key. ``how`` is inner or left.
     """
     plain = right.drop(weight)
-    if right.count() <= BROADCAST_ROWS:
+    if broadcast and right.count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(plain), on, how)
     hot = right.where(F.col(weight) > HOT_ROWS).drop(weight)
     if hot.isEmpty():
