@@ -61,6 +61,15 @@ def vectors(codes: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(bound).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
 
 
+def distinct(x: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values below ``end`` in order, and the place of each value among them; by a table if it is not large."""
+    if end > 1 << 23:
+        return np.unique(x, return_inverse=True)
+    met = np.zeros(end, bool)
+    met[x] = True
+    return np.flatnonzero(met), (np.cumsum(met) - 1)[x]
+
+
 def trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Codes of the trigrams that occur, the place of each occurrence among them and its row, and whether a row has a letter."""
     text = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -73,10 +82,12 @@ def trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     keep[1:] = (s[1:] > 0) | (s[:-1] > 0) | (row[1:] != row[:-1])
     s, row = s[keep], row[keep]
     inside = row[:-2] == row[2:]
-    met, local = np.unique(s, return_inverse=True)  # few, so trigrams of their numbers are small
+    met, local = distinct(s, 0x110000)  # few, so trigrams of their numbers are small
     code = (local[:-2] * len(met) + local[1:-1]) * len(met) + local[2:]
-    code, place = np.unique(code[inside], return_inverse=True)
-    return met[code // len(met) ** 2] << 2 * _SHIFT | met[code // len(met) % len(met)] << _SHIFT | met[code % len(met)] if len(met) else code, place, row[:-2][inside], has
+    code, place = distinct(code[inside], len(met) ** 3)
+    first, rest = np.divmod(code, max(1, len(met)) ** 2)
+    second, third = np.divmod(rest, max(1, len(met)))
+    return met[first] << 2 * _SHIFT | met[second] << _SHIFT | met[third], place, row[:-2][inside], has
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +144,7 @@ def identify(docs: DataFrame) -> DataFrame:
                 for a in range(0, n if names else 0, _ROWS):
                     b = min(n, a + _ROWS)
                     own, texts = slice(edge[a], edge[b]), np.zeros((b - a, DIMENSION), np.float32)
-                    which, local = np.unique(place[own], return_inverse=True)
+                    which, local = distinct(place[own], len(codes))
                     for k in range(0, len(which), _MOST):
                         used = (local >= k) & (local < k + _MOST)
                         width = min(_MOST, len(which) - k)
