@@ -227,7 +227,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     anchors = stored(single.mapInArrow(_anchors, "id binary, anchor long, n long"), "anchors")
     often = stored(anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "often")
-    wanted = stored(join_keyed(anchors.select("id", "anchor"), often, ["anchor"], "n").groupBy("id").agg(F.collect_list("anchor").alias("anchors")), "wanted")
+    wanted = stored(join_keyed(anchors.select("id", "anchor"), often, ["anchor"], "n", broadcast=False).groupBy("id").agg(F.collect_list("anchor").alias("anchors")), "wanted")
     cells = stored(_of(single, wanted).select("id", "text", "anchors").mapInArrow(_cells, "id binary, core binary, lft binary, rgt binary, start int"), "cells")
     forget(anchors, often, wanted)
 
@@ -240,7 +240,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     whole = contexts.where("n > 1").select("core", "lft", "rgt", F.lit((1 << CELL) - 1).cast("long").alias("mask"), "n")
     masks = stored(found.withColumn("n", F.lit(1)).union(whole).groupBy("core", "lft", "rgt").agg(F.bit_or("mask").alias("mask"), F.max("n").alias("n")), "masks")
     every = F.expr(f"shiftleft(1L, octet_length(lft) + octet_length(rgt) - {CELL - 2}) - 1")  # its own starts only
-    marked = stored(join_keyed(cells, masks, ["core", "lft", "rgt"], "n").groupBy("id").agg(F.collect_list(F.struct("start", F.col("mask").bitwiseAND(every).alias("mask"))).alias("cells")), "marked")
+    marked = stored(join_keyed(cells, masks, ["core", "lft", "rgt"], "n", broadcast=False).groupBy("id").agg(F.collect_list(F.struct("start", F.col("mask").bitwiseAND(every).alias("mask"))).alias("cells")), "marked")
     forget(cells, contexts, several, masks)
     ids = stored(marked.select("id"), "marked-ids")
     touched = _of(seen, marked, ids).select("doc_id", "text", "whole", "cells")
