@@ -29,15 +29,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows, named = minhash.groups(docs, 5, 80, first)
     grouped = join_keyed(rows, named, ["key"], "n").select(F.col("doc_id").alias("by"), F.col("digest").alias("of"), "first")
     stays = F.col("by").eqNullSafe(F.col("first.doc_id")) & (F.col("of") == F.col("first.digest"))
-    marks = grouped.groupBy("by", "of").agg(F.first(stays).alias("stays"), F.count("*").alias("n"))
-    marks = stored(marks.where("not stays or n > 1").select("by", "of", "stays"), "marks")
+    marks = grouped.groupBy("by", "of").agg(F.first(stays).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
+    marks = stored(marks.select(F.col("by").alias("_by"), F.col("of").alias("_of"), F.col("stays").alias("_stays")), "marks")
     seen = docs.withColumn("_digest", minhash.digest())
-    seen = seen.join(small(marks), (F.col("_digest") == F.col("of")) & F.col("doc_id").cast("long").eqNullSafe(F.col("by")), "left")
-    out = seen.where("stays is null").select(docs.columns)
-    if marks.where("stays").isEmpty():
+    seen = seen.join(small(marks), (F.col("_digest") == F.col("_of")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_by")), "left")
+    out = seen.where("_stays is null").select(docs.columns)
+    if marks.where("_stays").isEmpty():
         return out
     # Rows that repeat the id and text of the one that stays.
-    return out.union(seen.where("stays").groupBy("by", "of").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
+    return out.union(seen.where("_stays").groupBy("_by", "_of").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents selected by the target weights of domains, languages and sources."""
-    chosen = stored(mixing.mix(docs, share=MIX_SHARE, max_epochs=MIX_EPOCHS).select(F.col("doc_id").alias("chosen")).distinct(), "chosen")
-    return docs.join(small(chosen), F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi").select(docs.columns)
+    chosen = stored(mixing.mix(docs, share=MIX_SHARE, max_epochs=MIX_EPOCHS).select(F.col("doc_id").alias("_chosen")).distinct(), "chosen")
+    return docs.join(small(chosen), F.col("doc_id").eqNullSafe(F.col("_chosen")), "left_semi").select(docs.columns)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
