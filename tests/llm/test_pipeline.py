@@ -50,3 +50,18 @@ def test_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in [(None, leak), (7, leak), (7, clean), (None, alone), (8, None)]], DOCS)
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_leaks(spark, docs, SF).collect()]
     assert sorted(got, key=str) == sorted([(7, clean), (None, alone), (8, None)], key=str)
+
+
+def test_stages_of_nothing_and_of_extra_columns(spark):
+    rng = random.Random(6)
+    extra = ", by long, of string, stays boolean, chosen long, root long, n int, key string"
+    rows = [(i, prose(rng, 80) if i % 5 else None, "en", "src1", 0, 1, "x", True, 2, 3, 4, "k") for i in range(20)]
+    rows += [rows[1], rows[1]]
+    docs = spark.createDataFrame(rows, DOCS + extra)
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "sharding":
+            got = stage(spark, docs, SF)
+            assert got.columns == docs.columns and got.count() <= len(rows)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, SF).count() == 20
+    assert corpus_pipeline.deal_shards(spark, docs, SF).count() == 22
