@@ -1,26 +1,22 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts become sequences of benchmark-vocabulary numbers once (0 for any other word), and all later steps
-read those. Passages of 32 words hold their words' TF-IDF weights. Their randomised SVD is distributed:
-tasks count which words share passages, Spark adds the counts up to A'A, and products of that table
-with a random basis, twice repeated, give the latent directions. Every window of 32 words, at steps of
-16, and every benchmark item is projected on them; pairs of at least ``COSINE`` whose window has enough
-words of the item are candidates. So are, at any cosine, pairs that have enough words in common, each
-counted as often as both hold it: what the latent space does not show (items of common words, or leaked so
-often that their words have become common) is found by its words. A candidate is settled on the words
-themselves: the longest common subsequence of the item with the text around the window, as a share of the
-item, and the same for the item's answer (its last quarter), so that a paraphrase counts that keeps the
-answer.
-
-Words that occur more often than in ``COMMON`` of all passages carry no weight in the latent space.
-Frequencies and the SVD cover all documents.
-Items are taken in blocks of ``ITEMS``, which bounds what is sent to the tasks (vocabulary x rank
-numbers) however large the benchmark is; the corpus is read once a block.
-
-Defined results: null and empty texts match nothing, as do items without words; the cosine is 0 where item
-or window has no weighted word; rows with null doc_id are searched and reported with
-null; repeated rows and items are reported each; no documents or items give no rows; other columns are
-ignored.
+Texts become sequences of benchmark-vocabulary numbers once (0 for any other word), and all later steps read
+those. Passages of 32 words hold their words' TF-IDF weights; every word weighs something, however common it
+is. Their randomised SVD is distributed: tasks count which words share passages, Spark adds the counts up to
+A'A, and products of that table with a random basis, twice repeated, give the latent directions. Every
+window of 32 words, at steps of 16, is projected on them, and so is every benchmark item, in pieces as long
+as windows; a window and an item are candidates at a cosine of ``COSINE`` with any piece, if the window has
+enough words of the item to be settled at all. A candidate is settled on the words themselves: the longest
+common subsequence of the item with the text around the window, as a share of the item, and the same for the
+item's answer (its last quarter), so that a paraphrase counts that keeps the answer.
+
+Frequencies and the SVD cover all documents. Items are taken in blocks of ``ITEMS``, which bounds what is
+sent to the tasks (vocabulary x rank numbers) however large the benchmark is; the corpus is read once a
+block.
+
+Defined results: null and empty texts match nothing, as do items without words; rows with null doc_id are
+searched and reported with null; repeated rows and items are reported each; no documents or items give no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,14 +34,13 @@ from .words import chunks, words
 ITEMS = 1000
 STEP = 16  #: a window or passage is two steps long
 RANK = 192
-COMMON = 0.002
 COSINE = 0.4
 LEAKED, PARAPHRASED, ANSWERED = 0.8, 0.6, 0.75
 #: Share of a window's or, if shorter, the item's words that both must have: what is below PARAPHRASED in
 #: the window that covers the item best cannot reach it.
 SHARED = 0.4
 _PARTS = 64
-_SEEN, _PAIRS = 8 << 20, 8192  #: bytes of words by items, and pairs, that are looked at together
+_SEEN = 8 << 20  #: bytes of words by items that are looked at together
 
 
 def _hashes(texts: list[str]) -> list[np.ndarray]:
@@ -104,9 +99,8 @@ def _frequencies(size: int):
     return run
 
 
-def _cooccurrences(rare: np.ndarray):
-    """(doc_id, ids) to (i, j, n), i <= j: passages that hold both rare words."""
-    size = len(rare)
+def _cooccurrences(size: int):
+    """(doc_id, ids) to (i, j, n), i <= j: passages that hold both words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64)), []
@@ -119,7 +113,7 @@ def _cooccurrences(rare: np.ndarray):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 ids, step, first = _ids(batch.slice(at, 512))
-                used = np.flatnonzero(rare[ids])
+                used = np.flatnonzero(ids)
                 # Rows begin at even steps here, so that no passage crosses rows.
                 even = np.concatenate(([0], np.cumsum((np.diff(first) + 1) // 2 * 2)))
                 row = np.searchsorted(first, step[used], "right") - 1
@@ -175,6 +169,11 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["part", "sums"])
 
 
+def weights(passages: float, held: np.ndarray) -> np.ndarray:
+    """Inverse document frequencies, above 0 for every word that occurs."""
+    return np.where(held > 0, np.log1p(passages / np.maximum(held, 1)), 0).astype(np.float32)
+
+
 def directions(together: DataFrame, weight: np.ndarray) -> np.ndarray:
     """Leading right singular directions of the weighted passages: words x rank."""
     rank = min(RANK, max(1, int((weight > 0).sum())))
@@ -205,26 +204,23 @@ def answer_of(item: list[int]) -> list[int]:
     return item[-max(3, len(item) // 4) :]
 
 
+def pieces_of(item: list[int]) -> list[list[int]]:
+    """An item cut as long as windows are, at the same steps, and once more at its end."""
+    last = max(0, len(item) - 2 * STEP)
+    return [item[at : at + 2 * STEP] for at in dict.fromkeys([*range(0, last, STEP), last])]
+
+
 def _matches(kind: pa.DataType, weight: np.ndarray, basis: np.ndarray, numbers: list[int | None], items: list[list[int]]):
     scaled = basis * weight[:, None]
-    latent = np.stack([scaled[np.array(i, np.int64)].sum(axis=0) for i in items])
-    norm = np.linalg.norm(latent, axis=1, keepdims=True)
-    latent = np.where(norm > 1e-9, latent / np.maximum(norm, 1e-9), 0).astype(np.float32)
-    times = np.zeros((len(weight), len(items)), np.uint8)  # how often an item holds a word; no window needs to know beyond 32
+    pieces = [pieces_of(i) for i in items]
+    of_item = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))[:-1]
+    latent = np.stack([scaled[np.array(piece, np.int64)].sum(axis=0) for parts in pieces for piece in parts])
+    latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-30)).T
+    holds = np.zeros((len(weight), len(items)), np.uint8)
     for k, item in enumerate(items):
-        value, n = np.unique(item, return_counts=True)
-        times[value, k] = np.minimum(n, 2 * STEP)
-    holds = (times > 0).view(np.uint8)
+        holds[item, k] = 1
     needed = np.ceil([SHARED * min(len(i), 2 * STEP) for i in items]).astype(np.uint8)
-    some = max(64, _SEEN // (STEP * len(items)))
-
-    def common(words_: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Words that a window and its item have in common, each as often as both have it."""
-        ordered, place = np.sort(words_, axis=1), np.arange(2 * STEP)
-        begins = np.ones(ordered.shape, bool)
-        begins[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
-        rank = place - np.maximum.accumulate(np.where(begins, place, 0), axis=1)
-        return (rank < times[ordered, item[:, None]]).sum(axis=1)
+    some = max(64, _SEEN // (STEP * latent.shape[1]))
 
     def candidates(ids: np.ndarray, step: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Windows (by their first step), items and cosines."""
@@ -232,27 +228,20 @@ def _matches(kind: pa.DataType, weight: np.ndarray, basis: np.ndarray, numbers:
         rest = np.arange(len(ids)) - np.searchsorted(step, step)  # place within the step
         grid = np.zeros((steps + 1, STEP), np.int32)
         grid[step, rest] = ids
-        used = np.flatnonzero(weight[ids] > 0)
-        own = step[used]
-        begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else own
-        y, n = np.zeros((steps + 1, basis.shape[1]), np.float32), np.bincount(own, minlength=steps + 1)
-        if len(own):
-            y[own[begin]] = np.add.reduceat(scaled[ids[used]], begin, axis=0)
         last = np.zeros(steps + 1, bool)
         last[first[1:][first[1:] > 0] - 1] = True  # a row's last step stands alone
         for k in range(0, steps, some):
             end = min(k + some, steps)
             shared = holds[grid[k : end + 1]].sum(axis=1, dtype=np.uint8)
-            one, two = np.nonzero(shared[:-1] + np.where(last[k:end, None], 0, shared[1:]) >= needed)
-            for j in range(0, len(one), _PAIRS):
-                w, item = one[j : j + _PAIRS] + k, two[j : j + _PAIRS]
-                alone = last[w][:, None]
-                window = y[w] + np.where(alone, 0, y[w + 1])
-                cosine = (window * latent[item]).sum(axis=1) / np.maximum(np.linalg.norm(window, axis=1), 1e-9)
-                near = (cosine >= COSINE) & (n[w] + np.where(alone[:, 0], 0, n[w + 1]) > 1)
-                far = np.flatnonzero(~near)
-                near[far] = common(np.concatenate((grid[w[far]], np.where(alone[far], 0, grid[w[far] + 1])), axis=1), item[far]) >= needed[item[far]]
-                yield w[near], item[near], cosine[near]
+            one, item = np.nonzero(shared[:-1] + np.where(last[k:end, None], 0, shared[1:]) >= needed)
+            if not len(one):
+                continue
+            used, place = np.unique(one + k, return_inverse=True)
+            window = scaled[grid[used]].sum(axis=1) + np.where(last[used, None], 0, scaled[grid[used + 1]].sum(axis=1))
+            window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-30)
+            cosine = np.maximum.reduceat(window @ latent, of_item, axis=1)[place, item]
+            near = cosine >= COSINE
+            yield used[place[near]], item[near], cosine[near]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "item_id", "cosine", "overlap", "answer_overlap"]
@@ -311,13 +300,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, kind: str = "long") -> DataFram
         encoded = stored(source.mapInArrow(_numbered(vocabulary), f"doc_id {kind}, ids binary"), "numbered")
         found = dict(encoded.mapInArrow(_frequencies(len(vocabulary)), "id long, n long").groupBy("id").agg(F.sum("n")).collect())
         n = np.array([found.get(i, 0) for i in range(len(vocabulary) + 1)], float)
-        rare = (n > 0) & (n <= max(COMMON * n[0], 50))
-        rare[0] = False
-        together = stored(encoded.mapInArrow(_cooccurrences(rare), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")), "together")
+        together = stored(encoded.mapInArrow(_cooccurrences(len(n)), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")), "together")
         held = np.zeros(len(n))
         for r in together.where("i = j").select("i", "n").collect():  # passages that hold a word
             held[r[0]] = r[1]
-        weight = np.where(held > 0, np.log((n[0] + 1) / np.maximum(held, 1)), 0).astype(np.float32)
+        weight = weights(n[0], held)
         basis = directions(together, weight)
         out = out.union(stored(encoded.mapInArrow(_matches(pa.int64() if kind == "long" else pa.string(), weight, basis, [k for k, _ in kept], [i for _, i in kept]), schema), "leaks"))
         forget(encoded, together)
