@@ -344,6 +344,19 @@ def test_leaks_of_common_words(spark):
     assert got == {*((i, 0) for i in range(0, 240, 3)), (500, 1), (501, 2)}
 
 
+def test_leaks_of_light_items(spark):
+    """A short item of words that all documents use, among rare words of other items."""
+    rng = random.Random(14)
+    usual = [f"usual{i}" for i in range(30)]
+    light = " ".join(rng.sample(usual, 15))
+    heavy = [f"heavy{i}" for i in range(60)]
+    rows = [(i, " ".join(w for x in usual for w in (x, *prose(rng, 2).split())), None, None, 0) for i in range(300)]
+    rows += [(500 + i, f"{' '.join(heavy[i : i + 9])} {light} {' '.join(heavy[i + 9 : i + 18])}", None, None, 0) for i in range(40)]
+    got = contamination.leaks(frame(spark, rows), spark.createDataFrame([(0, light), (1, " ".join(heavy[::-1]))], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(500 + i, 0) for i in range(40)}
+    assert min(r["cosine"] for r in got) < contamination.COSINE
+
+
 def test_leaks_of_long_items(spark):
     rng = random.Random(13)
     items = [prose(rng, 500), prose(rng, 800)]

@@ -5,10 +5,12 @@ those. Passages of 32 words hold their words' TF-IDF weights; every word weighs
 is. Their randomised SVD is distributed: tasks count which words share passages, Spark adds the counts up to
 A'A, and products of that table with a random basis, twice repeated, give the latent directions. Every
 window of 32 words, at steps of 16, is projected on them, and so is every benchmark item, in pieces as long
-as windows; a window and an item are candidates at a cosine of ``COSINE`` with any piece, if the window has
-enough words of the item to be settled at all. A candidate is settled on the words themselves: the longest
-common subsequence of the item with the text around the window, as a share of the item, and the same for the
-item's answer (its last quarter), so that a paraphrase counts that keeps the answer.
+as windows; a window and an item are candidates at a cosine of ``COSINE`` with any piece, or if the window's
+projection on the piece has ``ALONG`` of the piece's length (a light item among heavier words has a small
+cosine), and the window has enough words of the item to be settled at all. A candidate is settled on the
+words themselves: the longest common subsequence of the item with the text around the window, as a share of
+the item, and the same for the item's answer (its last quarter), so that a paraphrase counts that keeps the
+answer.
 
 Frequencies and the SVD cover all documents. Items are taken in blocks of ``ITEMS``, which bounds what is
 sent to the tasks (vocabulary x rank numbers) however large the benchmark is; the corpus is read once a
@@ -35,6 +37,7 @@ ITEMS = 1000
 STEP = 16  #: a window or passage is two steps long
 RANK = 192
 COSINE = 0.4
+ALONG = 0.4  #: share of an item's latent length that a window must reach along the item, if the cosine is less
 LEAKED, PARAPHRASED, ANSWERED = 0.8, 0.6, 0.75
 #: Share of a window's or, if shorter, the item's words that both must have: what is below PARAPHRASED in
 #: the window that covers the item best cannot reach it.
@@ -215,7 +218,8 @@ def _matches(kind: pa.DataType, weight: np.ndarray, basis: np.ndarray, numbers:
     pieces = [pieces_of(i) for i in items]
     of_item = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))[:-1]
     latent = np.stack([scaled[np.array(piece, np.int64)].sum(axis=0) for parts in pieces for piece in parts])
-    latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-30)).T
+    length = np.maximum(np.linalg.norm(latent, axis=1), 1e-30)
+    latent = (latent / length[:, None]).T
     holds = np.zeros((len(weight), len(items)), np.uint8)
     for k, item in enumerate(items):
         holds[item, k] = 1
@@ -238,9 +242,11 @@ def _matches(kind: pa.DataType, weight: np.ndarray, basis: np.ndarray, numbers:
                 continue
             used, place = np.unique(one + k, return_inverse=True)
             window = scaled[grid[used]].sum(axis=1) + np.where(last[used, None], 0, scaled[grid[used + 1]].sum(axis=1))
-            window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-30)
-            cosine = np.maximum.reduceat(window @ latent, of_item, axis=1)[place, item]
-            near = cosine >= COSINE
+            reached = window @ latent
+            along = np.maximum.reduceat(reached / length, of_item, axis=1)[place, item]
+            reached /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-30)
+            cosine = np.maximum.reduceat(reached, of_item, axis=1)[place, item]
+            near = (cosine >= COSINE) | (along >= ALONG)
             yield used[place[near]], item[near], cosine[near]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
