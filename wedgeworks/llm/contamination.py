@@ -43,6 +43,7 @@ LEAKED, PARAPHRASED, ANSWERED = 0.8, 0.6, 0.75
 #: the window that covers the item best cannot reach it.
 SHARED = 0.4
 _PARTS = 64
+_KEYS = 2_000_000  #: pairs of words that a task counts at a time; Spark adds the counts up
 _SEEN = 8 << 20  #: bytes of words by items that are looked at together
 
 
@@ -103,15 +104,17 @@ def _frequencies(size: int):
 
 
 def _cooccurrences(size: int):
-    """(doc_id, ids) to (i, j, n), i <= j: passages that hold both words."""
+    """(doc_id, ids) to (i, j, n), i <= j: passages that hold both words; a pair may come several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64)), []
+        waiting: list[np.ndarray] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, times = (np.concatenate([x[k] for x in [kept, *waiting]]) for k in (0, 1))
-            value, at = np.unique(keys, return_inverse=True)
-            return value, np.bincount(at, times, len(value)).astype(np.int64)
+        def counted() -> Iterator[pa.RecordBatch]:
+            keys, n = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            for at in range(0, len(keys), 100_000):
+                i, j = np.divmod(keys[at : at + 100_000], size)
+                yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(n[at : at + 100_000])], ["i", "j", "n"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -122,20 +125,16 @@ def _cooccurrences(size: int):
                 row = np.searchsorted(first, step[used], "right") - 1
                 held = np.unique((step[used] - first[row] + even[row]) // 2 * size + ids[used])
                 passage, word = held // size, held % size
-                keys = [word * size + word]
+                waiting.append(word * size + word)
                 for d in range(1, 2 * STEP):
                     same = np.flatnonzero(passage[d:] == passage[:-d])
                     if not len(same):
                         break
-                    keys.append(word[same] * size + word[same + d])  # words ascend within a passage
-                value, n = np.unique(np.concatenate(keys), return_counts=True)
-                waiting.append((value, n.astype(np.int64)))
-                if sum(len(x[0]) for x in waiting) > 2_000_000:
-                    kept, waiting = merged(), []
-        kept = merged()
-        for at in range(0, len(kept[0]), 100_000):
-            key = kept[0][at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array((key // size).astype(np.int32)), pa.array((key % size).astype(np.int32)), pa.array(kept[1][at : at + 100_000])], ["i", "j", "n"])
+                    waiting.append(word[same] * size + word[same + d])  # words ascend within a passage
+                if sum(map(len, waiting)) > _KEYS:
+                    yield from counted()
+        if waiting:
+            yield from counted()
 
     return run
 
