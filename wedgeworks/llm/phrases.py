@@ -167,13 +167,13 @@ class Document:
         end = head(after.text, self.points // 2)
         edited = self.parse.feed(end).signature()
         self.parse.back()
-        sha = hashlib.sha256(self.text[: self.cut] + end).hexdigest()
-        return self.doc_id, self.points, sha, self.signature.tobytes().hex(), edited.tobytes().hex(), likeness(self.signature, edited), likeness(self.signature, after.signature), times
+        sha = hashlib.sha256(self.text[: self.cut] + end).digest()
+        return self.doc_id, self.points, sha, self.signature.tobytes(), edited.tobytes(), likeness(self.signature, edited), likeness(self.signature, after.signature), times
 
 
-_RESULT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("times", pa.int64())]
+_RESULT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("times", pa.int64())]
 _ENDS = [*_RESULT, ("part", pa.int32()), ("first", pa.bool_()), ("text", pa.binary())]
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, times long"
+RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, times long"
 
 
 def _batch(rows: list[tuple], fields: list) -> pa.RecordBatch:
@@ -235,7 +235,8 @@ def next_key(doc_id: Column) -> list[Column]:
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """The columns of RESULT, but for times, of every document."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (hexadecimal), near_edited and near_next of every
+    document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
     rows = _counted(rows.withColumn("digest", F.unhex(F.md5("text"))))
     key = next_key(F.col("doc_id"))
@@ -247,7 +248,8 @@ def edited(docs: DataFrame) -> DataFrame:
     firsts = found.where("first").select(F.col("part").alias("after"), F.col("text").alias("next"))
     ends = found.where("not first").select("doc_id", "text", "part").join(parts.select("part", after), "part").join(firsts, "after").select("doc_id", "text", "next")
     names = [n for n, _ in _RESULT]
-    return _repeated(found.where("first is null").select(names)).unionByName(ends.mapInArrow(_joined, RESULT).drop("times"))
+    out = _repeated(found.where("first is null").select(names)).unionByName(ends.mapInArrow(_joined, RESULT).drop("times"))
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
 
 
 def op13_lempel_ziv_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
