@@ -9,7 +9,7 @@ from wedgeworks.functions import edges as ed
 from wedgeworks.operators import count as co
 from wedgeworks.operators import scan as sc
 
-METHODS = [("adjacency", "id"), ("tile", "id"), ("wedge", "id"), ("auto", None), ("adjacency", "degree")]
+METHODS = [("adjacency", "id"), ("tile", "id"), ("wedge", "id"), ("auto", None), ("adjacency", "degree"), ("triples", "id")]
 
 
 def complete(n):

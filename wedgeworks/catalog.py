@@ -5,8 +5,12 @@ The SQL states the result by plain joins and groupings, not by the plan of the S
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,7 @@ from .operators import count as co
 from .operators import results as re
 from .operators import scan as sc
 from .plans import blocks as bl
+from .sources import graph as gr
 from .sources import mtx
 from .sources import tables as ta
 from .sources.shared import new_path, stored
@@ -86,6 +91,21 @@ def count_triangles_wedge(spark, sf_dir):
     return co.count_triangles(_graph(spark, sf_dir), "wedge")
 
 
+@query(f"{COPART}, {TRIANGLES} SELECT count(*) AS triangles FROM t")
+def count_triangles_triples(spark, sf_dir):
+    return co.count_triangles(_graph(spark, sf_dir), "triples")
+
+
+@query(f"{COPART}, {TRIANGLES} SELECT count(*) AS triangles FROM t")
+def count_triangles_saved(spark, sf_dir):
+    """The graph saved in buckets, and counted as it lies."""
+    name = f"copart_{uuid.uuid4().hex}"
+    gr.save_graph(_graph(spark, sf_dir), name)
+    found = stored(co.count_saved(spark, name), "count")
+    gr.drop_graph(spark, name)
+    return found
+
+
 @query(f"{COPART}, {TRIANGLES} SELECT count(*) AS triangles FROM t")
 def count_triangles_by_degree(spark, sf_dir):
     return co.count_triangles(_graph(spark, sf_dir), "adjacency", orient="degree")
@@ -258,6 +278,41 @@ for _op in sc.REDUCTIONS:
     _reduced(_op)
 
 
+#: A product of numbers a + b * sqrt(5) modulo a prime, and lists of the three largest: what no built-in reduces.
+PRIME = 10_007
+
+
+def _product(x: pa.StructArray, y: pa.StructArray) -> pa.StructArray:
+    (a, b), (c, d) = ([z.field(i).to_numpy() for i in (0, 1)] for z in (x, y))
+    return pa.StructArray.from_arrays([pa.array((a * c + 5 * b * d) % PRIME), pa.array((a * d + b * c) % PRIME)], ["a", "b"])
+
+
+def _largest(x: pa.ListArray, y: pa.ListArray) -> pa.ListArray:
+    row = np.concatenate([pc.list_parent_indices(z).to_numpy() for z in (x, y)])
+    value = np.concatenate([z.flatten().to_numpy() for z in (x, y)])
+    order = np.lexsort((-value, row))
+    row, value = row[order], value[order]
+    starts = np.searchsorted(row, np.arange(len(x)))
+    keep = np.arange(len(row)) - starts[row] < 3
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[keep], np.arange(len(x) + 1)).astype(np.int32)), pa.array(value[keep]))
+
+
+@query(
+    f"""SELECT l_partkey, x.a AS a, x.b AS b FROM (SELECT l_partkey, list_reduce(list({{'a': (l_suppkey + 1)::BIGINT, 'b': l_linenumber::BIGINT}}),
+lambda x, y: {{'a': (x.a * y.a + 5 * x.b * y.b) % {PRIME}, 'b': (x.a * y.b + x.b * y.a) % {PRIME}}}) AS x FROM lineitem GROUP BY l_partkey)"""
+)
+def reduce_by_key_product(spark, sf_dir):
+    number = F.struct((F.col("l_suppkey") + 1).cast("long").alias("a"), F.col("l_linenumber").cast("long").alias("b"))
+    lines = fx.table(spark, sf_dir, "lineitem").select("l_partkey", number.alias("x"))
+    return sc.reduce_by_key(lines, ["l_partkey"], "x", _product).select("l_partkey", "x.a", "x.b")
+
+
+@query("SELECT l_suppkey, array_to_string(list_slice(list_reverse_sort(list(l_orderkey)), 1, 3), ',') AS largest FROM lineitem GROUP BY l_suppkey")
+def reduce_by_key_largest(spark, sf_dir):
+    lines = fx.table(spark, sf_dir, "lineitem").select("l_suppkey", F.array(F.col("l_orderkey").cast("long")).alias("x"))
+    return sc.reduce_by_key(lines, ["l_suppkey"], "x", _largest).select("l_suppkey", F.array_join(F.transform("x", lambda v: v.cast("string")), ",").alias("largest"))
+
+
 @query(f"{COPART} SELECT c AS key, count(*) AS n FROM e GROUP BY c")
 def histogram(spark, sf_dir):
     return sc.histogram(_graph(spark, sf_dir), "c")
@@ -274,9 +329,9 @@ def run_lengths(spark, sf_dir):
     return sc.run_lengths(fx.table(spark, sf_dir, "lineitem"), "l_suppkey")
 
 
-@query("SELECT p_partkey, coalesce(sum(l_linenumber), 0)::BIGINT AS total FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') ON p_partkey = l_partkey GROUP BY p_partkey")
+@query("SELECT p_partkey, coalesce(sum(l_linenumber), 0)::BIGINT AS total FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY p_partkey")
 def segmented_sum(spark, sf_dir):
-    lines = fx.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"), "l_linenumber")
+    lines = fx.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_linenumber")
     return sc.segmented_sum(lines, fx.table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", "l_linenumber")
 
 

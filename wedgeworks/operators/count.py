@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.edges import by_degree
 from ..functions.tiles import lower_tiles, tile_join, tile_of, upper_tiles
+from ..sources.graph import saved_neighbours
 from ..sources.shared import stored
+from . import triples as tr
 
 #: Edges a lower tile holds on average from which tiles beat adjacency arrays.
 DENSE = 8
+#: Colours up to which ``auto`` deals edges to triples, each edge to as many as there are colours.
+MOST_COLOURS = 32
 #: Neighbours in an array; what a vertex has more of goes into further arrays, which tasks share.
 PART = 1024
-METHODS, ORIENTS = ("auto", "adjacency", "tile", "wedge"), ("id", "degree")
+METHODS, ORIENTS = ("auto", "adjacency", "tile", "wedge", "triples"), ("id", "degree")
 
 
 def wedges(edges: DataFrame) -> DataFrame:
@@ -27,15 +31,19 @@ def triangles(edges: DataFrame) -> DataFrame:
     return wedges(edges).join(edges.select(F.col("c").alias("j"), F.col("r").alias("k")), ["j", "k"]).select("i", "j", "k")
 
 
-def closed(directed: DataFrame) -> DataFrame:
-    """``(i, j, ks)`` of ``directed(c, r, rank)``, an acyclic graph in which ``rank`` orders the r: for an edge from i
+def neighbours(directed: DataFrame) -> DataFrame:
+    """``(c, near)``: the vertices that c leads to, in order of rank, of ``directed(c, r, rank)``."""
+    return directed.groupBy("c").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "r"))), lambda x: x["r"]).alias("near"))
+
+
+def closed(near: DataFrame) -> DataFrame:
+    """``(i, j, ks)`` of the stored lists of ``neighbours`` in an acyclic graph: for an edge from i
     to j, the vertices that both lead to and that come after j. Every triangle is met once.
 
     A vertex sends to each of its neighbours only those beyond. Neighbours of a hub lie in parts, and pairs of parts
-    are dealt to tasks before they are opened, so that no task opens a hub alone.
+    are dealt to tasks before they are opened, so that no task opens a hub alone. Where lists lie in buckets by c, and
+    none is a hub's, they receive without an exchange.
     """
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("rank", "r"))), lambda x: x["r"])
-    near = stored(directed.groupBy("c").agg(ordered.alias("near")), "neighbours")
     n = F.size("near")
     beyond = F.expr("slice(near, at + 2, size(near))").alias("beyond")
     sent = near.where((n > 1) & (n <= PART)).select("c", "near", F.posexplode("near").alias("at", "r")).where(F.col("at") < n - 1).select("c", "r", beyond)
@@ -50,18 +58,10 @@ def closed(directed: DataFrame) -> DataFrame:
     return sent.join(received, "r").select(F.col("c").alias("i"), F.col("r").alias("j"), F.array_intersect("beyond", "part").alias("ks"))
 
 
-def _listed(edges: DataFrame) -> DataFrame:
-    """``(i, j, k)``, ``i < j < k``, of every triangle, found in order of degree."""
-    three = closed(by_degree(edges)).select("i", "j", F.explode("ks").alias("k"))
-    least, most = F.least("i", "j", "k"), F.greatest("i", "j", "k")
-    return three.select(least.alias("i"), (F.col("i") + F.col("j") + F.col("k") - least - most).alias("j"), most.alias("k"))
-
-
 def common_neighbours(edges: DataFrame) -> DataFrame:
     """``(c, r, n)`` for every edge: vertices between, neighbours of c above and of r below."""
-    edges = stored(edges, "edges")
-    found = _listed(edges).groupBy(F.col("i").alias("c"), F.col("k").alias("r")).agg(F.count("*").alias("n"))
-    return edges.join(found, ["c", "r"], "left").select("c", "r", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    edges = stored(edges.select("c", "r"), "edges")
+    return tr.between(edges, edges.count())
 
 
 def is_dense(edges: DataFrame) -> bool:
@@ -70,30 +70,42 @@ def is_dense(edges: DataFrame) -> bool:
     return m >= DENSE * max(1, tiles)
 
 
+def count_saved(spark: SparkSession, name: str) -> DataFrame:
+    """One row ``triangles`` of a graph saved by ``save_graph``, off its neighbour lists: one exchange, of what is sent."""
+    return closed(saved_neighbours(spark, name)).agg(F.coalesce(F.sum(F.size("ks")), F.lit(0)).cast("long").alias("triangles"))
+
+
 def count_triangles(edges: DataFrame, method: str = "auto", orient: str | None = None) -> DataFrame:
-    """One row ``triangles``. ``method``: adjacency, tile, wedge, or auto (stored edges, then tile or adjacency);
+    """One row ``triangles``. ``method``: adjacency, tile, wedge, triples (edges dealt to triples of colours), or auto
+    (stored edges; triples up to some 200 million of them, beyond that tile or adjacency);
     ``orient``, for adjacency: degree (the default, which bounds a hub's larger neighbours), or id. The total
     depends on neither."""
     if method not in METHODS or orient not in (None, *ORIENTS):
         raise ValueError(f"no such way to count: {method}, {orient}; there are {METHODS}, {ORIENTS}")
-    if orient == "degree" and method in ("tile", "wedge"):
+    if orient == "degree" and method in ("tile", "wedge", "triples"):
         raise ValueError(f"{method} goes by id")
-    if method == "auto":
-        edges = stored(edges, "edges")
-        method = "tile" if orient != "degree" and is_dense(edges) else "adjacency"
+    if method in ("auto", "triples"):
+        edges = stored(edges.select("c", "r"), "edges")
+        m = edges.count()
+        if method == "auto":
+            few = tr.colours(m, edges.sparkSession.sparkContext.defaultParallelism) <= MOST_COLOURS
+            method = "adjacency" if orient == "degree" else "triples" if few else "tile" if is_dense(edges) else "adjacency"
     if method == "tile":
         found = tile_join(upper_tiles(edges), edges, lower_tiles(edges)).agg(F.sum("common").alias("t"))
+    elif method == "triples":
+        found = tr.total(edges, m).agg(F.sum("t").alias("t"))
     elif method == "wedge":
         found = triangles(edges).agg(F.count("*").alias("t"))
     else:
         directed = edges.withColumn("rank", F.col("r")) if orient == "id" else by_degree(edges)
-        found = closed(directed).agg(F.sum(F.size("ks")).alias("t"))
+        found = closed(stored(neighbours(directed), "neighbours")).agg(F.sum(F.size("ks")).alias("t"))
     return found.select(F.coalesce("t", F.lit(0)).cast("long").alias("triangles"))
 
 
 def partial_triangles(edges: DataFrame, block: int) -> DataFrame:
     """``(mid_block, high_block, triangles)`` by the blocks of the middle and the highest vertex, ``block`` vertices each."""
-    return _listed(stored(edges.select("c", "r"), "edges")).groupBy(F.expr(f"j div {block}").alias("mid_block"), F.expr(f"k div {block}").alias("high_block")).agg(F.count("*").alias("triangles"))
+    edges = stored(edges.select("c", "r"), "edges")
+    return tr.block_counts(edges, edges.count(), block)
 
 
 def block_pair_join(edges: DataFrame, block: int, mid: int, highs: list[int]) -> DataFrame:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a local master without it gets a folder of its own, a cluster an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,15 +30,36 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` and read it back, so that lost executors cost a re-read and nothing is computed twice."""
+    """Write ``df`` and read it back, so that lost executors cost a re-read and nothing is computed twice. ``clear``
+    deletes what was written, once results that read it are safe."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that ``stored`` has written; what reads them must have been written out before."""
+    while _written:
+        delete(spark, _written.pop())
+
+
 def in_order(df: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` dealt by ranges of ``keys`` and stored, with ``part``, a range's number in order, and ``at``, a row's
     0-based place in its range. Ranges hold about as many rows each, however the keys are spread."""
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     return stored(ranged.select(*df.columns, F.spark_partition_id().alias("part"), inside.alias("at")), "in-order")
+
+
+def scanned(df: DataFrame, keys: list[str], task: Callable, schema: str) -> DataFrame:
+    """``df`` dealt by ranges of ``keys``, and each range, in order and with its number as the last column ``part``, gone
+    through by ``task`` on Arrow batches once, before the result (columns of ``schema``) is stored: no second exchange."""
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*df.columns, F.spark_partition_id().alias("part"))
+    return stored(ranged.mapInArrow(task, schema), "scanned")
