@@ -1,10 +1,15 @@
 """Files: MatrixMarket text, result tables, side tables."""
 
+import random
+import re as python_re
+
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from wedgeworks.operators import results as re
 from wedgeworks.plans import blocks as bl
-from wedgeworks.sources import mtx
+from wedgeworks.sources import mtx, packed
 from wedgeworks.sources import tables as ta
 
 HEAD = "%%MatrixMarket matrix coordinate real symmetric\n% comment\n\n"
@@ -86,3 +91,103 @@ def test_one_block_at_least():
     assert bl.block_size(2000, 8) == 256
     assert bl.block_size(20000, 8) == 2528
     assert bl.block_size(3, 64) == 32
+
+
+# ---- compressed successor lists
+
+
+def test_varints():
+    rng = random.Random(1)
+    values = [0, 1, 127, 128, 16383, 16384, 2**62, 2**63 - 1] + [rng.randrange(2 ** rng.randint(1, 63)) for _ in range(2000)]
+    assert packed.numbers(packed.varints(np.array(values))).tolist() == values
+    assert packed.varints(np.array([300])) == b"\xac\x02" and packed.varints(np.zeros(0, int)) == b""
+
+
+@pytest.mark.parametrize("block", [4, 1 << 16])
+def test_packed(spark, tmp_path, block):
+    rng = random.Random(2)
+    rows = [(rng.randrange(50), rng.randrange(-(2**40), 2**60)) for _ in range(300)] + [(7, k) for k in range(100)] + [(7, 5)] * 3 + [(-(2**50), 3), (2**61, 2**61), (2**61, -4)]
+    edges = spark.createDataFrame([*rows, (None, 1), (1, None)], "src long, dst long").repartition(3)
+    path = str(tmp_path / "packed")
+    packed.write_packed(edges, path, block)
+    assert sorted(map(tuple, packed.read_packed(spark, path).collect())) == sorted(rows)
+    assert sorted(map(tuple, packed.read_packed(spark, path, 5, 9).collect())) == sorted(r for r in rows if 5 <= r[0] <= 9)
+    assert tuple(packed.packed_size(spark, path).first()) == (len({a for a, _ in rows}), len(rows))
+
+
+def test_a_range_reads_its_blocks(spark, tmp_path):
+    path = str(tmp_path / "packed")
+    packed.write_packed(spark.range(10_000).selectExpr("id AS src", "id + 1 AS dst"), path, 50)
+    assert packed.packed_blocks(spark, path).count() >= 200
+    assert packed.packed_blocks(spark, path, 4000, 4099).count() <= 4
+    plan = packed.read_packed(spark, path, 4000, 4099)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(last), IsNotNull(first), GreaterThanOrEqual(last,4000), LessThanOrEqual(first,4099)]" in plan
+    assert "lists" not in packed.packed_size(spark, path)._jdf.queryExecution().executedPlan().toString()
+    lists = packed.packed_blocks(spark, path).selectExpr("sum(octet_length(lists))").first()[0]
+    assert lists < 5 * 10_000  # an edge to the next vertex takes four bytes or so, not sixteen
+
+
+def test_nothing_packed(spark, tmp_path):
+    path = str(tmp_path / "packed")
+    packed.write_packed(spark.createDataFrame([], "src long, dst long"), path)
+    assert packed.read_packed(spark, path).count() == 0 and tuple(packed.packed_size(spark, path).first()) == (0, 0)
+
+
+# ---- all or nothing
+
+
+def test_a_failed_append_leaves_nothing(spark, tmp_path):
+    row = ("g", 5, 9, 0.5, 1.5, 64, 3, 7, 2.5, 4, 2.8)
+    df, path = spark.createDataFrame([row] * 8, ta.RESULTS["multi"]), str(tmp_path / "results")
+    assert ta.read_results(spark, path, "multi").count() == 0
+    assert ta.append_results(df, path, "multi", "run-1")
+
+    def broken(batches):
+        for k, batch in enumerate(batches):
+            yield batch
+            if pa.types.is_string(batch.column(0).type) and batch.column(0)[0].as_py() == "bad":
+                raise RuntimeError("lost")
+
+    half = df.union(spark.createDataFrame([("bad", *row[1:])], ta.RESULTS["multi"])).mapInArrow(broken, ta.RESULTS["multi"])
+    with pytest.raises(Exception, match="lost"):
+        ta.append_results(half, path, "multi", "run-2")
+    assert ta.read_results(spark, path, "multi").count() == 8
+    assert ta.append_results(df.limit(2), path, "multi", "run-2")  # the same batch, repeated as a whole
+    assert not ta.append_results(df.limit(2), path, "multi", "run-2")
+    assert not ta.append_results(df, path, "multi", "run-1")
+    assert ta.read_results(spark, path, "multi").count() == 10
+    with pytest.raises(ValueError, match="no name"):
+        ta.append_results(df, path, "multi", "../x")
+
+
+# ---- denied names
+
+
+@pytest.mark.parametrize(
+    ("pattern", "literal"),
+    [("abc", "abc"), ("^web-.*graph$", "graph"), (r"a\.bcd", "a.bcd"), ("abcd*e", "abc"), ("abcd+efg", "abcd"), ("colou?r", "colo"), ("(xyz)abc", "abc"), ("[abc]defg", "defg"), ("[^]a]bcd", "bcd"), ("abc|def", ""), ("(?i)abc", ""), (r"\d+abc\w", "abc"), ("a{2}bcd", "bcd"), ("ab{0,3}", "a"), (r"\Qa.b\E", ""), (r"\x41bcd", ""), (r"(a)bcd\1", ""), (".", ""), ("", ""), (r"a\\bc", r"a\bc"), ("(a(bcd)e)fgh", "fgh")],
+)
+def test_required_literal(pattern, literal):
+    assert re.required_literal(pattern) == literal
+
+
+def test_deny_filter(spark):
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abc./-") for _ in range(rng.randint(0, 9))) for _ in range(400)] + ["", "ab", "é中abc"]
+    patterns = ["^ab", r"c\.a", "a/b+c", "abc?a", "-b-c", "[ab]c-", "bca$", "zzz", "(ab)+cab", "b.c/a", "ccc|aaa"]
+    table = spark.createDataFrame([(n, k) for k, n in enumerate([*names, *names[:50], None])], "name string, gram int")
+    for some in (patterns, patterns[1:4], patterns[7:8], ["a"], []):
+        got = re.deny_filter(table, spark.createDataFrame([(p,) for p in [*some, *some, None]], "pattern string"))
+        want = [n for n in [*names, *names[:50]] if not any(python_re.search(p, n) for p in some)]
+        assert got.columns == table.columns
+        assert sorted(r["name"] or "" for r in got.collect()) == sorted([*want, ""])
+
+
+def test_very_many_patterns(spark):
+    patterns = spark.range(50_000).selectExpr("concat('name', id, '[.]x') AS pattern")
+    names = spark.range(0, 4_000).selectExpr("concat('name', id * 25, if(id % 2 = 0, '.x', '.y')) AS name")
+    got = re.deny_filter(names, patterns)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 4_000 - 1_000
+    with pytest.raises(ValueError, match="without three"):
+        re.deny_filter(names, spark.range(10_001).selectExpr("concat('(', id, ')') AS pattern"))

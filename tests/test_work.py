@@ -134,9 +134,7 @@ def _matrices(a, b):
 
 
 @pytest.mark.parametrize(("held", "fan"), [(1 << 17, 64), (50, 2)])
-def test_merge_by_key(spark, monkeypatch, held, fan):
-    monkeypatch.setattr(rd, "HELD", held)
-    monkeypatch.setattr(rd, "FAN", fan)
+def test_merge_by_key(spark, held, fan):
     rng = random.Random(6)
     keys = [("hot", 1.0)] * 700 + [(rng.choice("abcdefgh"), float(rng.randrange(8))) for _ in range(600)] + [(None, 2.0), (None, 2.0), ("n", float("nan")), ("n", float("nan")), ("z", 0.0), ("z", -0.0), ("e", None), ("e", None)]
     rows = [(*k, (rng.randrange(1, 9973), rng.randrange(9973)), 1) for k in keys] + [("only", 3.0, None, 1), ("hot", 1.0, None, 1)]
@@ -149,7 +147,7 @@ def test_merge_by_key(spark, monkeypatch, held, fan):
             (p, q), (r, s) = want[at], x
             x = (p * r + q * s) % 9973, (p * s + q * r) % 9973
         want[at] = x or want.get(at)
-    got = sc.reduce_by_key(df, ["k", "f"], "x", _matrices).collect()
+    got = rd.merge_by_key(df, ["k", "f"], "x", _matrices, held, fan).collect()
     assert len(got) == len(want) and {(r["k"], str(r["f"])): r["x"] and tuple(r["x"]) for r in got} == want
     assert sc.reduce_by_key(df.limit(0), ["k", "f"], "x", _matrices).count() == 0
 

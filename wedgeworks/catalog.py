@@ -23,6 +23,7 @@ from .operators import scan as sc
 from .plans import blocks as bl
 from .sources import graph as gr
 from .sources import mtx
+from .sources import packed as pk
 from .sources import tables as ta
 from .sources.shared import new_path, stored
 
@@ -372,7 +373,7 @@ def offsets(spark, sf_dir):
 
 @query(f"{COPART}, {DEGREE}, {_OFFSETS}, p AS (SELECT row_number() OVER (ORDER BY c, r) - 1 AS pos FROM e) SELECT pos, key FROM p ASOF JOIN f ON p.pos >= f.start")
 def segment_lookup(spark, sf_dir):
-    e = _graph(spark, sf_dir)
+    e = stored(_graph(spark, sf_dir), "edges")
     return sc.segment_lookup(sc.positions_of(e, ["c", "r"]).select("pos"), sc.offsets(e, "c"))
 
 
@@ -561,6 +562,29 @@ def read_adjacency(spark, sf_dir):
     return ta.read_adjacency(fx.copart(spark, sf_dir).groupBy("src").agg(F.collect_list("dst").alias("successors")))
 
 
+def _packed(spark, sf_dir) -> str:
+    path = new_path(spark, "packed")
+    pk.write_packed(fx.copart(spark, sf_dir), path)
+    return path
+
+
+@query(f"WITH {RAW} SELECT src, dst FROM raw")
+def read_packed(spark, sf_dir):
+    return pk.read_packed(spark, _packed(spark, sf_dir))
+
+
+@query(f"WITH {RAW}, q AS (SELECT max(l_partkey) // 4 AS low FROM lineitem) SELECT src, dst FROM raw, q WHERE src BETWEEN low AND 2 * low")
+def read_packed_range(spark, sf_dir):
+    """The second quarter of the sources."""
+    low = fx.table(spark, sf_dir, "lineitem").agg(F.max("l_partkey")).first()[0] // 4
+    return pk.read_packed(spark, _packed(spark, sf_dir), low, 2 * low)
+
+
+@query(f"WITH {RAW} SELECT count(DISTINCT src) AS nodes, count(*) AS arcs FROM raw")
+def packed_size(spark, sf_dir):
+    return pk.packed_size(spark, _packed(spark, sf_dir))
+
+
 def _properties(spark, sf_dir):
     parts = fx.table(spark, sf_dir, "part")
     lines = F.array(F.concat(F.lit("nodes="), F.col("p_partkey")), F.concat(F.lit(" nodes = "), F.col("p_size")), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("arcs="), F.col("p_partkey") * 3)).otherwise("arcs=none"), F.lit("#comment"), F.lit("a=b=c"))

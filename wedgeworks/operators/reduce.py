@@ -57,7 +57,7 @@ def merged(table: pa.Table, keys: list[str], value: str, merge: Merge) -> pa.Tab
     return table.select(keys).take(pa.array(firsts)).append_column(value, column)
 
 
-def _in_task(keys: list[str], value: str, merge: Merge) -> Callable:
+def _in_task(keys: list[str], value: str, merge: Merge, most: int = HELD) -> Callable:
     """Rows in any order to partial results. What a task holds is bounded, so a key may leave it more than once."""
 
     def reduced(held: list[pa.RecordBatch]) -> pa.Table:
@@ -69,9 +69,9 @@ def _in_task(keys: list[str], value: str, merge: Merge) -> Callable:
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            if n >= HELD:
+            if n >= most:
                 table = reduced(held)
-                if table.num_rows > HELD // 2:
+                if table.num_rows > most // 2:
                     yield from table.to_batches()
                     held, n = [], 0
                 else:
@@ -105,28 +105,28 @@ def _met(rows: DataFrame, by: list[str], value: str, merge: Merge) -> DataFrame:
     return rows.select(*by, value).repartition(*by).sortWithinPartitions(*by).mapInArrow(_in_order(by, value, merge), schema)
 
 
-def merge_by_key(df: DataFrame, keys: list[str], value: str, merge: Merge) -> DataFrame:
+def merge_by_key(df: DataFrame, keys: list[str], value: str, merge: Merge, held: int = HELD, fan: int = FAN) -> DataFrame:
     """``value`` merged over the rows of each key: first within each task, then by key.
 
-    Only a task's partial results are shuffled. A key that occurs in more than ``FAN`` of them, as a hot one does, is
-    merged in a tree: by key and group of ``FAN`` tasks first, in rounds, until it has ``FAN`` rows or fewer. Keys are of atomic
-    types; null is a key like others; a null value gives way, and is the result only where a key has no other.
+    Only a task's partial results are shuffled. A key that occurs in more than ``fan`` of them, as a hot one does, is
+    merged in a tree: by key and group of ``fan`` tasks first, in rounds, until it has ``fan`` rows or fewer. Keys are of atomic
+    types; null is a key like others; a task holds some ``held`` rows; a null value gives way, and is the result only where a key has no other.
     """
     kinds = dict(df.dtypes)
     whole = [F.when(F.col(k) == 0, F.lit(0).cast(kinds[k])).otherwise(F.col(k)).alias(k) if kinds[k] in ("float", "double") else F.col(k) for k in keys]
     rows = df.select(*whole, value)
-    parts = rows.mapInArrow(_in_task(keys, value, merge), rows.schema).withColumn("_task", F.spark_partition_id())
+    parts = rows.mapInArrow(_in_task(keys, value, merge, held), rows.schema).withColumn("_task", F.spark_partition_id())
     parts = stored(parts, "partial")
     done = []
     while True:
-        many = parts.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > FAN)
+        many = parts.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > fan)
         many = stored(many.select(*[F.col(k).alias(f"_{k}") for k in keys]), "hot-keys")
         if many.isEmpty():
             break
         same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
         hot = parts.join(many, same, "left_semi")
         done.append(parts.join(many, same, "left_anti"))
-        slot = F.expr(f"_task div {FAN}").alias("_task")
+        slot = F.expr(f"_task div {fan}").alias("_task")
         parts = stored(_met(hot.select(*keys, value, slot), [*keys, "_task"], value, merge), "partial")
     for other in done:
         parts = parts.unionByName(other)

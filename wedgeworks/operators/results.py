@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 # Device counts of the scaling table.
 AXIS = (1, 2, 3, 4, 8, 12, 16, 20, 24, 28, 32)
 MOST_PATTERNS = 10_000
@@ -15,11 +19,78 @@ DEFAULT_PARTITIONS = 64
 WARM_UP_SAMPLES = 2
 
 
+def required_literal(pattern: str) -> str:
+    """The longest text that every match of a regular expression contains; empty where none is certain.
+
+    Only plain sequences are read: an alternative, a flag, a quoted stretch or a character by number leaves nothing certain, groups and classes are passed
+    over, and what a quantifier follows ends a text, without its last character if it may be absent.
+    """
+    if "|" in pattern or "(?" in pattern or "\\Q" in pattern:
+        return ""
+    texts, now, i, depth = [], "", 0, 0
+    while i < len(pattern):
+        c, step = pattern[i], 1
+        if c == "\\":
+            step = 2
+            c = pattern[i + 1 : i + 2]
+            plain = bool(c) and not c.isalnum()
+            if c.isalnum() and c not in "dDwWsSbBAzZGhHvVRtnrfae":
+                return ""
+        elif c == "[":
+            end = pattern.find("]", i + 2 + (pattern[i + 1 : i + 2] == "^"))
+            if end < 0 or "[" in pattern[i + 1 : end] or "\\" in pattern[i:end]:
+                return ""
+            step, plain = end + 1 - i, False
+        elif c == "{":
+            step, plain = pattern.find("}", i) + 1 - i, False
+            if step <= 0:
+                return ""
+        else:
+            plain = c not in ".^$*+?}()"
+        after = pattern[i + step : i + step + 1]
+        depth += (c == "(" and step == 1) - (c == ")" and step == 1)
+        if plain and not depth and after not in ("*", "?", "{"):
+            now += c
+            if after == "+":
+                texts, now = [*texts, now], ""
+        else:
+            texts, now = [*texts, now], ""
+        i += step
+    return max([*texts, now], key=len)
+
+
+def _literals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(required_literal, batch.column(0).to_pylist()), pa.string())], ["pattern", "literal"])
+
+
+def trigrams(text: str) -> Column:
+    """The distinct stretches of three characters of a column."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda k: F.substring(text, k, F.lit(3))))
+
+
 def deny_filter(names: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Names in which no pattern is found. Patterns are a list by hand; more than MOST_PATTERNS are an error."""
-    if patterns.count() > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns")
-    return names.join(F.broadcast(patterns), F.expr("name rlike pattern"), "left_anti")
+    """Names in which no pattern is found; rows with a null name stay.
+
+    Names and patterns meet by an equal stretch of three characters that a pattern requires, of several the one that fewest names
+    have; only names that have it are matched. Patterns that require no such stretch are held against every name: they are broadcast, and
+    more than MOST_PATTERNS of them are an error.
+    """
+    known = patterns.where("pattern is not null").select("pattern").distinct().mapInArrow(_literals, "pattern string, literal string")
+    known = stored(known, "patterns")
+    loose = known.where("length(literal) < 3").select("pattern")
+    if loose.count() > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns without three characters that they require")
+    each = names.where("name is not null").select("name").distinct()
+    of_names = stored(each.where("length(name) > 2").select("name", F.explode(trigrams("name")).alias("gram")), "trigrams")
+    often = of_names.groupBy("gram").agg(F.count("*").alias("n"))
+    of_patterns = known.where("length(literal) > 2").select("pattern", F.explode(trigrams("literal")).alias("gram"))
+    # A stretch that no name has makes its pattern match none.
+    rarest = of_patterns.join(often, "gram", "left").groupBy("pattern").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
+    found = of_names.join(rarest, "gram").where("name rlike pattern").select("name")
+    if not loose.isEmpty():
+        found = found.union(each.join(F.broadcast(loose), F.expr("name rlike pattern"), "left_semi"))
+    return names.join(found.distinct(), "name", "left_anti").select(names.columns)
 
 
 def limit_graphs(names: DataFrame, n: int) -> DataFrame:

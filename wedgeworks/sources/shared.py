@@ -38,10 +38,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    """A path of any file system, and that file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists."""
+    at, files = _at(spark, path)
+    return files.exists(at)
+
+
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small text file appear whole, by one rename, unless it is there already; whether it was made."""
+    at, files = _at(spark, path)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{at.getParent()}/.{uuid.uuid4().hex}")
+    out = files.create(aside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if files.exists(at) or not files.rename(aside, at):
+        files.delete(aside, False)
+        return False
+    return True
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of any file system."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    at, files = _at(spark, path)
+    files.delete(at, True)
 
 
 def clear(spark: SparkSession) -> None:

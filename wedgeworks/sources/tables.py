@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import exists, publish
+
 # Labels of the run reports, with the column and type of each.
 SINGLE_REPORT = {
     "n_blocks": ("Blocks of threads", "bigint"),
@@ -80,17 +85,31 @@ def parse_multi_log(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _split(runs, MULTI_REPORT)
 
 
-def append_results(df: DataFrame, path: str, kind: str) -> None:
-    """Append rows to a result table (a folder of CSV files, each with a header); columns must match."""
+def append_results(df: DataFrame, path: str, kind: str, batch: str | None = None) -> bool:
+    """Append rows to a result table (CSV with a header), all or none of them; columns must match.
+
+    Rows are written aside, and one rename of a small file publishes them: until then no reader sees any, and what a failed run
+    has left is never read. A ``batch`` that is published already is not added again, so a run may be repeated. Returns
+    whether rows were added.
+    """
     want = T.StructType.fromDDL(RESULTS[kind])
     if [(f.name, f.dataType) for f in df.schema] != [(f.name, f.dataType) for f in want]:
         raise ValueError(f"columns differ from the {kind} results: {df.schema.simpleString()}")
-    df.write.mode("append").option("header", True).csv(path)
+    spark, attempt = df.sparkSession, uuid.uuid4().hex
+    batch = batch or attempt
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", batch):
+        raise ValueError(f"no name for a batch: {batch}")
+    published = f"{path}/published/{batch}"
+    if exists(spark, published):
+        return False
+    df.write.option("header", True).csv(f"{path}/rows/{attempt}")
+    return publish(spark, published, attempt)
 
 
 def read_results(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """A result table with its types."""
-    return spark.read.schema(RESULTS[kind]).csv(path, header=True)
+    """A result table with its types: the rows of all published batches."""
+    folders = [f"{path}/rows/{r[0]}" for r in spark.read.text(f"{path}/published").collect()] if exists(spark, f"{path}/published") else []
+    return spark.read.schema(RESULTS[kind]).csv(folders, header=True) if folders else spark.createDataFrame([], RESULTS[kind])
 
 
 def results_report(df: DataFrame, path: str, order: list[str]) -> None:
