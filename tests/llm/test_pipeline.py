@@ -52,6 +52,27 @@ def test_null_and_repeated_ids(spark):
     assert sorted(got, key=str) == sorted([(7, clean), (None, alone), (8, None)], key=str)
 
 
+def test_mix_of_null_and_repeated_ids(spark, monkeypatch):
+    """Half of the rows have no id, one row occurs 300 times, and one id has many texts: the budget holds for all alike."""
+    monkeypatch.setattr(corpus_pipeline, "MIX_SHARE", 0.5)
+    rng = random.Random(7)
+    texts = [prose(rng, rng.randint(20, 60)) for _ in range(1500)]
+    rows = [(None, t) for t in texts] + list(enumerate(texts)) + [(9999, texts[0])] * 300 + [(8888, prose(rng, 40)) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", 0, {"a": 1}) for i, t in rows], DOCS + ", extra map<string,int>").repartition(3)
+    docs = stored(docs, "mix-test")
+    size = lambda t: (len(t.encode()) + 3) // 4
+    budget = sum(size(t) for _, t in rows) // 2
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.mix_sources(spark, docs, SF).collect()]
+    total = sum(size(t) for _, t in got)
+    assert budget - 200 < total <= budget
+    for some, n in ((None, 1500), (9999, 300), (8888, 200)):
+        assert 0.35 * n < sum(i == some for i, _ in got) < 0.65 * n
+    assert sorted(got, key=str) == sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.mix_sources(spark, docs, SF).collect()), key=str)
+    docs = stored(docs.where("doc_id is null or doc_id > 1499").unionByName(docs.where("doc_id = 9999").limit(5)), "dedup-test")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert kept.where("doc_id = 9999").count() == 1 and kept.columns == docs.columns
+
+
 def test_stages_of_nothing_and_of_extra_columns(spark):
     rng = random.Random(6)
     extra = ", by long, of string, stays boolean, chosen long, root long, n int, key string"

@@ -44,10 +44,10 @@ def domain_of(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("domain"), (F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) as int)") % 4).cast("string")), F.lit("none"))
 
 
-def leaves_of(docs: DataFrame) -> DataFrame:
-    """doc_id, the tree's levels and tokens of every document that has any."""
+def leaves_of(docs: DataFrame, row: str, by: str) -> DataFrame:
+    """doc_id, which is column ``row``, the tree's levels, tokens and ``by`` as text of every document that has tokens."""
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("source", F.lit("none")).alias("source"), tokens(F.col("text")).alias("n_tokens")
+        F.col(row).cast("long").alias("doc_id"), F.coalesce(F.col(by).cast("string"), F.lit("")).alias("by"), domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("source", F.lit("none")).alias("source"), tokens(F.col("text")).alias("n_tokens")
     ).where("n_tokens > 0")
 
 
@@ -77,18 +77,19 @@ def budgets(leaves: DataFrame, budget: int, weights: dict[str, dict[str, int]],
     return leaves.join(small(at), list(LEVELS)).select(*LEVELS, "available", "budget")
 
 
-def mix(docs: DataFrame, budget: int | None = None, share: float = SHARE, weights: dict[str, dict[str, int]] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, budget: int | None = None, share: float = SHARE, weights: dict[str, dict[str, int]] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, row: str = "doc_id", by: str | None = None) -> DataFrame:
     """doc_id, tree levels, epoch and n_tokens of every selected document, a row for each epoch.
 
-    ``budget`` is in tokens; without it, it is ``share`` of all tokens.
+    ``budget`` is in tokens; without it, it is ``share`` of all tokens. ``row`` is the column that names a document in the result, and ``by``
+    the one whose text seeds its place in the order, if another.
     """
-    rows = leaves_of(docs)
+    rows = leaves_of(docs, row, by or row)
     # One row a leaf: bounded by the number of sources, which is far below that of documents.
     leaves = stored(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("available")), "leaves")
     total = leaves.agg(F.sum("available")).first()[0] or 0
     plan = budgets(leaves, int(total * share) if budget is None else budget, weights, max_epochs)
     plan = small(stored(plan.select(*LEVELS, F.expr("budget div available").alias("passes"), F.expr("budget % available").alias("rest")), "budgets"))
-    ordered = rows.join(plan, list(LEVELS)).withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.col("passes").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).withColumn("range", F.substring("h", 1, RANGE_DIGITS))
+    ordered = rows.join(plan, list(LEVELS)).withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.col("passes").cast("string"), "by"))).withColumn("range", F.substring("h", 1, RANGE_DIGITS))
     key = [*LEVELS, "range"]
     ends = W.partitionBy(*LEVELS).orderBy("range")  # at most 4096 rows a leaf
     ranges = ordered.groupBy(*key).agg(F.sum("n_tokens").alias("held"), F.max("rest").alias("limit")).select(*key, "held", "limit", (F.sum("held").over(ends) - F.col("held")).alias("before"))
