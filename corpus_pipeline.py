@@ -2,8 +2,8 @@
 left is dealt into shards.
 
 Every stage takes and, but for the last, returns the columns of ``documents``. The near-duplicate and
-benchmark stages know a row by its id and text, so null and repeated ids are decided like all others; the
-mix selects rows with a null doc_id together, or not.
+benchmark stages know a row by its id and text, and the mix by its number as it is read, so null and repeated ids are
+decided like all others.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if marks.where("_stays").isEmpty():
         return out
     # Rows that repeat the id and text of the one that stays.
-    return out.union(seen.where("_stays").groupBy("_by", "_of").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
+    return out.union(seen.where("_stays").groupBy("_by", "_of").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +48,24 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents selected by the target weights of domains, languages and sources."""
-    chosen = stored(mixing.mix(docs, share=MIX_SHARE, max_epochs=MIX_EPOCHS).select(F.col("doc_id").alias("_chosen")).distinct(), "chosen")
-    return docs.join(small(chosen), F.col("doc_id").eqNullSafe(F.col("_chosen")), "left_semi").select(docs.columns)
+    """Rows selected one by one by the target weights of domains, languages and sources.
+
+    A row's place in the order comes from its id; where that is null or repeated, from id and text digest, and where these
+    repeat too, from the row's own number.
+    """
+    rows = docs.withColumns({"_row": F.monotonically_increasing_id(), "_digest": minhash.digest()})
+    keys = rows.groupBy(F.col("doc_id").cast("long").alias("_id"), F.col("_digest").alias("_of")).agg(F.count("*").alias("_n"))
+    often = keys.groupBy(F.col("_id").alias("_often")).agg(F.sum("_n").alias("_rows")).where("_rows > 1 or _often is null").select("_often")
+    often = stored(often, "repeated-ids")
+    if often.isEmpty():
+        rows = rows.withColumn("_by", F.col("doc_id").cast("string"))
+    else:
+        keys = stored(keys.join(small(often), F.col("_id").eqNullSafe(F.col("_often")), "left_semi"), "repeated-keys")
+        rows = rows.join(small(keys), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of")), "left")
+        place = F.concat_ws(":", F.col("doc_id").cast("string"), F.hex("_digest"), F.when(F.col("_n") > 1, F.col("_row")).cast("string"))
+        rows = rows.withColumn("_by", F.when(F.col("_n").isNull(), F.col("doc_id").cast("string")).otherwise(place))
+    chosen = stored(mixing.mix(rows, share=MIX_SHARE, max_epochs=MIX_EPOCHS, row="_row", by="_by").select(F.col("doc_id").alias("_chosen")).distinct(), "chosen")
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(small(chosen), F.col("_row") == F.col("_chosen"), "left_semi").select(docs.columns)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
