@@ -232,3 +232,27 @@ def test_saved_graph(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         gr.drop_graph(spark, "saved_test")
     assert not spark.catalog.tableExists("saved_test") and not spark.catalog.tableExists("saved_test_near")
+
+
+# ---- block pairs
+
+
+def test_block_pairs_resume(spark, tmp_path, monkeypatch):
+    pairs = clique_with_tail(random.Random(11), 18, 300)
+    edges, path, block = graph(spark, pairs).cache(), str(tmp_path / "pairs"), 600
+    want = defaultdict(int)
+    for _, b, c in slow_triangles(pairs):
+        want[b // block, c // block] += 1
+    every = [(a, b) for a in range(5) for b in range(5) if a <= b]
+    table = lambda rows: spark.createDataFrame(rows, "mid_block long, high_block long")
+    first = co.block_pair_join(edges, block, table(every[:6]), path)
+    assert {(r[0], r[1]): r[2] for r in first.collect()} == {p: want[p] for p in every[:6]}
+    # A pair that is there is not counted again: a false count shows that it was left alone.
+    spark.createDataFrame([(12345, *every[2])], "triangles long, mid_block long, high_block long").write.partitionBy("mid_block", "high_block").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    got = {(r[0], r[1]): r[2] for r in co.block_pair_join(edges, block, table([*every, *every]), path).collect()}
+    assert got == {p: 12345 if p == every[2] else want[p] for p in every}
+    monkeypatch.setattr(co, "stored", lambda df, name: df)
+    writes = []
+    monkeypatch.setattr("pyspark.sql.DataFrameWriter.parquet", lambda self, path: writes.append(plan(self._df)))
+    co.block_pair_join(edges.unpersist(), block, table([(7, 8)]), path)
+    assert writes[0].count("Generate") == 0 and "Union" not in writes[0]  # one join, not a join for each block

@@ -481,10 +481,10 @@ def partial_triangles(spark, sf_dir):
 
 @query(f"{COPART}, {TRIANGLES} SELECT j // ({BLOCK_SQL}) AS mid_block, k // ({BLOCK_SQL}) AS high_block, count(*) AS triangles FROM t WHERE k // ({BLOCK_SQL}) > j // ({BLOCK_SQL}) GROUP BY ALL")
 def block_pair_join(spark, sf_dir):
-    """Every off-diagonal task of the plan that takes all higher blocks of a middle block at once."""
-    e, (size, blocks) = stored(_graph(spark, sf_dir), "edges"), _block(spark, sf_dir)
-    tasks = [co.block_pair_join(e, size, mid, list(range(mid + 1, blocks))).withColumn("mid_block", F.lit(mid).cast("long")) for mid in range(blocks - 1)]
-    return reduce(lambda a, b: a.unionByName(b), tasks).select("mid_block", "high_block", "triangles")
+    """Every off-diagonal pair of blocks, as one resumable join."""
+    size, blocks = _block(spark, sf_dir)
+    pairs = spark.range(blocks).select(F.col("id").alias("mid_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("high_block")).where("high_block > mid_block")
+    return co.block_pair_join(_graph(spark, sf_dir), size, pairs, new_path(spark, "pairs")).where("triangles > 0")
 
 
 @query(

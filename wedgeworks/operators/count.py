@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.edges import by_degree
 from ..functions.tiles import lower_tiles, tile_join, tile_of, upper_tiles
 from ..sources.graph import saved_neighbours
-from ..sources.shared import stored
+from ..sources.shared import exists, stored
 from . import triples as tr
 
 #: Edges a lower tile holds on average from which tiles beat adjacency arrays.
@@ -108,10 +108,26 @@ def partial_triangles(edges: DataFrame, block: int) -> DataFrame:
     return tr.block_counts(edges, edges.count(), block)
 
 
-def block_pair_join(edges: DataFrame, block: int, mid: int, highs: list[int]) -> DataFrame:
-    """``(high_block, triangles)`` of one task: middle vertex in block ``mid``, highest in one of ``highs``."""
-    low = edges.where(F.expr(f"c div {block} <= {mid}"))
-    one = low.where(F.expr(f"r div {block} = {mid}")).select(F.col("c").alias("i"), F.col("r").alias("j"))
-    two = low.where(F.expr(f"r div {block}").isin(highs)).select(F.col("c").alias("i"), F.col("r").alias("k"))
-    closing = edges.select(F.col("c").alias("j"), F.col("r").alias("k"))
-    return one.join(two, "i").where("j < k").join(closing, ["j", "k"]).groupBy(F.expr(f"k div {block}").alias("high_block")).agg(F.count("*").alias("triangles"))
+def block_pair_join(edges: DataFrame, block: int, pairs: DataFrame, path: str) -> DataFrame:
+    """``(mid_block, high_block, triangles)`` of the tasks ``pairs(mid_block, high_block)``: middle vertex in the one block, highest in
+    the other, ``block`` vertices each.
+
+    All tasks are one join with their pair as a column. Counts go into a table at ``path``, a partition for each pair, and pairs
+    that it holds already are left out: work that stopped is resumed by the same call, and portions of the pairs may run one by one.
+    """
+    spark, keys = edges.sparkSession, ["mid_block", "high_block"]
+    schema = "triangles long, mid_block long, high_block long"
+    held = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    todo = stored(pairs.select(*keys).distinct().join(held.select(*keys), keys, "left_anti"), "todo")  # a row a pair of blocks
+    if not todo.isEmpty():
+        edges = stored(edges.select("c", "r"), "edges")
+        at = F.expr(f"r div {block}")
+        one = edges.select(F.col("c").alias("i"), F.col("r").alias("j"), at.alias("mid_block"))
+        two = edges.select(F.col("c").alias("i"), F.col("r").alias("k"), at.alias("high_block"))
+        closing = edges.select(F.col("c").alias("j"), F.col("r").alias("k"))
+        wedge = one.join(todo.select("mid_block").distinct(), "mid_block", "left_semi").join(two, "i").where("j < k").join(todo, keys, "left_semi")
+        found = wedge.join(closing, ["j", "k"]).groupBy(*keys).agg(F.count("*").alias("triangles"))
+        told = todo.join(found, keys, "left").select(F.coalesce("triangles", F.lit(0)).cast("long").alias("triangles"), *keys)
+        told.repartition(*keys).write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        held = spark.read.schema(schema).parquet(path)
+    return held.join(pairs.select(*keys).distinct(), keys, "left_semi").select(*keys, "triangles")
