@@ -171,6 +171,16 @@ def test_what_is_shuffled_of_a_hot_key(spark):
     assert {r["k"]: r["x"] for r in sc.reduce_by_key(df, ["k"], "x", add).collect()}[0] == sum(range(0, 20_000, 2))
 
 
+def test_values_that_are_never_null(spark):
+    df = spark.range(3000, numPartitions=2).selectExpr("id % 7 AS k", "struct(id + 1 AS a, id AS b) AS x")
+    assert not df.schema["x"].nullable
+    got = {r["k"]: tuple(r["x"]) for r in rd.merge_by_key(df, ["k"], "x", _matrices, 100).collect()}
+    p, q = 1, 0
+    for i in range(3, 3000, 7):
+        p, q = (p * (i + 1) + q * i) % 9973, (p * i + q * (i + 1)) % 9973
+    assert len(got) == 7 and got[3] == (p, q)
+
+
 def test_unknown_reduction(spark):
     with pytest.raises(ValueError, match="no such reduction"):
         sc.reduce_by_key(spark.range(3), ["id"], "id", "median")

@@ -57,6 +57,11 @@ def merged(table: pa.Table, keys: list[str], value: str, merge: Merge) -> pa.Tab
     return table.select(keys).take(pa.array(firsts)).append_column(value, column)
 
 
+def _plain(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch without marks of columns that hold no null, which merged ones lack."""
+    return pa.RecordBatch.from_arrays(batch.columns, batch.schema.names)
+
+
 def _in_task(keys: list[str], value: str, merge: Merge, most: int = HELD) -> Callable:
     """Rows in any order to partial results. What a task holds is bounded, so a key may leave it more than once."""
 
@@ -67,7 +72,7 @@ def _in_task(keys: list[str], value: str, merge: Merge, most: int = HELD) -> Cal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            held.append(batch)
+            held.append(_plain(batch))
             n += batch.num_rows
             if n >= most:
                 table = reduced(held)
@@ -89,7 +94,7 @@ def _in_order(keys: list[str], value: str, merge: Merge) -> Callable:
         last = None
         for batch in batches:
             if batch.num_rows:
-                table = pa.Table.from_batches([batch])
+                table = pa.Table.from_batches([_plain(batch)])
                 table = merged(pa.concat_tables([last, table]) if last else table, keys, value, merge)
                 last = table.slice(table.num_rows - 1)
                 yield from table.slice(0, table.num_rows - 1).to_batches()
