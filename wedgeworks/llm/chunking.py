@@ -139,17 +139,25 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("key", F.unhex(F.md5("text")))
     several = stored(rows.where("octet_length(text) > 0").groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1").select("key", "least"), "copies")
     seen = rows.join(small(several.withColumn("many", F.lit(True))), "key", "left")
-    own = seen.where("many is null or doc_id <=> least").select("id", F.coalesce("least", "doc_id").alias("least"), "text")
-    pieces = stored(own.select("id", "least", "text").mapInArrow(_digested, "h long, rest long, id long, least long, start int"), "pieces")
+    # One row a text, also where rows repeat both id and text, merged within each task before they are shuffled.
+    stand_in = seen.where("many and doc_id <=> least").groupBy("key").agg(F.first("id").alias("id"), F.first("least").alias("least"), F.first("text").alias("text"), F.count("*").alias("n"))
+    stand_in = stored(stand_in, "stand-ins")
+    own = seen.where("many is null").select("id", F.col("doc_id").alias("least"), "text").union(stand_in.select("id", "least", "text"))
+    pieces = stored(own.mapInArrow(_digested, "h long, rest long, id long, least long, start int"), "pieces")
     often = stored(pieces.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "often")
     met = stored(join_keyed(pieces, often, ["h"], "n", broadcast=False), "met")
     order = F.struct(F.col("least").isNull().alias("none"), "least", "id", "start")
     several_of = met.groupBy("h", "rest").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).where("first <> last")
     first = stored(several_of.select("h", "rest", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"), "n"), "first")
     is_first = ((F.col("id") == F.col("first_id")) & (F.col("start") == F.col("first_start"))).alias("first")
-    found = stored(join_keyed(met, first, ["h", "rest"], "n", broadcast=False).select("id", F.struct("start", "rest", is_first).alias("c")).groupBy("id").agg(F.collect_set("c").alias("chunks")), "found")
+    found = join_keyed(met, first, ["h", "rest"], "n", broadcast=False).select("id", F.struct("start", "rest", is_first).alias("c")).groupBy("id").agg(F.collect_set("c").alias("chunks"))
+    repeats = stand_in.groupBy("id").agg(F.sum("n").alias("n"))  # rows that will ask for the text's chunks
+    found = stored(found.join(repeats, "id", "left").select("id", "chunks", F.coalesce("n", F.lit(1)).alias("n")), "found")
     forget(pieces, often, met, first)
-    joined = seen.join(found, "id", "left").select("doc_id", "text", F.when(F.col("many"), ~F.col("doc_id").eqNullSafe(F.col("least"))).alias("copy"), "chunks")
+    seen = seen.withColumn("copy", F.when(F.col("many"), ~F.col("doc_id").eqNullSafe(F.col("least"))))
+    gone = seen.where("copy").select("doc_id", "text", "copy", F.lit(None).cast(found.schema["chunks"].dataType).alias("chunks"))
+    kept = join_keyed(seen.where("copy is null or not copy").select("id", "doc_id", "text", "copy"), found, ["id"], "n", "left", broadcast=False)
+    joined = kept.select("doc_id", "text", "copy", "chunks").union(gone)
     return joined.mapInArrow(_removed, "doc_id long, n_bytes long, n_chunks long, n_repeated long, spans array<struct<start:long,end:long>>, kept binary")
 
 
