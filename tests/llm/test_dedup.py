@@ -34,6 +34,33 @@ def test_substrings_match_brute_force(spark, monkeypatch):
         assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], str([[s["start"], s["end"]] for s in r["spans"]])) for r in got) == want
 
 
+@pytest.mark.parametrize("module", [substrings, chunking])
+def test_lists_do_not_grow_with_repeated_rows(spark, monkeypatch, module):
+    rng = random.Random(4)
+    row = prose(rng, 500)
+    others = [(i, f"{prose(rng, 60)} {row[300:1500]} {prose(rng, 60)}", "en", "src0", 0) for i in range(1, 6)]
+    keep, longest = module.stored, {}
+
+    def stored(df, name):
+        out = keep(df, name)
+        lists = [f.name for f in out.schema if f.dataType.typeName() == "array"]
+        if lists:
+            longest[name] = out.selectExpr(f"max(size({lists[0]}))").first()[0]
+        return out
+
+    monkeypatch.setattr(module, "stored", stored)
+    run = module.remove_repeats if module is substrings else module.remove_repeated_chunks
+    met = []
+    for times in (2, 5000):
+        for i in (0, None):  # a null id that repeats counts as one, too
+            longest.clear()
+            got = run(frame(spark, [*others, *[(i, row, "en", "src0", 0)] * times])).selectExpr("doc_id", "to_json(spans) spans").groupBy("doc_id", "spans").count().collect()
+            assert sorted(r["count"] for r in got) == [1, 1, 1, 1, 1, times]
+            met.append(({k: v for k, v in longest.items()}, sorted((r["doc_id"] or 0, r["spans"]) for r in got)))
+    assert met[0] == met[2] and met[1] == met[3]
+    assert max(met[0][0].values()) > 10 and met[0][1][1][1] != "[]"
+
+
 def test_substrings_without_rows(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 

@@ -223,7 +223,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     copies = rows.where(F.octet_length("text") >= LENGTH).groupBy("id").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
     copies = stored(copies.select("id", "least", F.lit(True).alias("whole")), "copies")
     seen = rows.join(small(copies), "id", "left")
-    single = seen.where("whole is null or doc_id <=> least").select("id", "text")
+    plain = seen.where("whole is null")
+    # One row a text, also where rows repeat both id and text, merged within each task before they are shuffled.
+    stand_in = seen.where("whole and doc_id <=> least").groupBy("id").agg(F.first("text").alias("text"))
+    single = plain.select("id", "text").union(stored(stand_in, "stand-ins"))
 
     anchors = stored(single.mapInArrow(_anchors, "id binary, anchor long, n long"), "anchors")
     often = stored(anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "often")
@@ -240,10 +243,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     whole = contexts.where("n > 1").select("core", "lft", "rgt", F.lit((1 << CELL) - 1).cast("long").alias("mask"), "n")
     masks = stored(found.withColumn("n", F.lit(1)).union(whole).groupBy("core", "lft", "rgt").agg(F.bit_or("mask").alias("mask"), F.max("n").alias("n")), "masks")
     every = F.expr(f"shiftleft(1L, octet_length(lft) + octet_length(rgt) - {CELL - 2}) - 1")  # its own starts only
-    marked = stored(join_keyed(cells, masks, ["core", "lft", "rgt"], "n", broadcast=False).groupBy("id").agg(F.collect_list(F.struct("start", F.col("mask").bitwiseAND(every).alias("mask"))).alias("cells")), "marked")
+    partly = cells.join(small(copies.select("id")), "id", "left_anti")  # whole repeats need no spans
+    marked = stored(join_keyed(partly, masks, ["core", "lft", "rgt"], "n", broadcast=False).groupBy("id").agg(F.collect_list(F.struct("start", F.col("mask").bitwiseAND(every).alias("mask"))).alias("cells")), "marked")
     forget(cells, contexts, several, masks)
     ids = stored(marked.select("id"), "marked-ids")
-    touched = _of(seen, marked, ids).select("doc_id", "text", "whole", "cells")
+    touched = _of(plain, marked, ids).select("doc_id", "text", "whole", "cells")
     others = seen.join(small(ids), "id", "left_anti").select("doc_id", "text", "whole", F.lit(None).cast(marked.schema["cells"].dataType).alias("cells"))
     return touched.union(others).mapInArrow(_removed, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
