@@ -1,9 +1,11 @@
 """Operators that score, search, select and deal out."""
 
 import hashlib
+import math
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -308,6 +310,79 @@ def test_battery_adds_random_tokens_only(spark):
     assert sum(n for i, n in got.items() if i >= 100) <= 1
 
 
+def slow_battery(token):
+    """p-value of ordinary text and that of a random draw, by the plain formulas; None for digits only."""
+    pattern, letters, s2, s3 = next(a for a in secrets.ALPHABETS if re.fullmatch(a[0], token))
+    n, k = len(token), len(letters)
+    at = [letters.index(c) for c in token]
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    chi = sum((token.count(c) - n / k) ** 2 / (n / k) for c in letters)
+    high = [2 * i >= k for i in at]
+    ones, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+    mean = 1 + 2 * ones * (n - ones) / n
+    z_runs = 9 if ones in (0, n) else (runs - mean) / math.sqrt(max(0.25, (mean - 1) * (mean - 2) / (n - 1)))
+    m = (k - 1) / 2
+    z_serial = sum((a - m) * (b - m) for a, b in zip(at, at[1:], strict=False)) / sum((i - m) ** 2 for i in at) * math.sqrt(n)
+    z_chi = (chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    p_random = 3 * min(tail(z_chi), 2 * tail(abs(z_runs)), 2 * tail(abs(z_serial)))
+    if s2 is None:
+        return None, p_random, (pattern, sum(n >= x for x in secrets.LENGTHS))
+    spread = (k / n) ** 2 * (2 * n * (n - 1) * s2 + 4 * n * (n - 1) * (n - 2) * s3 - 2 * n * (n - 1) * (2 * n - 3) * s2 * s2)
+    return tail(-(chi - (k * (1 + (n - 1) * s2) - n)) / math.sqrt(spread)), p_random, (pattern, sum(n >= x for x in secrets.LENGTHS))
+
+
+def test_battery_matches_brute_force(spark):
+    rng = random.Random(12)
+    tokens = ["".join(rng.choice(rng.choice([a[1], a[1][:3]])) for _ in range(rng.randint(20, 140))) for a in secrets.ALPHABETS for _ in range(40)]
+    texts = [" ".join(tokens[i : i + 8]) for i in range(0, len(tokens), 8)]
+    rows = secrets.scan(frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])).select("tokens", "doc_id").collect()
+    tests, strata = [], {}
+    for r in rows:
+        for t in r["tokens"]:
+            text_p, random_p, stratum = slow_battery(texts[r["doc_id"]][t["start"] : t["end"]])
+            strata.setdefault(t["test"]["stratum"], set()).add(stratum)
+            assert abs(t["test"]["bin"] - min(secrets.LAST_BIN, -math.log10(max(text_p or 1, 1e-300)) * secrets.BINS_PER_DECADE)) < 1.01 or text_p < 1e-6
+            if not 0.9 < random_p / secrets.ALPHA_RANDOM < 1.1:
+                assert t["test"]["as_random"] == (random_p >= secrets.ALPHA_RANDOM)
+            tests.append((t["test"]["stratum"], t["test"]["bin"]))
+    assert len(tests) == len(tokens) and all(len(x) == 1 for x in strata.values())
+    # Benjamini-Hochberg, token by token, a bin counting as its largest p-value.
+    want = {}
+    for s in strata:
+        bins = sorted((b for t, b in tests if t == s), reverse=True)
+        good = [b for i, b in enumerate(bins) if 10 ** (-b / secrets.BINS_PER_DECADE) * len(bins) <= secrets.FALSE_DISCOVERY * sum(x >= b for x in bins)]
+        if good:
+            want[s] = min(good)
+    assert secrets.discovery_bins(secrets.stored(secrets.scan(frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])), "scanned")) == want
+    assert want
+
+
+def test_marks_apart_from_base_spans(spark):
+    rng = random.Random(13)
+    cases = []
+    for _ in range(300):
+        ends = sorted(rng.sample(range(200), 2 * rng.randint(1, 8)))
+        marks = [(a, 3, b) for a, b in zip(ends[::2], ends[1::2], strict=True)]
+        base = sorted((a, rng.randrange(3), a + rng.randint(1, 30)) for a in rng.sample(range(200), rng.randint(0, 6)))
+        cases.append((base, marks))
+    got = spark.createDataFrame(cases, f"base {secrets.MARKS}, marks {secrets.MARKS}").select("base", "marks", secrets.apart(F.col("base"), F.col("marks")).alias("left")).collect()
+    kept = 0
+    for r in got:
+        want = [m for m in r["marks"] if not any(b["start"] < m["end"] and m["start"] < b["end"] for b in r["base"])]
+        assert r["left"] == want
+        kept += len(want)
+    assert len(got) == 300 and kept > 100
+
+
+def test_text_of_very_many_tokens(spark):
+    rng = random.Random(14)
+    text = " ".join(f"{rng.getrandbits(80):020x}" for _ in range(100_000))
+    begun = time.time()
+    row = secrets.find_secrets(frame(spark, [(1, text, None, None, 0)])).select(F.size("hex"), F.element_at("hex", -1)["end"], "n_random").first()
+    assert tuple(row) == (100_000, len(text), 0)
+    assert time.time() - begun < 60
+
+
 # ---- decontamination
 
 

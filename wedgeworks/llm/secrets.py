@@ -13,7 +13,7 @@ Tokens of digits only have no model of ordinary text (dates, amounts and identif
 they are never a discovery.
 
 All steps are DataFrame functions on one row a document; nothing is shuffled but a histogram of at most
-``strata x bins`` rows.
+``strata x bins`` rows. A lambda computes anew whatever it names, so what is used more than once is bound first (``let``).
 
 Defined results: null text counts as empty and has no spans; repeated rows are scanned each; texts of
 any length are scanned whole; other columns are ignored; an empty table gives an empty result.
@@ -21,6 +21,8 @@ any length are scanned whole; other columns are ignored; an empty table gives an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,6 +58,34 @@ ALPHA_RANDOM = 0.001  #: the battery rejects randomness below this, over its thr
 FALSE_DISCOVERY = 0.01
 BINS_PER_DECADE, LAST_BIN = 20, 600
 LENGTHS = (24, 32, 40, 48, 64, 96, 128)
+BLOCK = 256  #: elements that are appended to one array before it joins the others
+SPANS = "array<struct<start:int,end:int,got:int>>"
+MARKS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def walk(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """Struct(at, out) after going through ``items``: ``step`` of state and item gives the next state and an
+    array of what it puts out. Arrays are appended to by blocks, so the time is near linear in the items."""
+    none, nothing = F.expr(f"cast(array() as {kind})"), F.expr(f"cast(array() as array<{kind}>)")
+
+    def one(s: Column, x: Column) -> Column:
+        at, out = step(s["at"], x)
+        return F.struct(at.alias("at"), F.concat(s["out"], out).alias("out"))
+
+    def block(s: Column, xs: Column) -> Column:
+        end = F.aggregate(xs, F.struct(s["at"].alias("at"), none.alias("out")), one)
+        return let(end, lambda e: F.struct(e["at"].alias("at"), F.concat(s["out"], F.array(e["out"])).alias("out")))
+
+    def whole(xs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(xs) / BLOCK).cast("int") - 1))
+        return F.aggregate(F.transform(numbers, lambda b: F.slice(xs, b * BLOCK + 1, F.lit(BLOCK))), F.struct(state.alias("at"), nothing.alias("out")), block)
+
+    return let(let(items, whole), lambda e: F.struct(e["at"].alias("at"), F.flatten(e["out"]).alias("out")))
 
 
 def spans_of(text: Column, pattern: str, group: int = 0, needs: Column | None = None) -> Column:
@@ -68,18 +98,15 @@ def spans_of(text: Column, pattern: str, group: int = 0, needs: Column | None =
     """
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    none = F.expr("cast(array() as array<struct<start:int,end:int,got:int>>)")
     steps = F.zip_with(F.zip_with(between, found, lambda b, m: F.struct(F.char_length(b).alias("b"), F.char_length(m).alias("m"))), values, lambda x, v: F.struct(x["b"].alias("b"), x["m"].alias("m"), F.char_length(v).alias("v")))
-    walked = F.aggregate(
-        F.filter(steps, lambda x: x["m"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + x["b"] + x["m"]).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + x["b"]).alias("start"), (s["at"] + x["b"] + x["m"]).alias("end"), x["v"].alias("got")))).alias("out"),
-        ),
-    )["out"]
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start, end = at + x["b"], at + x["b"] + x["m"]
+        return end, F.array(F.struct(start.alias("start"), end.alias("end"), x["v"].alias("got")))
+
+    walked = walk(F.filter(steps, lambda x: x["m"].isNotNull()), F.lit(0), SPANS, step)["out"]
     found = text.rlike(pattern)
-    return F.when(found if needs is None else needs & found, walked).otherwise(none)
+    return F.when(found if needs is None else needs & found, walked).otherwise(F.expr(f"cast(array() as {SPANS})"))
 
 
 def upper_tail(z: Column) -> Column:
@@ -92,34 +119,44 @@ def upper_tail(z: Column) -> Column:
 
 def battery(token: Column) -> Column:
     """Struct(stratum, bin, as_random) of a token: see the module's text."""
+    kinds = F.array(*(F.struct(F.lit(i).alias("which"), F.lit(a[1]).alias("letters"), F.lit(float(len(a[1]))).alias("k"), F.lit(a[2]).cast("double").alias("s2"), F.lit(a[3]).cast("double").alias("s3")) for i, a in enumerate(ALPHABETS)))
     which = F.coalesce(*(F.when(token.rlike(f"^{p}$"), F.lit(i)) for i, (p, *_) in enumerate(ALPHABETS)))
-
-    def of(values: list, kind: str) -> Column:
-        return F.element_at(F.array(*(F.lit(v).cast(kind) for v in values)), which + 1)
-
-    letters, s2, s3 = of([a[1] for a in ALPHABETS], "string"), of([a[2] for a in ALPHABETS], "double"), of([a[3] for a in ALPHABETS], "double")
-    n, k = F.char_length(token).cast("double"), F.char_length(letters).cast("double")
-    chars = F.split(token, "")
-    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s + F.pow(F.size(F.filter(chars, lambda x: x == c)), F.lit(2.0)))
-    chi = squares * k / n - n
-    at = F.transform(chars, lambda c: F.call_function("instr", letters, c) - 1)
-    high = F.transform(at, lambda i: (i * 2 >= k).cast("int"))
-    ones = F.aggregate(high, F.lit(0), lambda s, x: s + x).cast("double")
     pairs = lambda xs: F.zip_with(F.slice(xs, 1, F.size(xs) - 1), F.slice(xs, 2, F.size(xs) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    runs = 1 + F.aggregate(pairs(high), F.lit(0), lambda s, x: s + (x["a"] != x["b"]).cast("int"))
+
+    def placed(of: Column) -> Column:
+        at = F.transform(F.split(token, ""), lambda c: F.call_function("instr", of["letters"], c) - 1)
+        squares = F.aggregate(F.split(of["letters"], ""), F.lit(0.0), lambda s, c: s + F.pow(F.char_length(token) - F.char_length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
+        return let(F.struct(at.alias("at"), F.transform(at, lambda i: (i * 2 >= of["k"]).cast("int")).alias("high"), squares.alias("squares")), lambda x: summed(of, x))
+
+    def summed(of: Column, x: Column) -> Column:
+        middle = (of["k"] - 1) / 2
+        sums = F.struct(
+            F.char_length(token).cast("double").alias("n"),
+            F.aggregate(x["high"], F.lit(0), lambda s, i: s + i).cast("double").alias("ones"),
+            (1 + F.aggregate(pairs(x["high"]), F.lit(0), lambda s, y: s + (y["a"] != y["b"]).cast("int"))).alias("runs"),
+            F.aggregate(x["at"], F.lit(0.0), lambda s, i: s + (i - middle) * (i - middle)).alias("power"),
+            F.aggregate(pairs(x["at"]), F.lit(0.0), lambda s, y: s + (y["a"] - middle) * (y["b"] - middle)).alias("lag"),
+        )
+        return let(sums, lambda y: let(x["squares"] * of["k"] / y["n"] - y["n"], lambda chi: judged(of, y, chi)))
+
+    return let(let(which, lambda w: F.element_at(kinds, w + 1)), placed)
+
+
+def judged(of: Column, sums: Column, chi: Column) -> Column:
+    """The battery's result, of an alphabet, the sums over a token, and its chi-squared."""
+    k, s2, s3, n, ones = of["k"], of["s2"], of["s3"], sums["n"], sums["ones"]
     mean_runs = 1 + 2 * ones * (n - ones) / n
-    z_runs = F.when((ones == 0) | (ones == n), F.lit(9.0)).otherwise((runs - mean_runs) / F.sqrt(F.greatest(F.lit(0.25), (mean_runs - 1) * (mean_runs - 2) / (n - 1))))
-    middle = (k - 1) / 2
-    power = F.aggregate(at, F.lit(0.0), lambda s, i: s + (i - middle) * (i - middle))
-    z_serial = F.aggregate(pairs(at), F.lit(0.0), lambda s, x: s + (x["a"] - middle) * (x["b"] - middle)) / power * F.sqrt(n)
+    z_runs = F.when((ones == 0) | (ones == n), F.lit(9.0)).otherwise((sums["runs"] - mean_runs) / F.sqrt(F.greatest(F.lit(0.25), (mean_runs - 1) * (mean_runs - 2) / (n - 1))))
+    z_serial = sums["lag"] / sums["power"] * F.sqrt(n)
     z_chi = (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-    p_random = 3 * F.least(upper_tail(z_chi), 2 * upper_tail(F.abs(z_runs)), 2 * upper_tail(F.abs(z_serial)))
+    tails = F.array(let(z_chi, upper_tail), 2 * let(F.abs(z_runs), upper_tail), 2 * let(F.abs(z_serial), upper_tail))
+    p_random = 3 * F.array_min(tails)
     text_mean = k * (1 + (n - 1) * s2) - n
     text_var = F.pow(k / n, F.lit(2.0)) * (2 * n * (n - 1) * s2 + 4 * n * (n - 1) * (n - 2) * s3 - 2 * n * (n - 1) * (2 * n - 3) * s2 * s2)
-    p_text = F.coalesce(upper_tail(-(chi - text_mean) / F.sqrt(text_var)), F.lit(1.0))
+    p_text = F.coalesce(let(-(chi - text_mean) / F.sqrt(text_var), upper_tail), F.lit(1.0))
     band = sum((n >= x).cast("int") for x in LENGTHS)
     return F.struct(
-        (which * (len(LENGTHS) + 1) + band).alias("stratum"),
+        (of["which"] * (len(LENGTHS) + 1) + band).alias("stratum"),
         F.least(F.lit(LAST_BIN), F.floor(-F.log10(F.greatest(p_text, F.lit(1e-300))) * BINS_PER_DECADE).cast("int")).alias("bin"),
         (p_random >= ALPHA_RANDOM).alias("as_random"),
     )
@@ -168,10 +205,30 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     base = F.array_sort(F.concat("assign", "access", "hex"))
     kept = F.filter(
         F.coalesce("tokens", F.expr("cast(array() as array<struct<start:int,end:int,test:struct<stratum:int,bin:int,as_random:boolean>>>)")),
-        lambda t: t["test"]["as_random"] & (t["test"]["bin"] >= F.coalesce(F.element_at(bounds, t["test"]["stratum"]), F.lit(LAST_BIN + 1))) & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
+        lambda t: t["test"]["as_random"] & (t["test"]["bin"] >= F.coalesce(F.element_at(bounds, t["test"]["stratum"]), F.lit(LAST_BIN + 1))),
     )
-    added = F.transform(kept, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
-    return scanned.select("doc_id", "assign", "access", "hex", base.alias("base"), F.array_sort(F.concat(base, added)).alias("all"), F.size(added).alias("n_random"))
+    marks = F.transform(kept, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    found = scanned.select("doc_id", "assign", "access", "hex", base.alias("base"), marks.alias("marks"))
+    found = found.withColumn("added", F.when(F.size("marks") > 0, apart(F.col("base"), F.col("marks"))).otherwise(F.col("marks")))
+    return found.select("doc_id", "assign", "access", "hex", "base", F.array_sort(F.concat("base", "added")).alias("all"), F.size("added").alias("n_random"))
+
+
+def apart(base: Column, marks: Column) -> Column:
+    """Those of ``marks``, which do not overlap each other, that overlap no base span.
+
+    One pass in order of start: a mark waits until the next span shows where it starts, and base spans move ``reach``.
+    """
+    waiting = f"cast(array() as {MARKS})"
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        clear = F.filter(at["waiting"], lambda t: t["end"] <= x["start"])
+        is_base = x["kind"] < 3
+        mine = F.when(~is_base & (at["reach"] <= x["start"]), F.array(x)).otherwise(F.expr(waiting))
+        reach = F.when(is_base, F.greatest(at["reach"], x["end"])).otherwise(at["reach"])
+        return F.struct(reach.alias("reach"), mine.alias("waiting")), clear
+
+    walked = walk(F.array_sort(F.concat(base, marks)), F.struct(F.lit(0).alias("reach"), F.expr(waiting).alias("waiting")), MARKS, step)
+    return let(walked, lambda e: F.concat(e["out"], e["at"]["waiting"]))
 
 
 def op10_randomness_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
