@@ -443,6 +443,19 @@ def test_leaks_of_long_items(spark):
     assert got == {(500, 0), (501, 1)}
 
 
+def test_leaks_of_stretched_items(spark):
+    """Up to four other words between each two words of an item, also in a text that holds little else."""
+    rng = random.Random(17)
+    items = [prose(rng, 20) for _ in range(30)] + [prose(rng, 60) for _ in range(6)]
+    rows = [(i, prose(rng, 300), None, None, 0) for i in range(60)]
+    for gap in range(1, 5):
+        for k, item in enumerate(items):
+            spread = " ".join(w for x in item.split() for w in (x, *(f"other{rng.randrange(10**6)}" for _ in range(gap))))
+            rows.append((1000 * gap + k, spread if k % 2 else f"{prose(rng, 70)} {spread} {prose(rng, 50)}", None, None, 0))
+    got = {(r["doc_id"], r["item_id"]) for r in contamination.leaks(frame(spark, rows), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == {(1000 * gap + k, k) for gap in range(1, 5) for k in range(len(items))}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_leaks_of_tables_match_all_pairs(spark):
     """Whole leaks and paraphrases of the smallest tables, against every document's subsequence with every item."""

@@ -5,12 +5,15 @@ those. Passages of 32 words hold their words' TF-IDF weights; every word weighs
 is. Their randomised SVD is distributed: tasks count which words share passages, Spark adds the counts up to
 A'A, and products of that table with a random basis, twice repeated, give the latent directions. Every
 window of 32 words, at steps of 16, is projected on them, and so is every benchmark item, in pieces as long
-as windows; a window and an item are candidates at a cosine of ``COSINE`` with any piece, or if the window's
-projection on the piece has ``ALONG`` of the piece's length (a light item among heavier words has a small
-cosine), and the window has enough words of the item to be settled at all. A candidate is settled on the
-words themselves: the longest common subsequence of the item with the text around the window, as a share of
-the item, and the same for the item's answer (its last quarter), so that a paraphrase counts that keeps the
-answer.
+as windows; a window and an item are candidates at a cosine of ``COSINE`` with any piece, or if the stretch
+around the window has ``ALONG`` of the piece's length along it (a light item among heavier words has a small
+cosine). A stretch is the window and the item's length on either side, or ``WIDE`` times that length. A
+candidate is settled on the words of its stretch: the longest common subsequence of the item with it, as a share of the
+item, and the same for the item's answer (its last quarter), so that a paraphrase counts that keeps the
+answer. In the wide stretch, which finds an item with up to four words put between each two of its own,
+only ``LEAKED`` counts. Words are summed up by weight before vectors are made, as that is cheaper: a stretch whose words of
+the item weigh less than the lightest words that make up the share needed can hold no such subsequence, so no
+leak is lost there.
 
 Frequencies and the SVD cover all documents. Items are taken in blocks of ``ITEMS``, which bounds what is
 sent to the tasks (vocabulary x rank numbers) however large the benchmark is; the corpus is read once a
@@ -37,14 +40,15 @@ ITEMS = 1000
 STEP = 16  #: a window or passage is two steps long
 RANK = 192
 COSINE = 0.4
-ALONG = 0.4  #: share of an item's latent length that a window must reach along the item, if the cosine is less
+ALONG = 0.4  #: share of an item's latent length that a stretch must reach along the item, if the cosine is less
 LEAKED, PARAPHRASED, ANSWERED = 0.8, 0.6, 0.75
-#: Share of a window's or, if shorter, the item's words that both must have: what is below PARAPHRASED in
-#: the window that covers the item best cannot reach it.
-SHARED = 0.4
+WIDE = 2  #: item lengths on either side of a window in which a whole item is looked for
 _PARTS = 64
 _KEYS = 2_000_000  #: pairs of words that a task counts at a time; Spark adds the counts up
 _SEEN = 8 << 20  #: bytes of words by items that are looked at together
+_HEAVIEST = 15  #: weights of words are counted in whole numbers up to this, so that those of a step fit a byte
+_CELLS = 4 << 20  #: of steps by items whose sums are held at a time
+_PAIRS = 4096  #: candidates whose vectors are compared together
 
 
 def _hashes(texts: list[str]) -> list[np.ndarray]:
@@ -212,41 +216,87 @@ def pieces_of(item: list[int]) -> list[list[int]]:
     return [item[at : at + 2 * STEP] for at in dict.fromkeys([*range(0, last, STEP), last])]
 
 
+def stretches(length: int) -> tuple[int, int]:
+    """Steps on either side of a window that belong to an item's near and to its wide stretch."""
+    return -(-length // STEP), -(-WIDE * length // STEP)
+
+
 def _matches(kind: pa.DataType, weight: np.ndarray, basis: np.ndarray, numbers: list[int | None], items: list[list[int]]):
+    numbers, items = zip(*sorted(zip(numbers, items, strict=True), key=lambda i: len(i[1])), strict=True)  # items of one reach lie side by side
     scaled = basis * weight[:, None]
     pieces = [pieces_of(i) for i in items]
-    of_item = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))[:-1]
+    n_pieces = np.array([len(p) for p in pieces])
+    of_item = np.concatenate(([0], np.cumsum(n_pieces)))[:-1]
     latent = np.stack([scaled[np.array(piece, np.int64)].sum(axis=0) for parts in pieces for piece in parts])
     length = np.maximum(np.linalg.norm(latent, axis=1), 1e-30)
-    latent = (latent / length[:, None]).T
+    latent /= length[:, None]
+    heavy = np.clip(np.floor(_HEAVIEST * weight / max(float(weight.max()), 1e-30)), 1, _HEAVIEST).astype(np.uint8)
     holds = np.zeros((len(weight), len(items)), np.uint8)
     for k, item in enumerate(items):
-        holds[item, k] = 1
-    needed = np.ceil([SHARED * min(len(i), 2 * STEP) for i in items]).astype(np.uint8)
-    some = max(64, _SEEN // (STEP * latent.shape[1]))
-
-    def candidates(ids: np.ndarray, step: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Windows (by their first step), items and cosines."""
+        holds[item, k] = heavy[item]
+    reach = np.array([stretches(len(i)) for i in items])
+    needed = np.array([[np.sort(heavy[item])[: int(np.ceil(share * len(item) - 1e-9))].sum(dtype=np.int64) for item in items] for share in (PARAPHRASED, LEAKED)])
+    parts, begin = [], 0  # columns whose counts are looked at together: fewer where items are long
+    for k in range(1, len(items) + 1):
+        if k == len(items) or 4 * reach[k].max() * (k + 1 - begin) > _CELLS:
+            parts.append((begin, k))
+            begin = k
+
+    def candidates(ids: np.ndarray, step: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Rows, items, the first step and the end of a stretch, and its window's cosine."""
         steps = int(first[-1])
-        rest = np.arange(len(ids)) - np.searchsorted(step, step)  # place within the step
-        grid = np.zeros((steps + 1, STEP), np.int32)
-        grid[step, rest] = ids
-        last = np.zeros(steps + 1, bool)
-        last[first[1:][first[1:] > 0] - 1] = True  # a row's last step stands alone
+        grid = np.zeros((steps, STEP), np.int32)
+        grid[step, np.arange(len(ids)) - np.searchsorted(step, step)] = ids
+        row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        for c, d in parts:
+            margin = int(reach[c:d].max())
+            yield from of_columns(c, d, margin, max(64, 2 * margin, _SEEN // (STEP * (d - c))), grid, row_of, first)
+
+    def of_columns(c: int, d: int, margin: int, some: int, grid: np.ndarray, row_of: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        steps = len(grid)
         for k in range(0, steps, some):
-            end = min(k + some, steps)
-            shared = holds[grid[k : end + 1]].sum(axis=1, dtype=np.uint8)
-            one, item = np.nonzero(shared[:-1] + np.where(last[k:end, None], 0, shared[1:]) >= needed)
+            window = np.arange(k, min(k + some, steps))
+            start, end = max(0, k - margin), min(steps, k + some + margin + 2)
+            shared = np.zeros((end - start + 1, d - c), np.int32)
+            for at in range(start, end, some):
+                part = holds[grid[at : min(at + some, end)], c:d].sum(axis=1, dtype=np.uint8)
+                np.cumsum(part, axis=0, dtype=np.int32, out=shared[at - start + 1 : at - start + 1 + len(part)])
+                shared[at - start + 1 : at - start + 1 + len(part)] += shared[at - start]
+            row = row_of[window]
+            found = []
+            for w in (0, 1):
+                for r in np.unique(reach[c:d, w]).tolist():
+                    a, b = np.searchsorted(reach[c:d, w], [r, r + 1])
+                    lo, hi = np.maximum(window - r, first[row]), np.minimum(window + 2 + r, first[row + 1])
+                    one, which = np.nonzero(shared[hi - start, a:b] - shared[lo - start, a:b] >= needed[w, c + a : c + b])
+                    found.append((one, c + a + which, lo[one], hi[one]))
+            one, item, lo, hi = (np.concatenate(f) for f in zip(*found, strict=True))
             if not len(one):
                 continue
-            used, place = np.unique(one + k, return_inverse=True)
-            window = scaled[grid[used]].sum(axis=1) + np.where(last[used, None], 0, scaled[grid[used + 1]].sum(axis=1))
-            reached = window @ latent
-            along = np.maximum.reduceat(reached / length, of_item, axis=1)[place, item]
-            reached /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-30)
-            cosine = np.maximum.reduceat(reached, of_item, axis=1)[place, item]
+            # Latent vectors are summed up over the steps that some candidate stretch covers.
+            covered = np.zeros(end - start + 1, np.int64)
+            np.add.at(covered, lo - start, 1)
+            np.add.at(covered, hi - start, -1)
+            at = np.flatnonzero(np.cumsum(covered)[:-1])
+            sums = np.zeros((end - start + 1, scaled.shape[1]))
+            for a in range(0, len(at), 256):
+                sums[at[a : a + 256] + 1] = scaled[grid[at[a : a + 256] + start]].sum(axis=1)
+            np.cumsum(sums, axis=0, out=sums)
+            cosine, along = np.empty(len(one)), np.empty(len(one))
+            for a in range(0, len(one), _PAIRS):
+                o, i = one[a : a + _PAIRS], item[a : a + _PAIRS]
+                own = sums[np.minimum(window[o] + 2, first[row[o] + 1]) - start] - sums[window[o] - start]
+                around = sums[hi[a : a + _PAIRS] - start] - sums[lo[a : a + _PAIRS] - start]
+                own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-30)
+                best, most = np.full(len(o), -np.inf), np.full(len(o), -np.inf)
+                for turn in range(int(n_pieces[i].max())):
+                    has = np.flatnonzero(n_pieces[i] > turn)
+                    piece = of_item[i[has]] + turn
+                    best[has] = np.maximum(best[has], (own[has] * latent[piece]).sum(axis=1))
+                    most[has] = np.maximum(most[has], (around[has] * latent[piece]).sum(axis=1) / length[piece])
+                cosine[a : a + _PAIRS], along[a : a + _PAIRS] = best, most
             near = (cosine >= COSINE) | (along >= ALONG)
-            yield used[place[near]], item[near], cosine[near]
+            yield row[one[near]], item[near], lo[near], hi[near], cosine[near]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "item_id", "cosine", "overlap", "answer_overlap"]
@@ -255,30 +305,20 @@ def _matches(kind: pa.DataType, weight: np.ndarray, basis: np.ndarray, numbers:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids, step, first = _ids(part)
-                best: dict[tuple[int, int], list] = {}
-                for windows, item, cosine in candidates(ids, step, first):
-                    row = np.searchsorted(first, windows, "right") - 1
-                    for r, i, s, c in zip(row.tolist(), item.tolist(), (windows - first[row]).tolist(), cosine.tolist(), strict=True):
-                        best.setdefault((r, i), []).append((s, c))
-                for (row, i), hits in best.items():
-                    item, text = items[i], np.frombuffer(part.column(1)[row].as_buffer(), np.int32)
-                    reach, spans = len(item), []
-                    for s, _ in sorted(hits):
-                        a, b = max(0, s * STEP - reach), (s + 2) * STEP + reach
-                        if spans and a <= spans[-1][1]:
-                            spans[-1][1] = b
-                        else:
-                            spans.append([a, b])
-                    found, goal = (False, 0.0, 0.0), answer_of(item)
-                    for a, b in spans:
-                        near = text[a:b]
-                        near = near[near > 0].tolist()
+                best: dict[tuple[int, int], tuple] = {}
+                for hits in candidates(ids, step, first):
+                    for r, i, lo, hi, cosine in zip(*(h.tolist() for h in hits), strict=True):
+                        text = np.frombuffer(part.column(1)[r].as_buffer(), np.int32)[(lo - first[r]) * STEP : (hi - first[r]) * STEP]
+                        near, item = text[text > 0].tolist(), items[i]
                         overlap = common_length(item, near) / len(item)
-                        if overlap >= PARAPHRASED:
-                            answer = common_length(goal, near) / len(goal)
-                            found = max(found, (overlap >= LEAKED or answer >= ANSWERED, overlap, answer))
-                    if found[0]:
-                        out.append((docs[at + row], numbers[i], max(c for _, c in hits), *found[1:]))
+                        if overlap < PARAPHRASED:
+                            continue
+                        goal = answer_of(item)
+                        answer = common_length(goal, near) / len(goal)
+                        if overlap >= LEAKED or (answer >= ANSWERED and hi - lo <= 2 + 2 * stretches(len(item))[0]):
+                            old = best.get((r, i), (cosine, 0.0, 0.0))
+                            best[r, i] = (max(cosine, old[0]), *max((overlap, answer), old[1:]))
+                out += [(docs[at + r], numbers[i], *values) for (r, i), values in best.items()]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((kind, pa.int64(), *[pa.float64()] * 3))], names)
 
     return run
