@@ -230,7 +230,8 @@ def _matches(kind: pa.DataType, weight: np.ndarray, basis: np.ndarray, numbers:
     latent = np.stack([scaled[np.array(piece, np.int64)].sum(axis=0) for parts in pieces for piece in parts])
     length = np.maximum(np.linalg.norm(latent, axis=1), 1e-30)
     latent /= length[:, None]
-    heavy = np.clip(np.floor(_HEAVIEST * weight / max(float(weight.max()), 1e-30)), 1, _HEAVIEST).astype(np.uint8)
+    # A word of one passage in 400 weighs as much as any rarer one; one that no passage holds weighs most.
+    heavy = np.where(weight > 0, np.clip(np.floor(3 * (weight - 1)), 1, _HEAVIEST), _HEAVIEST).astype(np.uint8)
     holds = np.zeros((len(weight), len(items)), np.uint8)
     for k, item in enumerate(items):
         holds[item, k] = heavy[item]
@@ -310,6 +311,9 @@ def _matches(kind: pa.DataType, weight: np.ndarray, basis: np.ndarray, numbers:
                     for r, i, lo, hi, cosine in zip(*(h.tolist() for h in hits), strict=True):
                         text = np.frombuffer(part.column(1)[r].as_buffer(), np.int32)[(lo - first[r]) * STEP : (hi - first[r]) * STEP]
                         near, item = text[text > 0].tolist(), items[i]
+                        held = set(near)
+                        if sum(w in held for w in item) < PARAPHRASED * len(item):
+                            continue  # no subsequence holds more than the words that both have
                         overlap = common_length(item, near) / len(item)
                         if overlap < PARAPHRASED:
                             continue
