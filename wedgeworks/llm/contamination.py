@@ -255,13 +255,16 @@ def _matches(kind: pa.DataType, weight: np.ndarray, basis: np.ndarray, numbers:
 
     def of_columns(c: int, d: int, margin: int, some: int, grid: np.ndarray, row_of: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         steps = len(grid)
+        # Differences of sums that wrap are right as long as a stretch weighs less than the type holds.
+        kind_of = np.uint16 if (2 * margin + 2) * STEP * _HEAVIEST < 1 << 16 else np.int64
+        least = needed.astype(kind_of)
         for k in range(0, steps, some):
             window = np.arange(k, min(k + some, steps))
             start, end = max(0, k - margin), min(steps, k + some + margin + 2)
-            shared = np.zeros((end - start + 1, d - c), np.int32)
+            shared = np.zeros((end - start + 1, d - c), kind_of)
             for at in range(start, end, some):
                 part = holds[grid[at : min(at + some, end)], c:d].sum(axis=1, dtype=np.uint8)
-                np.cumsum(part, axis=0, dtype=np.int32, out=shared[at - start + 1 : at - start + 1 + len(part)])
+                np.cumsum(part, axis=0, dtype=kind_of, out=shared[at - start + 1 : at - start + 1 + len(part)])
                 shared[at - start + 1 : at - start + 1 + len(part)] += shared[at - start]
             row = row_of[window]
             found = []
@@ -269,7 +272,7 @@ def _matches(kind: pa.DataType, weight: np.ndarray, basis: np.ndarray, numbers:
                 for r in np.unique(reach[c:d, w]).tolist():
                     a, b = np.searchsorted(reach[c:d, w], [r, r + 1])
                     lo, hi = np.maximum(window - r, first[row]), np.minimum(window + 2 + r, first[row + 1])
-                    one, which = np.nonzero(shared[hi - start, a:b] - shared[lo - start, a:b] >= needed[w, c + a : c + b])
+                    one, which = np.nonzero(shared[hi - start, a:b] - shared[lo - start, a:b] >= least[w, c + a : c + b])
                     found.append((one, c + a + which, lo[one], hi[one]))
             one, item, lo, hi = (np.concatenate(f) for f in zip(*found, strict=True))
             if not len(one):
