@@ -10,7 +10,8 @@ signatures of nodes of different components, skips what an earlier common band h
 the sets and gives only the links that join two components: fewer than it has nodes. No link between components is
 lost, but for a pair that passes the similarity while no band agrees, with 32 bands of 4 rows below 1e-10 at
 0.85 and below 1e-7 at 0.8, or whose signature errs by five standard errors. The time of a bucket whose nodes
-stay apart is quadratic in its nodes, spread over tasks; its rows are not.
+stay apart is quadratic in its nodes, spread over tasks, and a node's set goes to a task for every block of its
+bucket, so n nodes that stay apart ship n * n / ``BLOCK`` sets.
 
 Defined results: null text, empty text and text without words have an empty set and are linked with
 nothing; rows with a null doc_id take part as all others do (a group without any id has a null component_id,
