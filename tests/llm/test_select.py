@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -481,6 +482,48 @@ def test_leaks_of_tables_match_all_pairs(spark):
     assert len(planted) >= 0.8 * len(items) and len(got & want) >= 0.9 * len(want) and len(got & planted) >= 0.9 * len(planted)
 
 
+def test_pairs_of_words_are_counted_exactly(spark):
+    rng = np.random.default_rng(18)
+    texts = [np.minimum(rng.zipf(1.3, int(n)) - 1, 39).astype(np.int32) for n in [0, 1, 31, 32, 33, *rng.integers(0, 200, 60)]]
+    want = np.zeros((40, 40), int)
+    for t in texts:
+        for at in range(0, len(t), 2 * contamination.STEP):
+            held = np.unique(np.append(t[at : at + 2 * contamination.STEP], 0))  # word 0 stands for the passage
+            want[np.ix_(held[held > 0], held[held > 0])] += 1
+            want[0, 0] += 1
+    encoded = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "doc_id long, ids binary").repartition(7)
+    got = np.zeros((40, 40), int)
+    for part, pairs in contamination.together_of(encoded, 40).collect():
+        for i, j, n in contamination._pairs_of(pa.RecordBatch.from_pydict({"part": [part], "pairs": [bytes(pairs)]}), 40):
+            assert not got[i, j].any()
+            got[i, j] = n
+    assert (got == want).all()
+    weight, basis = np.append(0, rng.random(39)).astype(np.float32), rng.standard_normal((40, 5)).astype(np.float32)
+    rows = contamination.together_of(encoded, 40).mapInArrow(contamination._products(weight, basis), "ids binary, rows binary").collect()
+    total = np.zeros((40, 5))
+    for r in rows:
+        total[np.frombuffer(r["ids"], np.int64)] = np.frombuffer(r["rows"]).reshape(-1, 5)
+    assert np.allclose(total, np.diag(weight) @ want @ np.diag(weight) @ basis)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_leaks_shuffle_less_than_the_text(spark):
+    """Also where the documents lie in many small files, whose tasks share no counts."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    written = lambda: sum(e.totalShuffleWrite() for e in (lambda x: (x.apply(k) for k in range(x.size())))(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    docs = docs.repartition(60).localCheckpoint()
+    size, before = docs.agg(F.sum(F.octet_length("text"))).first()[0], written()
+    keep = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in keep:
+            spark.conf.set(k, "64k")
+        assert contamination.leaks(docs, bench).count() > 0
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+    assert written() - before < size
+
+
 def test_leaks_of_nothing(spark):
     none = frame(spark, [(1, None, None, None, 0)]).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -2,8 +2,8 @@
 
 Texts become sequences of benchmark-vocabulary numbers once (0 for any other word), and all later steps read
 those. Passages of 32 words hold their words' TF-IDF weights; every word weighs something, however common it
-is. Their randomised SVD is distributed: tasks count which words share passages, Spark adds the counts up to
-A'A, and products of that table with a random basis, twice repeated, give the latent directions. Every
+is. Their randomised SVD is distributed: tasks count which words share passages, the counts are shuffled as packed lists, by the
+first word, and added up to A'A, and products of that table with a random basis, twice repeated, give the latent directions. Every
 window of 32 words, at steps of 16, is projected on them, and so is every benchmark item, in pieces as long
 as windows; a window and an item are candidates at a cosine of ``COSINE`` with any piece, or if the stretch
 around the window has ``ALONG`` of the piece's length along it (a light item among heavier words has a small
@@ -43,8 +43,9 @@ COSINE = 0.4
 ALONG = 0.4  #: share of an item's latent length that a stretch must reach along the item, if the cosine is less
 LEAKED, PARAPHRASED, ANSWERED = 0.8, 0.6, 0.75
 WIDE = 2  #: item lengths on either side of a window in which a whole item is looked for
-_PARTS = 64
-_KEYS = 2_000_000  #: pairs of words that a task counts at a time; Spark adds the counts up
+_PARTS = 64  #: parts of the pairs of words, or one for _ROWS words, if those are more
+_ROWS = 256
+_KEYS = 1_000_000  #: pairs of words that a task counts at a time, before they are added up by parts
 _SEEN = 8 << 20  #: bytes of words by items that are looked at together
 _HEAVIEST = 15  #: weights of words are counted in whole numbers up to this, so that those of a step fit a byte
 _CELLS = 4 << 20  #: of steps by items whose sums are held at a time
@@ -88,47 +89,67 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, np.repeat(first[:-1], n) + inside // STEP, first
 
 
-def _frequencies(size: int):
-    """(doc_id, ids) to (id, occurrences); id 0 counts passages."""
+def _packed(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending keys as gaps, and their counts, byte by byte in planes: most planes are zeros and compress away."""
+    return np.stack([np.diff(keys, prepend=0), n]).astype("<i8").view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, passages = np.zeros(size + 1, np.int64), 0
-        for batch in batches:
-            some = []
-            for blob in batch.column(1):
-                ids = np.frombuffer(blob.as_buffer(), np.int32)
-                some.append(ids)
-                passages += -(-len(ids) // (2 * STEP))
-            total += np.bincount(np.concatenate(some), minlength=size + 1) if some else 0
-        total[0] = passages
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    return run
+def _unpacked(blob: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    gaps, n = np.ascontiguousarray(np.frombuffer(blob.as_buffer(), np.uint8).reshape(2, 8, -1).transpose(0, 2, 1)).view("<i8")[..., 0]
+    return np.cumsum(gaps), n
+
+
+def _parts(size: int) -> int:
+    """Pairs (i, j) lie in part i % parts, by the key i // parts * size + j."""
+    return max(_PARTS, size // _ROWS)
+
+
+def _dealt(i: np.ndarray, j: np.ndarray, n: np.ndarray, size: int) -> pa.RecordBatch:
+    """(part, pairs) of distinct pairs of words in ascending order."""
+    parts = _parts(size)
+    part = (i % parts).astype(np.min_scalar_type(parts))
+    order = np.argsort(part, kind="stable")
+    part, key, n = part[order].astype(np.int32), (i // parts * size + j)[order], n[order]
+    begin = np.flatnonzero(np.diff(part, prepend=-1))
+    blobs = [_packed(k, m) for k, m in zip(np.split(key, begin[1:]), np.split(n, begin[1:]), strict=True)] if len(key) else []
+    return pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(blobs, pa.binary())], ["part", "pairs"])
+
+
+def _pairs_of(batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """i, j and count of the pairs of each row of (part, pairs)."""
+    for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        key, n = _unpacked(blob)
+        yield key // size * _parts(size) + part, key % size, n
 
 
 def _cooccurrences(size: int):
-    """(doc_id, ids) to (i, j, n), i <= j: passages that hold both words; a pair may come several times."""
+    """(doc_id, ids) to (part, pairs): the passages that hold words i <= j; a pair may come several times.
+
+    The pair (0, 0) counts all passages.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.int32 if size * size < 1 << 31 else np.int64
         waiting: list[np.ndarray] = []
 
         def counted() -> Iterator[pa.RecordBatch]:
-            keys, n = np.unique(np.concatenate(waiting), return_counts=True)
+            keys = np.concatenate(waiting)
             waiting.clear()
-            for at in range(0, len(keys), 100_000):
-                i, j = np.divmod(keys[at : at + 100_000], size)
-                yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(n[at : at + 100_000])], ["i", "j", "n"])
+            keys, n = np.unique(keys, return_counts=True)
+            out = _dealt(*np.divmod(keys, size), n, size)
+            for at in range(0, out.num_rows, 16):
+                yield out.slice(at, 16)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                ids, step, first = _ids(batch.slice(at, 512))
+            for at in range(0, batch.num_rows, 128):
+                ids, step, first = _ids(batch.slice(at, 128))
                 used = np.flatnonzero(ids)
                 # Rows begin at even steps here, so that no passage crosses rows.
                 even = np.concatenate(([0], np.cumsum((np.diff(first) + 1) // 2 * 2)))
+                waiting.append(np.zeros(even[-1] // 2, kind))
                 row = np.searchsorted(first, step[used], "right") - 1
                 held = np.unique((step[used] - first[row] + even[row]) // 2 * size + ids[used])
-                passage, word = held // size, held % size
+                passage, word = held // size, (held % size).astype(kind)
                 waiting.append(word * size + word)
                 for d in range(1, 2 * STEP):
                     same = np.flatnonzero(passage[d:] == passage[:-d])
@@ -143,36 +164,85 @@ def _cooccurrences(size: int):
     return run
 
 
-def _products(weight: np.ndarray, basis: np.ndarray):
-    """(i, j, n) to parts of A'A basis."""
+def _mirrored(size: int):
+    """(part, pairs) to the same and the pairs (j, i), so that all pairs of a word lie in its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(basis.shape, np.float64)
         for batch in batches:
-            i, j, n = (c.to_numpy() for c in batch.columns)
-            value = n * weight[i] * weight[j]
-            for a, b, v in ((i, j, value), (j[i != j], i[i != j], value[i != j])):
-                order = np.argsort(a, kind="stable")
-                a, b, v = a[order], b[order], v[order]
-                for k in range(0, len(a), 20_000):
-                    own = a[k : k + 20_000]
-                    begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                    total[own[begin]] += np.add.reduceat(basis[b[k : k + 20_000]] * v[k : k + 20_000, None], begin, axis=0)
-        cut = np.array_split(np.arange(len(total)), _PARTS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int64()), pa.array([total[c].tobytes() for c in cut], pa.binary())], ["part", "sums"])
+            yield batch
+            for i, j, n in _pairs_of(batch, size):
+                other = np.lexsort((i, j))
+                other = other[i[other] != j[other]]
+                yield _dealt(j[other], i[other], n[other], size)
 
     return run
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the sums of each part as they stream by."""
-    total: dict[int, np.ndarray] = {}
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, pairs) to one row a part, counts of a pair added up as they stream by."""
+    total: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    waiting: dict[int, int] = {}
+
+    def added(part: int) -> None:
+        key, n = (np.concatenate(c) for c in zip(*total[part], strict=True))
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        begin = np.flatnonzero(np.diff(key, prepend=-1))
+        total[part], waiting[part] = [(key[begin], np.add.reduceat(n, begin))], 0
+
     for batch in batches:
         for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            one = np.frombuffer(blob.as_buffer(), np.float64)
-            total[part] = total[part] + one if part in total else one
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["part", "sums"])
+            one = _unpacked(blob)
+            if len(one[0]):
+                total.setdefault(part, []).append(one)
+                waiting[part] = waiting.get(part, 0) + len(one[0])
+                if waiting[part] > max(_KEYS // _PARTS, len(total[part][0][0])):
+                    added(part)
+    for part in list(total):
+        added(part)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(*total.pop(part)[0])], pa.binary())], ["part", "pairs"])
+
+
+def _diagonal(size: int):
+    """(part, pairs) to (id, passages that hold the word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, n in _pairs_of(batch, size):
+                yield pa.RecordBatch.from_arrays([pa.array(i[i == j]), pa.array(n[i == j])], ["id", "n"])
+
+    return run
+
+
+def together_of(encoded: DataFrame, size: int) -> DataFrame:
+    """(part, pairs): of every two words, in both orders, the passages that hold them; all pairs of a word lie in one row."""
+    kind = "part int, pairs binary"
+    upper = encoded.mapInArrow(_cooccurrences(size), kind).repartition("part").mapInArrow(_summed, kind)
+    return upper.mapInArrow(_mirrored(size), kind).repartition("part").mapInArrow(_summed, kind)
+
+
+def _products(weight: np.ndarray, basis: np.ndarray):
+    """(part, pairs) to rows of A'A basis: their ids and values, _ROWS rows at a time and dense."""
+    size = len(weight)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide, place = basis.astype(np.float64), np.zeros(size, np.int64)
+        for batch in batches:
+            for i, j, n in _pairs_of(batch, size):
+                ids, at = np.unique(i, return_inverse=True)
+                value, out = n * weight[i].astype(np.float64) * weight[j], np.empty((len(ids), basis.shape[1]))
+                for k in range(0, len(ids), _ROWS):
+                    own = slice(*np.searchsorted(at, [k, k + _ROWS]))
+                    seen = np.zeros(size, bool)
+                    seen[j[own]] = True
+                    used = np.flatnonzero(seen)
+                    place[used] = np.arange(len(used))
+                    dense = np.zeros((min(_ROWS, len(ids) - k), len(used)))
+                    dense[at[own] - k, place[j[own]]] = value[own]
+                    out[k : k + _ROWS] = dense @ wide[used]
+                yield pa.RecordBatch.from_arrays([pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([out.tobytes()], pa.binary())], ["ids", "rows"])
+
+    return run
 
 
 def weights(passages: float, held: np.ndarray) -> np.ndarray:
@@ -185,9 +255,10 @@ def directions(together: DataFrame, weight: np.ndarray) -> np.ndarray:
     rank = min(RANK, max(1, int((weight > 0).sum())))
     basis = np.random.default_rng(1).standard_normal((len(weight), rank)).astype(np.float32)
     for _ in range(3):
-        parts = together.mapInArrow(_products(weight, basis), "part long, sums binary").repartition("part").mapInArrow(_added, "part long, sums binary").collect()
-        total = np.concatenate([np.frombuffer(r["sums"], np.float64) for r in sorted(parts, key=lambda r: r["part"])]) if parts else np.zeros(basis.size)
-        basis = np.linalg.qr(total.reshape(basis.shape))[0].astype(np.float32)
+        total = np.zeros(basis.shape)
+        for r in together.mapInArrow(_products(weight, basis), "ids binary, rows binary").collect():
+            total[np.frombuffer(r["ids"], np.int64)] = np.frombuffer(r["rows"]).reshape(-1, rank)
+        basis = np.linalg.qr(total)[0].astype(np.float32)
     return basis
 
 
@@ -350,13 +421,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, kind: str = "long") -> DataFram
         items = [(np.searchsorted(vocabulary, h) + 1).tolist() for h in hashed]
         kept = [(r["item_id"], i) for r, i in zip(rows, items, strict=True) if i]
         encoded = stored(source.mapInArrow(_numbered(vocabulary), f"doc_id {kind}, ids binary"), "numbered")
-        found = dict(encoded.mapInArrow(_frequencies(len(vocabulary)), "id long, n long").groupBy("id").agg(F.sum("n")).collect())
-        n = np.array([found.get(i, 0) for i in range(len(vocabulary) + 1)], float)
-        together = stored(encoded.mapInArrow(_cooccurrences(len(n)), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")), "together")
-        held = np.zeros(len(n))
-        for r in together.where("i = j").select("i", "n").collect():  # passages that hold a word
+        size = len(vocabulary) + 1
+        together = stored(together_of(encoded, size), "together")
+        held = np.zeros(size)
+        for r in together.mapInArrow(_diagonal(size), "id long, n long").collect():
             held[r[0]] = r[1]
-        weight = weights(n[0], held)
+        passages, held[0] = held[0], 0
+        weight = weights(passages, held)
         basis = directions(together, weight)
         out = out.union(stored(encoded.mapInArrow(_matches(pa.int64() if kind == "long" else pa.string(), weight, basis, [k for k, _ in kept], [i for _, i in kept]), schema), "leaks"))
         forget(encoded, together)
