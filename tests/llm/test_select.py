@@ -506,6 +506,24 @@ def test_pairs_of_words_are_counted_exactly(spark):
     assert np.allclose(total, np.diag(weight) @ want @ np.diag(weight) @ basis)
 
 
+def test_texts_with_few_of_an_items_words_are_not_settled():
+    """One heavy word of an item over and over weighs enough in every stretch, but is one word of fifteen."""
+    looked = []
+
+    class Item(list):
+        def __iter__(self):
+            looked.append(1)
+            return super().__iter__()
+
+    item, weight = Item(range(1, 16)), np.append(0, np.full(15, 5)).astype(np.float32)
+    run = contamination._matches(pa.int64(), weight, np.eye(16, dtype=np.float32), [7], [item])
+    texts = [np.full(600, 3), np.tile(item, 3), np.zeros(40), np.zeros(0), np.append(np.full(300, 3), item)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([t.astype(np.int32).tobytes() for t in texts], pa.binary())], ["doc_id", "ids"])
+    looked.clear()
+    assert pa.Table.from_batches(run(iter([batch.slice(0, 1)]))).num_rows == 0 and not looked
+    assert pa.Table.from_batches(run(iter([batch])))["doc_id"].to_pylist() == [1, 4]
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_leaks_shuffle_less_than_the_text(spark):
     """Also where the documents lie in many small files, whose tasks share no counts."""

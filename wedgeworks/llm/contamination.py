@@ -308,13 +308,31 @@ def _matches(kind: pa.DataType, weight: np.ndarray, basis: np.ndarray, numbers:
         holds[item, k] = heavy[item]
     reach = np.array([stretches(len(i)) for i in items])
     needed = np.array([[np.sort(heavy[item])[: int(np.ceil(share * len(item) - 1e-9))].sum(dtype=np.int64) for item in items] for share in (PARAPHRASED, LEAKED)])
+    # A subsequence holds no more of an item than the words that text and item share.
+    times = np.zeros(holds.shape, np.min_scalar_type(max(map(len, items))))
+    for k, item in enumerate(items):
+        np.add.at(times[:, k], item, 1)
+    fewest = np.array([int(np.ceil(PARAPHRASED * len(i) - 1e-9)) for i in items])
     parts, begin = [], 0  # columns whose counts are looked at together: fewer where items are long
     for k in range(1, len(items) + 1):
         if k == len(items) or 4 * reach[k].max() * (k + 1 - begin) > _CELLS:
             parts.append((begin, k))
             begin = k
 
-    def candidates(ids: np.ndarray, step: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def able(ids: np.ndarray, step: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Rows by items: whether the whole row has enough of the item's words, in any order."""
+        out = np.zeros((len(first) - 1, len(items)), bool)
+        row, word = np.divmod(np.unique(((np.searchsorted(first, step, "right") - 1) * len(weight) + ids)[ids > 0]), len(weight))
+        edge = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row))
+        at = 0
+        while at < len(edge) - 1:
+            end = max(at + 1, int(np.searchsorted(edge, edge[at] + _SEEN // len(items), "right")) - 1)
+            shared = np.add.reduceat(times[word[edge[at] : edge[end]]], edge[at:end] - edge[at], axis=0, dtype=times.dtype)
+            out[row[edge[at:end]]] = shared >= fewest
+            at = end
+        return out
+
+    def candidates(ids: np.ndarray, step: np.ndarray, first: np.ndarray, open_: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Rows, items, the first step and the end of a stretch, and its window's cosine."""
         steps = int(first[-1])
         grid = np.zeros((steps, STEP), np.int32)
@@ -322,9 +340,9 @@ def _matches(kind: pa.DataType, weight: np.ndarray, basis: np.ndarray, numbers:
         row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
         for c, d in parts:
             margin = int(reach[c:d].max())
-            yield from of_columns(c, d, margin, max(64, 2 * margin, _SEEN // (STEP * (d - c))), grid, row_of, first)
+            yield from of_columns(c, d, margin, max(64, 2 * margin, _SEEN // (STEP * (d - c))), grid, row_of, first, open_)
 
-    def of_columns(c: int, d: int, margin: int, some: int, grid: np.ndarray, row_of: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def of_columns(c: int, d: int, margin: int, some: int, grid: np.ndarray, row_of: np.ndarray, first: np.ndarray, open_: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         steps = len(grid)
         # Differences of sums that wrap are right as long as a stretch weighs less than the type holds.
         kind_of = np.uint16 if (2 * margin + 2) * STEP * _HEAVIEST < 1 << 16 else np.int64
@@ -346,6 +364,8 @@ def _matches(kind: pa.DataType, weight: np.ndarray, basis: np.ndarray, numbers:
                     one, which = np.nonzero(shared[hi - start, a:b] - shared[lo - start, a:b] >= least[w, c + a : c + b])
                     found.append((one, c + a + which, lo[one], hi[one]))
             one, item, lo, hi = (np.concatenate(f) for f in zip(*found, strict=True))
+            held = open_[row[one], item]
+            one, item, lo, hi = one[held], item[held], lo[held], hi[held]
             if not len(one):
                 continue
             # Latent vectors are summed up over the steps that some candidate stretch covers.
@@ -379,9 +399,14 @@ def _matches(kind: pa.DataType, weight: np.ndarray, basis: np.ndarray, numbers:
             docs, out = batch.column(0).to_pylist(), []
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
+                open_ = able(*_ids(part))
+                rows = np.flatnonzero(open_.any(axis=1))
+                if not len(rows):
+                    continue
+                part, open_ = part.take(pa.array(rows)), open_[rows]
                 ids, step, first = _ids(part)
                 best: dict[tuple[int, int], tuple] = {}
-                for hits in candidates(ids, step, first):
+                for hits in candidates(ids, step, first, open_):
                     for r, i, lo, hi, cosine in zip(*(h.tolist() for h in hits), strict=True):
                         text = np.frombuffer(part.column(1)[r].as_buffer(), np.int32)[(lo - first[r]) * STEP : (hi - first[r]) * STEP]
                         near, item = text[text > 0].tolist(), items[i]
@@ -396,7 +421,7 @@ def _matches(kind: pa.DataType, weight: np.ndarray, basis: np.ndarray, numbers:
                         if overlap >= LEAKED or (answer >= ANSWERED and hi - lo <= 2 + 2 * stretches(len(item))[0]):
                             old = best.get((r, i), (cosine, 0.0, 0.0))
                             best[r, i] = (max(cosine, old[0]), *max((overlap, answer), old[1:]))
-                out += [(docs[at + r], numbers[i], *values) for (r, i), values in best.items()]
+                out += [(docs[at + rows[r]], numbers[i], *values) for (r, i), values in best.items()]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((kind, pa.int64(), *[pa.float64()] * 3))], names)
 
     return run
