@@ -551,6 +551,17 @@ def test_leaks_of_nothing(spark):
     assert contamination.leaks(docs.limit(0), spark.createDataFrame([(1, "a b c d")], "item_id long, text string")).count() == 0
 
 
+def test_leaks_hold_one_python_worker_a_core(spark):
+    # Each mapInArrow of a stage has workers of its own, and rows of a local list have others, which stay.
+    encoded = spark.range(1).selectExpr("id AS doc_id", "unhex('') AS ids")
+    plan = re.findall("MapInArrow|Exchange", contamination.together_of(encoded, 40)._jdf.queryExecution().sparkPlan().toString())
+    assert plan.count("MapInArrow") == 3 and ("MapInArrow", "MapInArrow") not in zip(plan, plan[1:])
+    docs, bench = frame(spark, [(1, "a b c d", None, None, 7)]), spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
+    for out in (contamination.leaks(docs, bench), contamination.leaks(docs, bench.limit(0))):
+        assert "RDD" not in out._jdf.queryExecution().toString()
+        assert [(f.name, f.dataType.simpleString(), f.nullable) for f in out.schema] == [("doc_id", "bigint", True), ("item_id", "bigint", True), ("cosine", "double", True), ("overlap", "double", True), ("answer_overlap", "double", True)]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_common_length(seed):
     rng = random.Random(seed)

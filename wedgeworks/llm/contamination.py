@@ -216,9 +216,13 @@ def _diagonal(size: int):
 
 def together_of(encoded: DataFrame, size: int) -> DataFrame:
     """(part, pairs): of every two words, in both orders, the passages that hold them; all pairs of a word lie in one row."""
-    kind = "part int, pairs binary"
-    upper = encoded.mapInArrow(_cooccurrences(size), kind).repartition("part").mapInArrow(_summed, kind)
-    return upper.mapInArrow(_mirrored(size), kind).repartition("part").mapInArrow(_summed, kind)
+    kind, mirrored = "part int, pairs binary", _mirrored(size)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from mirrored(_summed(batches))  # in one call, as each mapInArrow of a stage has a Python worker a core
+
+    upper = encoded.mapInArrow(_cooccurrences(size), kind).repartition("part").mapInArrow(both, kind)
+    return upper.repartition("part").mapInArrow(_summed, kind)
 
 
 def _products(weight: np.ndarray, basis: np.ndarray):
@@ -436,7 +440,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, kind: str = "long") -> DataFram
     source = docs.select(F.col("doc_id").cast(kind).alias("doc_id"), F.lower("text").alias("text"))
     queries = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"))
     blocks = -(-queries.count() // ITEMS)
-    out = docs.sparkSession.createDataFrame([], schema)
+    # Not from an empty list, which Python workers of another kind would read, and these stay.
+    out = docs.sparkSession.range(0).selectExpr(*(f"CAST(null AS {of}) AS {name}" for name, of in (c.split() for c in schema.split(", "))))
     for block in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id").collect()
         hashed = _hashes([r["text"] for r in rows])
