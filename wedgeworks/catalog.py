@@ -59,7 +59,9 @@ def query(sql: str | None = None):
 
 
 def _graph(spark: SparkSession, sf_dir: str, name: str = "copart") -> DataFrame:
-    return ed.simple_graph(getattr(fx, name)(spark, sf_dir))
+    raw = getattr(fx, name)(spark, sf_dir)
+    # Two lines of an order lead both ways; one way makes the same simple graph.
+    return ed.simple_graph(raw.where("src < dst") if name in ("copart", "cosupp") else raw)
 
 
 def _block(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
@@ -144,8 +146,7 @@ def common_neighbours(spark, sf_dir):
 
 @query(f"{COPART}, {UPPER}, {LOWER} SELECT e.c, e.r, u.tile, bit_count(u.mask & l.mask)::BIGINT AS common FROM e JOIN u ON u.c = e.c AND u.tile <= e.r // 32 JOIN l ON l.tile = u.tile AND l.r = e.r")
 def tile_join(spark, sf_dir):
-    e = _graph(spark, sf_dir)
-    return ti.tile_join(ti.upper_tiles(e), e, ti.lower_tiles(e))
+    return co.tile_join(_graph(spark, sf_dir))
 
 
 # ---- edges
@@ -804,6 +805,6 @@ SELECT 'copart' AS graph, nodes, arcs, round(arcs * 8 / 1073741824.0::DOUBLE, 9)
 )
 def run_summary(spark, sf_dir):
     raw = fx.copart(spark, sf_dir)
-    partials = co.partial_triangles(ed.simple_graph(raw), _block(spark, sf_dir)[0])
+    partials = co.partial_triangles(_graph(spark, sf_dir), _block(spark, sf_dir)[0])
     sizes = raw.agg(F.count_distinct("src").alias("nodes"), F.count("*").alias("arcs")).select(F.lit("copart").alias("graph"), "nodes", "arcs", F.round(F.col("arcs") * 8 / F.lit(2.0**30), 9).alias("graph_memory_gib"))
     return bl.run_summary(partials, partials, sizes, 4, 2.5)

@@ -7,6 +7,8 @@ ranges, and a set that is dense there and sparse beyond is held and intersected
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Width of the first range.
@@ -17,7 +19,7 @@ DENSE = 64
 CHUNK = 1 << 20
 
 
-class _Range:
+class Lists:
     """For each key below ``keys`` the set of its values, which lie below ``width``: a bitmap if dense, else a sorted array."""
 
     def __init__(self, key: np.ndarray, value: np.ndarray, keys: int, width: int, dense: float = DENSE) -> None:
@@ -47,7 +49,7 @@ class _Range:
         out[d] = (self.bits[row[d], value[d] >> 6] >> (value[d] & 63).astype(np.uint64)) & np.uint64(1) > 0
         if len(self.packed):
             s = np.flatnonzero(row < 0)
-            wanted = key[s] * self.width + value[s]
+            wanted = key[s] * np.int64(self.width) + value[s]
             at = np.minimum(np.searchsorted(self.packed, wanted), len(self.packed) - 1)
             out[s] = self.packed[at] == wanted
         return out
@@ -60,7 +62,7 @@ class Containers:
         low, high, self.ranges = 0, min(FIRST, width), []
         while low < width:
             own = (value >= low) & (value < high)
-            self.ranges.append(_Range(key[own], value[own] - low, keys, high - low, dense))
+            self.ranges.append(Lists(key[own], value[own] - low, keys, high - low, dense))
             low, high = high, min(2 * high, width)
 
 
@@ -76,7 +78,7 @@ def common(a: Containers, i: np.ndarray, b: Containers, j: np.ndarray) -> np.nda
     return n
 
 
-def _shared(a: _Range, i: np.ndarray, b: _Range, j: np.ndarray) -> np.ndarray:
+def _shared(a: Lists, i: np.ndarray, b: Lists, j: np.ndarray) -> np.ndarray:
     n = np.zeros(len(i), np.int64)
     row, other = a.row[i], b.row[j]
     dense = np.flatnonzero((row >= 0) & (other >= 0))
@@ -87,15 +89,33 @@ def _shared(a: _Range, i: np.ndarray, b: _Range, j: np.ndarray) -> np.ndarray:
     some = (row < 0) | (other < 0)
     second = (other < 0) & ((row >= 0) | (b.size[j] < a.size[i]))
     for x, p, y, q, pairs in ((a, i, b, j, some & ~second), (b, j, a, i, some & second)):
-        pairs = np.flatnonzero(pairs)
-        upto = np.cumsum(x.size[p[pairs]])
-        first = 0
-        while first < len(pairs):
-            end = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + CHUNK, "right")))
-            at = pairs[first:end]
-            size = x.size[p[at]]
-            which = np.repeat(np.arange(len(at)), size)
-            place = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(x.start[p[at]], size)
+        for at, which, place in _walked(x, p, np.flatnonzero(pairs)):
             n[at] = np.bincount(which[y.holds(q[at][which], x.value[place])], minlength=len(at))
-            first = end
     return n
+
+
+def _walked(x: Lists, p: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For some of the pairs at a time: which they are, and, for each value of x's sets ``p`` of them, its pair among these and its place in x."""
+    upto = np.cumsum(x.size[p[pairs]])
+    first = 0
+    while first < len(pairs):
+        end = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + CHUNK, "right")))
+        at = pairs[first:end]
+        size = x.size[p[at]]
+        which = np.repeat(np.arange(len(at)), size)
+        yield at, which, np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(x.start[p[at]], size)
+        first = end
+
+
+def shared(a: Lists, i: np.ndarray, b: Lists, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(pair, in_a, in_b)``, some at a time: each value that a's set of the one key of a pair and b's set of the other share, by its places.
+    Both hold arrays alone and are of one width; of each pair the shorter is walked."""
+    second = b.size[j] < a.size[i]
+    some = (a.size[i] > 0) & (b.size[j] > 0)
+    for x, p, y, q, pairs, turned in ((a, i, b, j, some & ~second, False), (b, j, a, i, some & second, True)):
+        for at, which, place in _walked(x, p, np.flatnonzero(pairs)):
+            wanted = q[at][which] * np.int64(y.width) + x.value[place]
+            found = np.minimum(np.searchsorted(y.packed, wanted), len(y.packed) - 1)
+            hit = np.flatnonzero(y.packed[found] == wanted)
+            places = place[hit], found[hit]
+            yield at[which[hit]], *(places[::-1] if turned else places)

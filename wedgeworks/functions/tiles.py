@@ -47,14 +47,6 @@ def upper_tiles(edges: DataFrame) -> DataFrame:
     return edges.groupBy("c", tile_of("r").alias("tile")).agg(F.bit_or(tile_mask("r")).alias("mask"))
 
 
-def tile_join(u_tiles: DataFrame, edges: DataFrame, l_tiles: DataFrame) -> DataFrame:
-    """``(c, r, tile, common)``: for a pivot's tile t and each larger neighbour k with ``k div 32 >= t``,
-    how many larger neighbours of the pivot in t are smaller neighbours of k."""
-    pairs = edges.join(u_tiles, "c").where(tile_of("r") >= F.col("tile"))
-    lower = l_tiles.withColumnRenamed("mask", "low")
-    return pairs.join(lower, ["tile", "r"]).select("c", "r", "tile", mask_popcount(F.col("mask").bitwiseAND(F.col("low"))).alias("common"))
-
-
 def suffix_ones(u_tiles: DataFrame) -> DataFrame:
     """``(c, tile, ones)``: ones of a pivot from this tile to its last."""
     onward = W.partitionBy("c").orderBy("tile").rowsBetween(0, W.unboundedFollowing)

@@ -48,7 +48,7 @@ def numbers(data: bytes) -> np.ndarray:
     return out
 
 
-def _packed(src: np.ndarray, dst: np.ndarray) -> tuple:
+def packed_lists(src: np.ndarray, dst: np.ndarray) -> tuple:
     """A row of SCHEMA of edges in order."""
     at = np.flatnonzero(np.concatenate(([True], src[1:] != src[:-1])))
     own = src[at]
@@ -81,7 +81,7 @@ def _writer(block: int) -> Callable:
         src, dst = (np.concatenate([h[i] for h in held]) for i in (0, 1))
         whole = len(src) if last else len(src) // block * block
         for at in range(0, whole, block):
-            row = _packed(src[at : min(at + block, whole)], dst[at : min(at + block, whole)])
+            row = packed_lists(src[at : min(at + block, whole)], dst[at : min(at + block, whole)])
             yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True))], schema)
         held[:] = [(src[whole:], dst[whole:])]
 
