@@ -15,6 +15,7 @@ from wedgeworks.operators import triples as tr
 SF = "/root/testdata/sf0.01"
 MOST = {
     "count_triangles_tile": 3_500_000,
+    "tile_join": 3_500_000,
 }
 
 
