@@ -16,6 +16,7 @@ SF = "/root/testdata/sf0.01"
 MOST = {
     "count_triangles_tile": 3_500_000,
     "tile_join": 3_500_000,
+    "block_pair_join": 1_700_000,
 }
 
 
