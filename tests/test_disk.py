@@ -17,6 +17,7 @@ MOST = {
     "count_triangles_tile": 3_500_000,
     "tile_join": 3_500_000,
     "block_pair_join": 1_700_000,
+    "count_triangles": 3_500_000,
 }
 
 
