@@ -18,6 +18,7 @@ MOST = {
     "tile_join": 3_500_000,
     "block_pair_join": 1_700_000,
     "count_triangles": 3_500_000,
+    "common_neighbours": 4_500_000,
 }
 
 
