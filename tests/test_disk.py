@@ -20,6 +20,7 @@ MOST = {
     "count_triangles": 3_500_000,
     "common_neighbours": 4_500_000,
     "count_triangles_dense": 1_300_000,
+    "count_triangles_triples": 3_500_000,
 }
 
 
