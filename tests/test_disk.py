@@ -24,6 +24,7 @@ MOST = {
     "count_triangles_wedge": 1_700_000,
     "partial_triangles": 3_500_000,
     "run_summary": 3_500_000,
+    "task_triangles": 3_500_000,
 }
 
 
