@@ -25,6 +25,7 @@ MOST = {
     "partial_triangles": 3_500_000,
     "run_summary": 3_500_000,
     "task_triangles": 3_500_000,
+    "triangles": 1_700_000,
 }
 
 
