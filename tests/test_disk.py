@@ -11,6 +11,7 @@ from wedgeworks.functions import edges as ed
 from wedgeworks.functions import tiles as ti
 from wedgeworks.operators import count as co
 from wedgeworks.operators import triples as tr
+from wedgeworks.sources import graph as gr
 
 SF = "/root/testdata/sf0.01"
 MOST = {
@@ -26,6 +27,7 @@ MOST = {
     "run_summary": 3_500_000,
     "task_triangles": 3_500_000,
     "triangles": 1_700_000,
+    "count_triangles_saved": 4_000_000,
 }
 
 
@@ -43,6 +45,16 @@ def test_shuffle(spark, name):
     assert shuffled(spark) - before < MOST[name]
 
 
+def test_saved_in_portions(spark, monkeypatch):
+    monkeypatch.setattr(co, "SENT", 0)
+    monkeypatch.setattr(co, "PORTION", 2_000)
+    gr.save_graph(ed.simple_graph(spark.createDataFrame(list(itertools.combinations(range(30), 2)), "src long, dst long")), "portions_test", 2)
+    try:
+        assert co.count_saved(spark, "portions_test").first()[0] == 30 * 29 * 28 // 6
+    finally:
+        gr.drop_graph(spark, "portions_test")
+
+
 def test_tiles_and_lists_over_colours(spark, monkeypatch):
     """Tiles met in tasks equal tiles joined as rows, and triangles come once, with 1 and with 4 colours."""
     pairs = list(itertools.combinations(range(20, 75), 2)) + [(i, 7 * i + 100) for i in range(90)]

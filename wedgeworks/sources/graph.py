@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.edges import by_degree
-from .shared import delete, new_path
+from .shared import delete, discard, new_path, stored, swept
 
 #: Rows of a bucket, which one task reads.
 BUCKET = 4_000_000
@@ -17,7 +17,8 @@ BUCKET = 4_000_000
 def _save(df: DataFrame, name: str, buckets: int, order: list[str]) -> None:
     """One file a bucket: rows are brought together by the hash that the buckets go by."""
     path = new_path(df.sparkSession, name)
-    df.repartition(buckets, "c").write.bucketBy(buckets, "c").sortBy(*order).option("path", path).saveAsTable(name)
+    with swept(df.sparkSession):
+        df.repartition(buckets, "c").write.bucketBy(buckets, "c").sortBy(*order).option("path", path).saveAsTable(name)
 
 
 def save_graph(edges: DataFrame, name: str, buckets: int | None = None) -> None:
@@ -30,11 +31,14 @@ def save_graph(edges: DataFrame, name: str, buckets: int | None = None) -> None:
     from ..operators.count import neighbours
 
     spark = edges.sparkSession
-    edges = edges.select("c", "r")
+    edges = stored(edges.select("c", "r"), "edges")
     if buckets is None:
         buckets = max(math.ceil(edges.count() / BUCKET), spark.sparkContext.defaultParallelism)
     _save(edges, name, buckets, ["c", "r"])
-    _save(neighbours(by_degree(spark.table(name))), f"{name}_near", buckets, ["c"])
+    discard(edges)
+    directed = by_degree(spark.table(name))
+    _save(neighbours(directed), f"{name}_near", buckets, ["c"])
+    discard(directed)
 
 
 def saved_edges(spark: SparkSession, name: str) -> DataFrame:
