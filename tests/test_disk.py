@@ -28,6 +28,7 @@ MOST = {
     "task_triangles": 3_500_000,
     "triangles": 1_700_000,
     "count_triangles_saved": 4_000_000,
+    "count_triangles_by_degree": 3_500_000,
 }
 
 
@@ -45,6 +46,23 @@ def test_shuffle(spark, name):
     assert shuffled(spark) - before < MOST[name]
 
 
+@pytest.mark.parametrize("orient", ["id", "degree"])
+def test_portions(spark, monkeypatch, orient):
+    """Pivots in portions, hubs among them, give the same count; each portion leaves a number behind."""
+    pairs = [(0, i) for i in range(1, 60)] + [(a + 10 * k, b + 10 * k) for k in range(1, 6) for a, b in itertools.combinations(range(9), 2)]
+    edges = ed.simple_graph(spark.createDataFrame(pairs, "src long, dst long")).cache()
+    want = co.count_triangles(edges).first()[0]
+    names, write = [], co.stored
+    for part in (3, 1024):
+        monkeypatch.setattr(co, "PART", part)
+        monkeypatch.setattr(co, "SENT", 1)
+        monkeypatch.setattr(co, "PORTION", 1)
+        monkeypatch.setattr(co, "stored", lambda df, name: names.append(name) or write(df, name))
+        assert co.count_triangles(edges, "adjacency", orient).first()[0] == want
+        assert names.count("portion") > 2
+        names.clear()
+
+
 def test_saved_in_portions(spark, monkeypatch):
     monkeypatch.setattr(co, "SENT", 0)
     monkeypatch.setattr(co, "PORTION", 2_000)

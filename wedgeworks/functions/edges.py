@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, stored
+
 
 def canonical_edges(raw: DataFrame) -> DataFrame:
     """Undirected edges ``(c, r)`` with ``c < r`` of raw ``(src, dst)``; loops and pairs with a null go."""
@@ -67,8 +69,14 @@ def sort_edges(edges: DataFrame) -> DataFrame:
 
 def by_degree(edges: DataFrame) -> DataFrame:
     """``(c, r, rank)``: edges directed from the end of lower (degree, id) to the other, ``rank`` being the other's
-    degree. This bounds larger neighbours by the root of twice the edges. ``edges`` is read three times."""
-    degrees = edges.select(F.explode(F.array("c", "r")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
-    both = edges.join(degrees.withColumnsRenamed({"v": "c", "d": "dc"}), "c").join(degrees.withColumnsRenamed({"v": "r", "d": "dr"}), "r")
+    degree. This bounds larger neighbours by the root of twice the edges. ``edges`` is read twice; each join is stored,
+    and what it read is deleted if it was stored for this, so that one shuffle at a time is on disk."""
+    degrees = stored(edges.select(F.explode(F.array("c", "r")).alias("v")).groupBy("v").agg(F.count("*").alias("d")), "degrees")
+    half = stored(edges.join(degrees.withColumnsRenamed({"v": "c", "d": "dc"}), "c"), "half")
+    discard(edges)
     up = (F.col("dc") < F.col("dr")) | ((F.col("dc") == F.col("dr")) & (F.col("c") < F.col("r")))
-    return both.select(F.when(up, F.col("c")).otherwise(F.col("r")).alias("c"), F.when(up, F.col("r")).otherwise(F.col("c")).alias("r"), F.greatest("dc", "dr").alias("rank"))
+    both = half.join(degrees.withColumnsRenamed({"v": "r", "d": "dr"}), "r")
+    directed = stored(both.select(F.when(up, F.col("c")).otherwise(F.col("r")).alias("c"), F.when(up, F.col("r")).otherwise(F.col("c")).alias("r"), F.greatest("dc", "dr").alias("rank")), "directed")
+    discard(half)
+    discard(degrees)
+    return directed
