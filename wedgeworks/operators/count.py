@@ -89,7 +89,10 @@ def closings(near: DataFrame) -> DataFrame:
 
 def common_neighbours(edges: DataFrame) -> DataFrame:
     """``(c, r, n)`` for every edge: vertices between, neighbours of c above and of r below."""
-    return tr.between(*_kept(edges))
+    edges, m = _kept(edges)
+    found = tr.between(edges, m)  # stored before it is summed up by edge
+    discard(edges)
+    return found
 
 
 def count_saved(spark: SparkSession, name: str) -> DataFrame:
